@@ -20,11 +20,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 def split_tokens(text: str) -> list[str]:
     """Tokens of ``text`` in order; odd Unicode spaces inside a token come back as U+E000."""
-    if not text.isascii():
-        text = _ODD_SPACE.sub("", text)
-    elif "\x0b" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        text = _ODD_SPACE.sub("", text)
-    return text.split()
+    return _ODD_SPACE.sub("\ue000", text).split()
 
 
 def count_tokens(text: str | None) -> int:
@@ -74,3 +70,44 @@ def arrow_map(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list] | No
                 yield pa.RecordBatch.from_arrays([pa.array(out[k], type=t) for k, t in types.items()], names=list(types))
 
     return df.mapInArrow(run, schema)
+
+
+class WordCoder(dict):
+    """Codes whole batches of texts word by word; each distinct space-separated word is worked out once.
+
+    ``f`` gives the codes of one word (none, one or several). The memory of words is emptied when it
+    holds ``limit`` of them, so it stays bounded on any input.
+    """
+
+    def __init__(self, f: Callable[[str], list[int]], limit: int = 400_000) -> None:
+        super().__init__()
+        self.f, self.limit = f, limit
+        self.lens: list[int] = []
+        self.flat: list[int] = []
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self.lens)
+        codes = self.f(word)
+        self.lens.append(len(codes))
+        self.flat.extend(codes)
+        return k
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all texts one after the other, and where each text begins (one more at the end)."""
+        if len(self) > self.limit:
+            self.clear()
+            self.lens.clear()
+            self.flat.clear()
+        ids: list[int] = []
+        ends = [0]
+        get = self.__getitem__
+        for t in texts:
+            ids.extend(map(get, t.split()))
+            ends.append(len(ids))
+        at = np.fromiter(ids, np.int64, len(ids))
+        lens, flat = np.array(self.lens, np.int64), np.array(self.flat, np.int64)
+        first = np.concatenate(([0], np.cumsum(lens)))[:-1]
+        n = lens[at]
+        begin = np.concatenate(([0], np.cumsum(n)))
+        codes = flat[np.repeat(first[at] - begin[:-1], n) + np.arange(begin[-1])] if len(flat) else np.zeros(0, np.int64)
+        return codes, begin[np.array(ends)]
