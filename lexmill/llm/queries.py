@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import leaks
+from lexmill.llm import budget, leaks, packing, pieces, sitelines
 from lexmill.session import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p5_found": lambda s, d: pieces.found(table(s, d, "chunks")),
+        "p5_pieces": lambda s, d: pieces.pieces(table(s, d, "chunks")),
+        "p6_found": lambda s, d: sitelines.found(table(s, d, "documents")),
+        "p6_cleaned": lambda s, d: sitelines.cleaned(table(s, d, "documents")),
+        "p7_found": lambda s, d: budget.found(table(s, d, "chunks")),
+        "p7_totals": lambda s, d: budget.totals(table(s, d, "chunks")),
+        "p8_packed": lambda s, d: packing.pack(table(s, d, "documents")),
+        "p8_fill": lambda s, d: packing.fill(packing.pack(table(s, d, "documents"))),
         "p9_found": lambda s, d: leaks.found(table(s, d, "documents"), table(s, d, "eval_items")),
         "p9_spans": lambda s, d: leaks.leaked_spans(table(s, d, "documents"), table(s, d, "eval_items")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": pieces.SQL_FOUND,
+        "p6_found": sitelines.SQL_FOUND,
+        "p7_found": budget.SQL_FOUND,
+    }
