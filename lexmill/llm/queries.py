@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import budget, leaks, packing, pieces, sitelines
+from lexmill.llm import budget, language, leaks, packing, pairs, pieces, sitelines, truncation
 from lexmill.session import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": lambda s, d: language.found(table(s, d, "documents")),
+        "p1_judged": lambda s, d: language.judged(table(s, d, "documents")),
+        "p3_found": lambda s, d: pairs.found(table(s, d, "finetune_examples"), table(s, d, "chat_messages")),
+        "p3_defects": lambda s, d: pairs.flagged(pairs.pairs_of(table(s, d, "finetune_examples"), table(s, d, "chat_messages"))),
         "p5_found": lambda s, d: pieces.found(table(s, d, "chunks")),
         "p5_pieces": lambda s, d: pieces.pieces(table(s, d, "chunks")),
         "p6_found": lambda s, d: sitelines.found(table(s, d, "documents")),
@@ -21,6 +25,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_packed": lambda s, d: packing.pack(table(s, d, "documents")),
         "p8_fill": lambda s, d: packing.fill(packing.pack(table(s, d, "documents"))),
         "p9_found": lambda s, d: leaks.found(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p10_found": lambda s, d: truncation.found(table(s, d, "documents")),
+        "p10_rates": lambda s, d: truncation.rates(table(s, d, "documents")),
         "p9_spans": lambda s, d: leaks.leaked_spans(table(s, d, "documents"), table(s, d, "eval_items")),
     }
 
