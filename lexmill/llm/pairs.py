@@ -25,7 +25,7 @@ REFUSALS = re.compile(
             r"\bje (?:ne )?(?:peux|puis|saurais|suis) pas (?:\w+ ){0,3}?(?:repondre|donner|traiter|aider|en mesure|autorise|habilite|conseil)",
             r"\bje (?:ne )?puis (?:repondre|traiter|donner)",
             r"\bje (?:prefere|dois) m abstenir", r"\bje m abstiens", r"\bje refuse de", r"\bje m en tiens la\b",
-            r"\bil m est impossible", r"\bje n ai rien trouve dans mes sources", r"\b(?:mes|aucune?) sources? ne (?:me )?permet",
+            r"\bil m est impossible", r"\bje n ai rien trouve dans mes sources", r"\b(?:mes|aucune?) sources? (?:\w+ )?ne (?:me |m )?(?:permet|autorise)", r"\bje n ai pas (?:le droit|la possibilite|acces|l autorisation)\b", r"\bje ne peux (?:rien|me prononcer)",
             r"\b(?:sort|hors) de mon (?:perimetre|domaine|champ|role)", r"\bn entre pas dans (?:les sujets|mon|mes)", r"\bdesole (?:mais )?(?:je|cette|ce)\b", r"\ben tant qu (?:assistant|ia|intelligence)",
             r"\bi (?:am|m) (?:unable|not able|sorry|afraid)", r"\bi (?:cannot|can t|can not|won t|must decline|prefer not)", r"\bsorry (?:but )?i\b", r"\bas an (?:assistant|ai)\b", r"\boutside (?:of )?my (?:scope|remit|field)", r"\bi found nothing in my sources", r"\bi have no sources?\b",
             r"\blo siento\b", r"\bno puedo (?:responder|contestar|ayudar|tratar|dar)", r"\bcomo asistente\b", r"\bfuera de mi (?:ambito|alcance)", r"\bno he encontrado nada en mis fuentes", r"\bprefiero no responder",

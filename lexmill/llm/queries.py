@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import budget, language, leaks, packing, pairs, pieces, sitelines, truncation
+from lexmill.llm import budget, language, leaks, packing, pairs, pieces, scans, sitelines, truncation
 from lexmill.session import table
 
 
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_judged": lambda s, d: language.judged(table(s, d, "documents")),
         "p3_found": lambda s, d: pairs.found(table(s, d, "finetune_examples"), table(s, d, "chat_messages")),
         "p3_defects": lambda s, d: pairs.flagged(pairs.pairs_of(table(s, d, "finetune_examples"), table(s, d, "chat_messages"))),
+        "p4_found": lambda s, d: scans.found(table(s, d, "documents")),
+        "p4_repaired": lambda s, d: scans.repaired(table(s, d, "documents")),
         "p5_found": lambda s, d: pieces.found(table(s, d, "chunks")),
         "p5_pieces": lambda s, d: pieces.pieces(table(s, d, "chunks")),
         "p6_found": lambda s, d: sitelines.found(table(s, d, "documents")),

@@ -13,13 +13,14 @@ import re
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.text import arrow_map, bare
 
 #: Lengths of the prefixes that are hashed, ascending.
-LEVELS = (32, 128, 512, 2048)
+LEVELS = (32, 64, 128, 256, 512, 1024, 2048, 4096, 8192)
 
 WHOLE, OPEN, CUT = "whole", "open", "cut"
 
@@ -46,7 +47,7 @@ _PAGE = re.compile(r"^\W*(?:[pf][a@]ge|pages|pag|pág|página|p|n|الصفحة|
 # A number and its stop are the end of a sentence whose line was wrapped there.
 _NUMBER_STOP = re.compile(r"^(?:n\s*[°º.]{0,2}\s*)?[0-9/]+\.(?:\s*[»”\"])?$")
 _DATE_LINE = re.compile(r"^[^\s,،]+[,،]\s*(?:le\s+|el\s+|في\s+)?[0-3]?\w?[/ ][\w/ ]{2,20}$")
-_HEADING = re.compile(r"^(?:Article|Section|Chapitre|Titre|Alin[ée]a|Chapter|Clause|Paragraph|Art[ií]culo|Cap[ií]tulo|Sección|Párrafo|المادة|الفصل|الباب|الفقرة|القسم|الفرع|البند)\s+[\w-]{1,5}(?:\s+(?:bis|ter|مكرر))?\s*(?:[-:–.]\s*\w.{0,60})?$", re.IGNORECASE)
+_HEADING = re.compile(r"^(?:Article|Section|Chapitre|Titre|Alin[ée]a|Chapter|Clause|Cl[áa]usula|Paragraph|Art[ií]culo|Cap[ií]tulo|Sección|Párrafo|المادة|الفصل|الباب|الفقرة|القسم|الفرع|البند)\s+[\w-]{1,5}(?:\s+(?:bis|ter|مكرر))?\s*(?:[-:–.]\s*\w.{0,60})?$", re.IGNORECASE)
 _SIGN = re.compile(r"(?:(?:…|\.\.\.)?\s*\((?:lire la|voir la|read|leer|اقرأ|تابع|انظر)?\s*(?:suite|more|más|المزيد|التتمة|البقية)\s*(?:\.\.\.|…)?\s*\)|\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|\.\.\.|…|�)\s*$")
 _ENDS = re.compile(r"[.!?؟۔](?:\s*[»”\"')\]]|\s*\[\d+\]|\s*\([^()\n]{1,40}\))*$")
 _CONTACT = re.compile(r"(?:@|\(at\)|\[at\])\s*[\w.-]+\.[a-z]{2,8}\s*$|^(?:courriel|portable|tél|tel|e-?mail|téléphone|fax|الهاتف|correo|phone)\b[\s.:]*[+\d][\d\s().-]{6,}$", re.IGNORECASE)
@@ -168,24 +169,26 @@ def longer_copies(documents: DataFrame, which: DataFrame | None = None) -> DataF
     no prefix to hash and are left out, as are null texts.
     """
     docs = _own(documents).where(F.length("text") >= LEVELS[0]).select("doc_id", "text")
-    level = F.lit(LEVELS[0])
-    for n in LEVELS[1:]:
-        level = F.when(F.length("text") >= n, n).otherwise(level)
+    levels = F.array(*[F.lit(n) for n in LEVELS])
+    level = F.element_at(F.filter(levels, lambda n: n <= F.length("text")), -1)
     asked = docs if which is None else docs.join(which.select("doc_id").distinct(), "doc_id", "left_semi")
-    asked = asked.withColumn("level", level).withColumn("key", F.xxhash64("level", F.expr("substring(text, 1, level)")))
-    keys = asked.select("level", "key").distinct()
-    spread = docs.select("doc_id", "text", F.explode(F.array(*[F.lit(n) for n in LEVELS])).alias("level")).where(F.length("text") >= F.col("level"))
-    spread = spread.withColumn("key", F.xxhash64("level", F.expr("substring(text, 1, level)"))).join(keys, ["level", "key"], "left_semi")
-    one = spread.groupBy("level", "key", "text").agg(F.min("doc_id").alias("longer_id"))
+    asked = asked.withColumn("level", level).select("doc_id", "level", F.expr("xxhash64(level, substring(text, 1, level))").alias("key"))
+    # only hashes are spread over the levels; texts follow for records that share a prefix with one asked about
+    hashes = F.transform(F.filter(levels, lambda n: n <= F.length("text")), lambda n: F.struct(n.alias("level"), F.xxhash64(n, F.substring("text", F.lit(1), n)).alias("key")))
+    spread = docs.select("doc_id", F.explode(hashes).alias("x")).select("doc_id", "x.level", "x.key").join(asked.select("level", "key").distinct(), ["level", "key"], "left_semi")
+    shared = spread.groupBy("level", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("level", "key")
+    members = spread.join(shared, ["level", "key"], "left_semi")
+    texts = members.join(docs, "doc_id")
+    one = texts.groupBy("level", "key", "text").agg(F.min("doc_id").alias("longer_id"))
     order = Window.partitionBy("level", "key").orderBy("text")
     after = one.select("level", "key", "text", F.lead("text").over(order).alias("next"), F.lead("longer_id").over(order).alias("next_id")).where("startswith(next, text)")
-    found = asked.join(after.select("level", "key", "text", F.col("next_id").alias("longer_id")), ["level", "key", "text"])
-    return found.groupBy("doc_id").agg(F.min("longer_id").alias("longer_id"))
+    found = texts.join(after.select("level", "key", "text", F.col("next_id").alias("longer_id")), ["level", "key", "text"])
+    return found.join(asked.select("doc_id", "level", "key"), ["doc_id", "level", "key"], "left_semi").groupBy("doc_id").agg(F.min("longer_id").alias("longer_id"))
 
 
 def truncated(documents: DataFrame) -> DataFrame:
     """(doc_id, source, ending, longer_id): every record, its ending, and a longer copy of an open or cut one."""
-    ends = endings(documents)
+    ends = endings(documents).persist(StorageLevel.MEMORY_AND_DISK)
     longer = longer_copies(documents, ends.where(F.col("ending") != WHOLE))
     return ends.join(longer, "doc_id", "left").withColumn("cut", (F.col("ending") == CUT) | ((F.col("ending") == OPEN) & F.col("longer_id").isNotNull()))
 
