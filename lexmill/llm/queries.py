@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import budget, language, leaks, packing, pairs, pieces, scans, sitelines, truncation
+from lexmill.llm import budget, language, leaks, packing, pairs, pieces, pii, scans, sitelines, truncation
 from lexmill.session import table
 
 
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": lambda s, d: language.found(table(s, d, "documents")),
         "p1_judged": lambda s, d: language.judged(table(s, d, "documents")),
+        "p2_found": lambda s, d: pii.found(table(s, d, "documents")),
+        "p2_anonymised": lambda s, d: pii.anonymised(table(s, d, "documents")),
         "p3_found": lambda s, d: pairs.found(table(s, d, "finetune_examples"), table(s, d, "chat_messages")),
         "p3_defects": lambda s, d: pairs.flagged(pairs.pairs_of(table(s, d, "finetune_examples"), table(s, d, "chat_messages"))),
         "p4_found": lambda s, d: scans.found(table(s, d, "documents")),
