@@ -1,0 +1,132 @@
+"""Segments by structural markers, sections by headings, and overlapping token windows."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lexmill.functions import text as T
+
+_NUMBER = r"[0-9٠-٩]+(?:\s*(?:bis|ter|quater|مكرر))?"
+#: Markers of segments: kind and pattern.
+MARKERS = (
+    ("article", re.compile(rf"\b(?:Article|Art\.)\s+(?:premier|({_NUMBER}))", re.IGNORECASE)),
+    ("article", re.compile(rf"(?:المادة|الفصل)\s+({_NUMBER}|الأولى|الأول)")),
+    ("alinea", re.compile(rf"\b(?:Alinéa|Alinea|Al\.)\s+({_NUMBER})", re.IGNORECASE)),
+    ("alinea", re.compile(rf"(?:الفقرة)\s+({_NUMBER}|الأولى)")),
+)
+#: Headings of sections, whole lines.
+HEADING = re.compile(r"^[ \t]*((?:Article|Section|Chapitre|Titre|المادة|الفصل|الباب|القسم)[ \t]+[\w٠-٩]+(?:[ \t]+bis)?(?:[ \t]*[:—–-][ \t]*[^\n]*)?)[ \t]*$", re.IGNORECASE | re.MULTILINE)
+_BEFORE = ".;:!?؟۔\n"
+
+
+@dataclass(frozen=True)
+class WindowConfig:
+    target: int = 512
+    overlap: int = 64
+
+    def __post_init__(self) -> None:
+        if self.target <= 0 or not 0 <= self.overlap < self.target:
+            raise ValueError("overlap must be from 0 to below the target")
+
+
+def markers(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, number) of markers that begin something: at the start, a line or after the end of a sentence."""
+    found: dict[int, tuple[int, int, str, str]] = {}
+    for kind, p in MARKERS:
+        for m in p.finditer(text):
+            before = text[: m.start()].rstrip(" \t")
+            if (not before or before[-1] in _BEFORE) and m.start() not in found:
+                found[m.start()] = (m.start(), m.end(), kind, (m.group(1) or "1").strip())
+    return sorted(found.values())
+
+
+def segments_of(text: str | None) -> list[dict]:
+    """Segments from each marker to the next; what is before the first belongs to none."""
+    if not text:
+        return []
+    at = markers(text)
+    out = []
+    for k, (a, b, kind, number) in enumerate(at):
+        end = at[k + 1][0] if k + 1 < len(at) else len(text)
+        out.append({"segment_index": k, "kind": kind, "label": text[a:b], "seg_number": number, "start_pos": a, "end_pos": end, "text": text[a:end].strip()})
+    return out
+
+
+def segments(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row for each segment; documents without a marker have none."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [{key: k, **s} for k, t in zip(p[key], p[text], strict=True) for s in segments_of(t)]
+            yield pd.DataFrame(rows, columns=[key, "segment_index", "kind", "label", "seg_number", "start_pos", "end_pos", "text"])
+
+    kind = dict(docs.dtypes)[key]
+    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, segment_index int, kind string, label string, seg_number string, start_pos int, end_pos int, text string")
+
+
+def sections_of(text: str) -> list[tuple[str | None, str]]:
+    """(heading, body) in order; what is before the first heading has none."""
+    at = [(m.start(), m.end(), m.group(1).strip()) for m in HEADING.finditer(text)]
+    out: list[tuple[str | None, str]] = []
+    if not at or text[: at[0][0]].strip():
+        out.append((None, text[: at[0][0]] if at else text))
+    for k, (_, b, head) in enumerate(at):
+        out.append((head, text[b : at[k + 1][0] if k + 1 < len(at) else len(text)]))
+    return out
+
+
+def windows_of(text: str | None, config: WindowConfig = WindowConfig()) -> list[tuple[str | None, list[str]]]:
+    """(section, tokens) of each window.
+
+    Short sections are packed together; a section's heading names a window only if the window held no more
+    than the overlap when the section began. The last window is left out if it holds nothing new.
+    """
+    out: list[tuple[str | None, list[str]]] = []
+    buffer: list[str] = []
+    fresh, heading = 0, None
+    for head, body in sections_of(text or ""):
+        tokens = ([*head.split()] if head else []) + body.split()
+        if head and len(buffer) <= config.overlap:
+            heading = head
+        for w in tokens:
+            buffer.append(w)
+            fresh += 1
+            if len(buffer) == config.target:
+                out.append((heading, buffer))
+                buffer, fresh = buffer[config.target - config.overlap :] if config.overlap else [], 0
+        if fresh and len(buffer) >= config.target - config.overlap:
+            out.append((heading, buffer))
+            buffer, fresh = buffer[-config.overlap :] if config.overlap else [], 0
+    if fresh:
+        out.append((heading, buffer))
+    return out
+
+
+def windows(docs: DataFrame, key: str, text: str, config: WindowConfig = WindowConfig(), version: str = "v1") -> DataFrame:
+    """(chunk_id, key, chunk_index, section, token_count, text) of every document, by its headings."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(k, i, s, len(w), " ".join(w)) for k, t in zip(p[key], p[text], strict=True) for i, (s, w) in enumerate(windows_of(t, config))]
+            yield pd.DataFrame(rows, columns=[key, "chunk_index", "section", "token_count", "text"])
+
+    kind = dict(docs.dtypes)[key]
+    out = docs.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_index int, section string, token_count int, text string")
+    return out.withColumn("chunk_id", T.chunk_id(F.lit(version), F.col(key), F.col("chunk_index"), F.col("section"), F.col("text")))
+
+
+def fixed_windows(docs: DataFrame, key: str, text: str, config: WindowConfig = WindowConfig(), version: str = "v1") -> DataFrame:
+    """The closed form for texts without headings: slices of the token array, all in the JVM."""
+    step = config.target - config.overlap
+    tokens = docs.select(key, T.words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - config.overlap - 1, F.lit(0)), F.lit(step))
+    rows = tokens.select(key, "w", F.posexplode(starts).alias("chunk_index", "at"))
+    cut = rows.select(key, "chunk_index", F.slice("w", F.col("at") + 1, F.lit(config.target)).alias("part"))
+    out = cut.select(key, "chunk_index", F.size("part").alias("token_count"), F.array_join("part", " ").alias("text"))
+    return out.withColumn("chunk_id", T.chunk_id(F.lit(version), F.col(key), F.col("chunk_index"), F.lit(""), F.col("text")))

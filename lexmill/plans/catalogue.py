@@ -1,15 +1,516 @@
-"""The registered queries of the core and their SQL."""
+"""The registered queries of the core and the SQL that checks them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexmill.functions import text as T
+from lexmill.operators import answering, cleaning, masking, monitoring, quality, relations, search, spelling, structure
+from lexmill.session import table
+from lexmill.sources import files
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUESTIONS = ((1, "Quel délai pour restituer le dépôt de garantie et le titre foncier ?"), (2, "ما هو الأجل المطبق على عقد التأمين ؟"), (3, "Quel délai pour restituer le dépôt de garantie et le titre foncier ? dépôt de garantie"), (4, "bank guarantee"))
+TERMS = ["garantie", "foncier", "bail", "contrat", "عقد", "الأجل", "titre foncier", "bank guarantee"]
+_Q_SQL = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUESTIONS) + ") q(query_id, question)"
+_TOK = r"'[\p{L}\p{N}]+(?:[-./][\p{L}\p{N}]+)*'"
+_WS = r"'[^ \t\r\n\f]+'"
+_TRIM = r"regexp_replace(regexp_replace({}, '^[ \t\r\n]+', ''), '[ \t\r\n]+$', '')"
+
+
+def _questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(QUESTIONS), "query_id int, question string")
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents")
+
+
+def _sec(c: str) -> F.Column:
+    return F.unix_timestamp(c).alias(c)
+
+
+def clean_whitespace(s: SparkSession, d: str) -> DataFrame:
+    t = T.collapse_blank_lines(T.collapse_blanks(T.unify_newlines(F.col("text"))))
+    return _docs(s, d).select("doc_id", F.length(t).alias("n"), F.md5(t).alias("digest"))
+
+
+def page_lines(s: SparkSession, d: str) -> DataFrame:
+    t = T.drop_page_lines(F.col("text"))
+    return _docs(s, d).select("doc_id", F.md5(t).alias("digest"))
+
+
+def clean_documents(s: SparkSession, d: str) -> DataFrame:
+    return cleaning.cleaned(_docs(s, d).select("doc_id", "text"))
+
+
+def strip_repeated_lines(s: SparkSession, d: str) -> DataFrame:
+    return cleaning.without_repeated_lines(_docs(s, d).select("doc_id", "text"), "text", keep_sentences=False).select("doc_id", F.md5("text").alias("digest"))
+
+
+def text_features(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return _docs(s, d).select("doc_id", T.script_language(t).alias("script"), F.length(t).alias("chars"), T.word_count(t).alias("words"), F.size(T.lexical_tokens(t)).alias("tokens"), F.md5(T.excerpt(t)).alias("excerpt"), T.initials(F.col("title")).alias("initials"))
+
+
+def document_ids(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", T.document_id(F.concat(F.col("source"), F.lit("/"), F.col("doc_key"), F.lit(".txt")), T.slug(F.col("source"))).alias("new_id"), T.cache_key(F.col("title")).alias("cache_key"), T.normal_question(F.col("title")).alias("question"), T.shorten(F.col("title")).alias("short"))
+
+
+def exact_dedup(s: SparkSession, d: str) -> DataFrame:
+    return cleaning.classify_copies(_docs(s, d).withColumn("o", F.struct("source", "doc_key")), "doc_id", "text", "o").select("doc_id", "status", F.col("duplicate_of").cast("string").alias("duplicate_of"))
+
+
+def latest_metadata(s: SparkSession, d: str) -> DataFrame:
+    m = cleaning.latest(table(s, d, "doc_metadata").distinct(), "doc_id", F.col("processed_at"), F.col("received_at"), F.col("char_count_clean"), F.col("title"))
+    return m.select("doc_id", "processed_at", "status", "char_count_clean")
+
+
+def profile_counts(s: SparkSession, d: str) -> DataFrame:
+    m = table(s, d, "doc_metadata").withColumn("year", F.substring("doc_date", 1, 4))
+    return quality.value_counts(m, ["source", "language", "category", "source_format", "extraction_method", "year"])
+
+
+def length_distribution(s: SparkSession, d: str) -> DataFrame:
+    return quality.distribution(_docs(s, d), T.word_count(F.col("text")))
+
+
+def segment_counts(s: SparkSession, d: str) -> DataFrame:
+    return quality.segment_counts(_docs(s, d).select("doc_key"), table(s, d, "segments"), "doc_key")
+
+
+def segment_profile(s: SparkSession, d: str) -> DataFrame:
+    n = quality.segment_counts(_docs(s, d).select("doc_key"), table(s, d, "segments"), "doc_key")
+    return n.agg(F.count("*").alias("documents"), F.count_if(F.col("n_segments") == 0).alias("without"), F.round(F.avg("n_segments"), 4).alias("mean"), F.max("n_segments").alias("most"), F.sum("n_segments").alias("total"))
+
+
+def coverage_gap(s: SparkSession, d: str) -> DataFrame:
+    m = table(s, d, "doc_metadata").where("language = 'ar' AND category = 'Procédure'")
+    return quality.coverage_gap(table(s, d, "feeds").select(F.col("source").alias("feed")), m, "feed")
+
+
+def quality_errors(s: SparkSession, d: str) -> DataFrame:
+    e = quality.metadata_errors(table(s, d, "doc_metadata").distinct()).select("doc_id", F.explode("errors").alias("error"))
+    return e.groupBy("doc_id", "error").agg(F.count("*").alias("n"))
+
+
+def quality_summary(s: SparkSession, d: str) -> DataFrame:
+    return quality.quality_summary(quality.metadata_errors(table(s, d, "doc_metadata")))
+
+
+def top_errors(s: SparkSession, d: str) -> DataFrame:
+    return quality.top_messages(quality.metadata_errors(table(s, d, "doc_metadata")))
+
+
+def expectation_suite(s: SparkSession, d: str) -> DataFrame:
+    return quality.expectations(table(s, d, "doc_metadata"))
+
+
+def privacy_summary(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "pii_matches").distinct()
+    return p.groupBy("pii_type").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"), F.count_distinct("rule_index").alias("rules"))
+
+
+def corpus_join(s: SparkSession, d: str) -> DataFrame:
+    m = cleaning.latest(table(s, d, "doc_metadata").distinct(), "doc_id", F.col("processed_at"), F.col("received_at"), F.col("char_count_clean"), F.col("title")).select("doc_id", "char_count_raw", "word_count_raw")
+    docs = _docs(s, d).select(F.col("doc_key").alias("doc_id"), F.length("text").alias("chars"))
+    return docs.join(m, "doc_id", "left").select("doc_id", "chars", F.col("char_count_raw").isNull().alias("missing"), F.coalesce(F.col("char_count_raw") != F.col("chars"), F.lit(False)).alias("differs"))
+
+
+def bm25_topk(s: SparkSession, d: str) -> DataFrame:
+    return search.bm25(_docs(s, d), "doc_id", "text", _questions(s).where("query_id = 1"), 10).select("doc_id", "score", "rank")
+
+
+def bm25_batch(s: SparkSession, d: str) -> DataFrame:
+    return search.bm25(table(s, d, "chunks").dropDuplicates(["chunk_id"]), "chunk_id", "text", _questions(s), 24)
+
+
+def bm25_filtered(s: SparkSession, d: str) -> DataFrame:
+    keep = search.metadata_filter(_docs(s, d), {"category": "Droit foncier"})
+    return search.bm25(_docs(s, d), "doc_id", "text", _questions(s), 10, keep=keep)
+
+
+def _vectors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = table(s, d, "embeddings")
+    return v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+def cosine_topk(s: SparkSession, d: str) -> DataFrame:
+    v, q = _vectors(s, d)
+    return search.cosine_topk(v, "vec_id", "embedding", q, 8)
+
+
+def cosine_recall(s: SparkSession, d: str) -> DataFrame:
+    v, q = _vectors(s, d)
+    top = search.cosine_topk(v, "vec_id", "embedding", q, 10)
+    labels = v.select("vec_id", "label")
+    hits = top.join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted")), "query_id")
+    return hits.groupBy("query_id").agg(F.round(F.avg((F.col("label") == F.col("wanted")).cast("int")), 6).alias("precision"))
+
+
+def hash_embed(s: SparkSession, d: str) -> DataFrame:
+    v = search.hash_embedding(F.col("text"), 32)
+    return table(s, d, "eval_items").select("item_id", v.alias("v")).select("item_id", F.round(F.element_at("v", 1), 5).alias("first"), F.round(F.element_at("v", 32), 5).alias("last"))
+
+
+def vector_upsert(s: SparkSession, d: str) -> DataFrame:
+    v = table(s, d, "embeddings")
+    changes = v.where("label < 5").select("vec_id", F.expr("transform(embedding, x -> cast(x * 2 as float))").alias("embedding"), F.lit(99).alias("label"), F.lit(1).alias("_version"))
+    out = search.delete_documents(search.upsert(v, changes, "vec_id"), v.where("label = 7"), "vec_id")
+    return out.groupBy("label").agg(F.count("*").alias("n"))
+
+
+def hybrid_rrf(s: SparkSession, d: str) -> DataFrame:
+    chunks = table(s, d, "chunks").dropDuplicates(["chunk_id"])
+    lexical = search.bm25(chunks, "chunk_id", "text", _questions(s), 24)
+    asked = _questions(s).select("query_id", search.hash_embedding(F.col("question"), 16).alias("query_vector"))
+    dense = search.cosine_topk(chunks.select("chunk_id", search.hash_embedding(F.col("text"), 16).alias("v")), "chunk_id", "v", asked, 24)
+    return search.reciprocal_rank_fusion({"dense": (dense, 1.0), "lexical": (lexical, 1.0)}, "chunk_id", 8)
+
+
+def rrf_two_lexical(s: SparkSession, d: str) -> DataFrame:
+    a = search.bm25(_docs(s, d), "doc_id", "text", _questions(s), 24)
+    b = search.bm25(_docs(s, d), "doc_id", "title", _questions(s), 24)
+    return search.reciprocal_rank_fusion({"text": (a, 1.0), "title": (b, 2.0)}, "doc_id", 8)
+
+
+def lexical_rerank(s: SparkSession, d: str) -> DataFrame:
+    docs = _docs(s, d).select("doc_id", "text")
+    top = search.bm25(docs, "doc_id", "text", _questions(s), 24).join(docs, "doc_id").join(_questions(s), "query_id")
+    return search.overlap_rerank(top, "question", "text", "doc_id", 8).select("query_id", "doc_id", F.col("score").cast("bigint").alias("score"), "rank")
+
+
+def recall_by_question(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "finetune_examples").dropDuplicates(["example_id"]).where("answer is not null")
+    got = c.select(F.col("example_id").alias("query_id"), F.explode("source_doc_ids").alias("doc")).withColumn("rank", F.lit(1))
+    relevant = c.select(F.col("example_id").alias("query_id"), F.array_union("source_doc_ids", F.array(F.lit("absent"))).alias("relevant"))
+    return search.recall_at_k(got, relevant, "doc", 8)
+
+
+def fixed_chunks(s: SparkSession, d: str) -> DataFrame:
+    c = structure.fixed_windows(_docs(s, d), "doc_id", "text")
+    return c.select("doc_id", "chunk_index", "token_count", "chunk_id")
+
+
+def heading_chunks(s: SparkSession, d: str) -> DataFrame:
+    return structure.windows(_docs(s, d), "doc_id", "text")
+
+
+def legal_segments(s: SparkSession, d: str) -> DataFrame:
+    return structure.segments(_docs(s, d), "doc_id", "text")
+
+
+def mask_emails(s: SparkSession, d: str) -> DataFrame:
+    t = masking.mask_emails(F.col("text"))
+    return _docs(s, d).select("doc_id", F.md5(t).alias("digest"), F.regexp_count("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")).alias("n"))
+
+
+def mask_documents(s: SparkSession, d: str) -> DataFrame:
+    m = _docs(s, d).select("doc_id", masking.masking()(F.col("text")).alias("m"))
+    return m.select("doc_id", "m.text", F.size("m.spans").alias("spans"))
+
+
+def detections(s: SparkSession, d: str) -> DataFrame:
+    return masking.detections(_docs(s, d), "doc_id", "text")
+
+
+def spell_corrections(s: SparkSession, d: str) -> DataFrame:
+    words = [r[0] for r in table(s, d, "lexicon").select("term").limit(20_000).collect()]
+    return spelling.corrected(_docs(s, d), "doc_id", "text", "method", words).select("doc_id", F.explode("corrections").alias("c")).select("doc_id", "c.*")
+
+
+def compress_context(s: SparkSession, d: str) -> DataFrame:
+    docs = _docs(s, d).select("doc_id", "text")
+    top = search.bm25(docs, "doc_id", "text", _questions(s), 24).join(docs, "doc_id")
+    return answering.compress(top.select("query_id", "rank", F.col("doc_id").cast("string").alias("chunk_id"), "text"))
+
+
+def answers(s: SparkSession, d: str) -> DataFrame:
+    requests = _questions(s).unionByName(s.createDataFrame([(5, " "), (6, "Quel temps fera-t-il demain ?"), (7, "contrat zzzz qqqq")], "query_id int, question string"))
+    docs = _docs(s, d).select("doc_id", "text")
+    top = search.bm25(docs, "doc_id", "text", _questions(s), 8).join(docs, "doc_id").select("query_id", "rank", F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    return answering.answers(requests, top, TERMS)
+
+
+def grounding(s: SparkSession, d: str) -> DataFrame:
+    m = table(s, d, "chat_messages").where("role = 'assistant'").distinct()
+    ids = F.transform(F.coalesce("sources", F.array().cast("array<struct<id:string,label:string,excerpt:string,reference:string>>")), lambda x: x["id"])
+    return m.select("message_id", F.size(ids).alias("sources"), (F.size(ids) > F.size(F.array_distinct(ids))).alias("repeats"), answering.in_scope(F.coalesce("content", F.lit("")), TERMS).alias("in_scope"))
+
+
+def near_copies(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "chunks").dropDuplicates(["chunk_id"]).select("doc_id", "chunk_index", F.array_distinct(T.lexical_tokens(F.col("text"))).alias("t"))
+    after = c.select("doc_id", (F.col("chunk_index") - 1).alias("chunk_index"), F.col("t").alias("u"))
+    return c.join(after, ["doc_id", "chunk_index"]).groupBy("doc_id", "chunk_index").agg(F.max(F.round(search.jaccard(F.col("t"), F.col("u")), 6)).alias("jaccard"))
+
+
+def regression_gate(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    old = e.where("ts < timestamp_ntz '2024-01-16'").groupBy("event_type").agg(F.avg("value").alias("value"))
+    new = e.where("ts >= timestamp_ntz '2024-01-16'").groupBy("event_type").agg(F.avg("value").alias("value"))
+    r = quality.regressions(old, new, "event_type", 0.05)
+    return r.select("event_type", F.round("baseline", 4).alias("baseline"), F.round("candidate", 4).alias("candidate"), F.round("drop", 4).alias("loss"))
+
+
+def promotion_gate(s: SparkSession, d: str) -> DataFrame:
+    m = table(s, d, "chat_messages").where("role = 'assistant'").distinct().agg(F.avg((F.col("feedback") == "up").cast("double")).alias("faithfulness"), F.avg(F.col("refused").cast("double")).alias("hallucination"))
+    rows = m.select(F.explode(F.map_from_arrays(F.array(F.lit("faithfulness"), F.lit("hallucination")), F.array("faithfulness", "hallucination"))).alias("metric", "value"))
+    return quality.promotion(rows, {"faithfulness": 0.94, "recall": 0.89}, {"hallucination": 0.03}).select("promote", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def validation_split(s: SparkSession, d: str) -> DataFrame:
+    x = quality.split_rows(table(s, d, "finetune_examples").dropDuplicates(["example_id"]), "example_id", 0.2, 7)
+    return x.select("example_id", "is_validation")
+
+
+def event_rate(s: SparkSession, d: str) -> DataFrame:
+    return monitoring.rates(table(s, d, "events"), "ts", 3600, "event_type").select(_sec("window_start"), "event_type", "n", "rate")
+
+
+def error_ratio(s: SparkSession, d: str) -> DataFrame:
+    return monitoring.ratio(table(s, d, "events"), "ts", 3600, F.col("event_type") == "error").select(_sec("window_start"), "n", "hits", "ratio")
+
+
+def error_alert(s: SparkSession, d: str) -> DataFrame:
+    r = monitoring.ratio(table(s, d, "events"), "ts", 3600, F.col("event_type") == "error")
+    return monitoring.firing(r, F.col("ratio") > 0.2, 3600, 3 * 3600).select(_sec("started"), _sec("ended"), "windows")
+
+
+def value_histogram(s: SparkSession, d: str) -> DataFrame:
+    h = monitoring.histogram(table(s, d, "events"), "value", (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0), "event_type")
+    return h.select("event_type", F.when(F.col("le") == float("inf"), -1.0).otherwise(F.col("le")).alias("le"), "n")
+
+
+def histogram_quantile(s: SparkSession, d: str) -> DataFrame:
+    h = monitoring.histogram(table(s, d, "events"), "value", (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0), "event_type")
+    return monitoring.histogram_quantile(h, 0.95, "event_type")
+
+
+def latency_summary(s: SparkSession, d: str) -> DataFrame:
+    return search.latency_summary(table(s, d, "events"), "value")
+
+
+def day_over_day_surge(s: SparkSession, d: str) -> DataFrame:
+    return monitoring.surge(table(s, d, "events"), "ts", "value", 86400 // 4, factor=1.2).select(_sec("window_start"), "total", "before")
+
+
+def missing_windows(s: SparkSession, d: str) -> DataFrame:
+    return monitoring.absent(table(s, d, "events").where("event_type = 'error'"), "ts", 3600).select(_sec("window_start"))
+
+
+def inhibited_alerts(s: SparkSession, d: str) -> DataFrame:
+    day = F.date_format("ts", "yyyy-MM-dd")
+    a = table(s, d, "events").groupBy(day.alias("alertname"), F.col("event_type").alias("module")).agg(F.max("value").alias("v"))
+    both = a.where("v > 150").select("alertname", "module", F.lit("critical").alias("severity")).unionByName(a.where("v > 100").select("alertname", "module", F.lit("warning").alias("severity")))
+    return monitoring.inhibited(both)
+
+
+def user_sessions(s: SparkSession, d: str) -> DataFrame:
+    x = monitoring.sessions(table(s, d, "events"), "user_id", "ts", 6 * 3600)
+    return x.select("user_id", F.col("session").cast("bigint").alias("session"), _sec("started"), _sec("ended"), "n")
+
+
+def sliding_activity(s: SparkSession, d: str) -> DataFrame:
+    w = table(s, d, "events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return w.select(F.unix_timestamp("w.start").alias("window_start"), "event_type", "n")
+
+
+def audit_filter(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return monitoring.safe_lines(e, "props").where((F.col("event_type") == "error") & (k >= 50) & ~F.col("props").rlike(monitoring.FORBIDDEN)).select("event_id", k.alias("k"))
+
+
+def leak_scan(s: SparkSession, d: str) -> DataFrame:
+    m = table(s, d, "doc_metadata").select("doc_id", F.to_json(F.struct("file_path", "title", F.struct("source_format", "extraction_method").alias("how"))).alias("report"))
+    return monitoring.leak_scan(m, "doc_id", "report", table(s, d, "doc_metadata").select("doc_id"))
+
+
+def conversation_tail(s: SparkSession, d: str) -> DataFrame:
+    m = table(s, d, "chat_messages").select("conversation_id", "message_id", "turn", "role").distinct()
+    return relations.newest(m, "conversation_id", "turn", 6)
+
+
+def feedback_upsert(s: SparkSession, d: str) -> DataFrame:
+    m = table(s, d, "chat_messages").select("message_id", "feedback", "received_at").distinct()
+    return cleaning.latest(m, "message_id", F.col("received_at"), F.col("feedback")).groupBy("feedback").agg(F.count("*").alias("n"))
+
+
+def text_search(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).where(T.contains_all(F.concat_ws(" ", "title", "source", "category"), F.lit("note garantie"))).select("doc_id", "title")
+
+
+def raci_grid(s: SparkSession, d: str) -> DataFrame:
+    nations, regions = table(s, d, "nation"), table(s, d, "region")
+    first = nations.groupBy("n_regionkey").agg(F.min("n_name").alias("lead"), F.sort_array(F.collect_list("n_name")).alias("all"))
+    modules = regions.join(first, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("module"), "lead", "all")
+    return relations.grid(nations.select(F.col("n_name").alias("member")), modules, "lead", "all")
+
+
+def dependency_closure(s: SparkSession, d: str) -> DataFrame:
+    n = table(s, d, "nation").select((F.col("n_nationkey") / 2).cast("int").alias("src"), F.col("n_nationkey").alias("dst")).where("src <> dst")
+    return relations.closure(n)
+
+
+def order_revenue(s: SparkSession, d: str) -> DataFrame:
+    """A join and aggregation of the general tables, as any query that users bring."""
+    l, o, c, n = (table(s, d, x) for x in ("lineitem", "orders", "customer", "nation"))
+    j = l.join(o, l["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
+    return j.groupBy("n_name", F.year("o_orderdate").alias("year")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+def synthetic_documents(s: SparkSession, d: str) -> DataFrame:
+    return files.synthetic_documents(s, 100).select("doc_id", "source", "language", "category", "doc_date")
+
+
+def token_totals(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "chunks").select("chunk_id", "language", "text").dropDuplicates(["chunk_id"])
+    return c.groupBy(F.coalesce("language", F.lit("(non renseigné)")).alias("language")).agg(F.count("*").alias("chunks"), F.sum(T.word_count(F.col("text"))).alias("tokens"))
+
+
+_QUERIES: tuple[Query, ...] = (
+    clean_whitespace, page_lines, clean_documents, strip_repeated_lines, text_features, document_ids, exact_dedup, latest_metadata, profile_counts, length_distribution, segment_counts, segment_profile, coverage_gap,
+    quality_errors, quality_summary, top_errors, expectation_suite, privacy_summary, corpus_join, bm25_topk, bm25_batch, bm25_filtered, cosine_topk, cosine_recall, hash_embed, vector_upsert, hybrid_rrf, rrf_two_lexical,
+    lexical_rerank, recall_by_question, fixed_chunks, heading_chunks, legal_segments, mask_emails, mask_documents, detections, spell_corrections, compress_context, answers, grounding, near_copies, regression_gate,
+    promotion_gate, validation_split, event_rate, error_ratio, error_alert, value_histogram, histogram_quantile, latency_summary, day_over_day_surge, missing_windows, inhibited_alerts, user_sessions, sliding_activity,
+    audit_filter, leak_scan, conversation_tail, feedback_upsert, text_search, raci_grid, dependency_closure, order_revenue, synthetic_documents, token_totals,
+)
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in _QUERIES}
+
+
+_BLANKS = "regexp_replace({}, '[ \\t]+', ' ', 'g')"
+_CLEAN = _TRIM.format("regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")
+_LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY processed_at DESC NULLS LAST, received_at DESC NULLS LAST, char_count_clean DESC NULLS LAST, title DESC NULLS LAST) AS rn FROM (SELECT DISTINCT * FROM doc_metadata)) WHERE rn = 1)"
+
+
+def _bm25_sql(source: str, key: str, text: str, questions: str, limit: int, keep: str = "") -> str:
+    return f"""
+tok AS (SELECT {key}, regexp_extract_all(lower({text}), {_TOK}) AS t FROM {source}),
+stats AS (SELECT count(*) AS n, sum(len(t)) / count(*) AS avgdl FROM tok),
+asked AS (SELECT query_id, unnest(regexp_extract_all(lower(question), {_TOK})) AS term FROM {questions}),
+post AS (SELECT {key}, len(t) AS length, unnest(t) AS term FROM tok),
+tf AS (SELECT {key}, length, term, count(*) AS tf FROM post WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+total AS (SELECT a.query_id, f.{key}, round(sum(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * f.tf * 2.5 / (f.tf + 1.5 * (0.25 + 0.75 * f.length / s.avgdl))), 6) AS score
+  FROM asked a JOIN tf f USING (term) JOIN df d USING (term) CROSS JOIN stats s {keep} GROUP BY a.query_id, f.{key}),
+best AS (SELECT query_id, {key}, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}) AS INTEGER) AS rank FROM total WHERE score > 0 QUALIFY rank <= {limit})"""
+
+
+_FORBIDDEN_SQL = r"regexp_matches(props, '[\w.+-]+@[\w-]+\.[\w.-]+|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')"
+_HOUR = "CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT)"
+_BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0)
+_HIST = "SELECT event_type, le, count(*) FILTER (WHERE le < 0 OR value <= le) AS n FROM events CROSS JOIN (VALUES " + ", ".join(f"({b})" for b in (*_BOUNDS, -1.0)) + ") b(le) WHERE value IS NOT NULL GROUP BY event_type, le"
+_ERRORS = r"""
+SELECT doc_id, error FROM (
+ SELECT doc_id, unnest(list_filter([
+  CASE WHEN trim(coalesce(title, '')) = '' THEN 'missing: title' END, CASE WHEN trim(coalesce(doc_date, '')) = '' THEN 'missing: date' END, CASE WHEN trim(coalesce(source, '')) = '' THEN 'missing: source' END,
+  CASE WHEN regexp_matches(doc_id, '\s') THEN 'schema: doc_id' END,
+  CASE WHEN trim(coalesce(source, '')) <> '' AND source NOT IN ('Bulletin Officiel', 'Contrat Type', 'Dépôt Interne', 'Jurisprudence', 'Portail Officiel') THEN 'schema: source' END,
+  CASE WHEN NOT coalesce(language IN ('fr', 'ar'), false) THEN 'schema: language' END,
+  CASE WHEN trim(coalesce(doc_date, '')) <> '' AND (NOT regexp_full_match(doc_date, '(?:[0-9]{4}|[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]))') OR try_cast(substr(doc_date, 1, 4) AS INTEGER) < 1900) THEN 'schema: date' END,
+  CASE WHEN regexp_matches(file_path, '^(?:/|[A-Za-z]:)') THEN 'schema: file_path' END, CASE WHEN trim(coalesce(file_path, '')) = '' THEN 'missing: file_path' END,
+  CASE WHEN coalesce(word_count_clean, 0) < 5 THEN 'text: too short' END], lambda x: x IS NOT NULL)) AS error FROM {t})
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    q1 = f"(SELECT * FROM {_Q_SQL} WHERE query_id = 1)"
+    ask = f"(SELECT * FROM {_Q_SQL})"
+    chunks = "(SELECT chunk_id, any_value(text) AS text FROM chunks GROUP BY chunk_id)"
+    date = "'(?:[0-9]{4}|[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]))'"
+    sources = "('Bulletin Officiel', 'Contrat Type', 'Dépôt Interne', 'Jurisprudence', 'Portail Officiel')"
+    expectations = {
+        "rows_at_least_1": "CASE WHEN count(*) < 1 THEN 1 ELSE 0 END", "doc_id_not_null": "count(*) FILTER (WHERE doc_id IS NULL)", "doc_id_unique": "count(doc_id) - count(DISTINCT doc_id)", "doc_id_no_space": "count(*) FILTER (WHERE regexp_matches(doc_id, '\\s'))",
+        "title_not_null": "count(*) FILTER (WHERE title IS NULL)", "title_not_empty": "count(*) FILTER (WHERE length(title) < 1)", "source_in_set": f"count(*) FILTER (WHERE source NOT IN {sources})", "language_in_set": "count(*) FILTER (WHERE language NOT IN ('fr', 'ar'))",
+        "date_format": f"count(*) FILTER (WHERE NOT regexp_full_match(doc_date, {date}))", "category_not_null": "count(*) FILTER (WHERE category IS NULL)", "file_path_not_null": "count(*) FILTER (WHERE file_path IS NULL)",
+        "file_path_relative": "count(*) FILTER (WHERE regexp_matches(file_path, '^(?:/|[A-Za-z]:)'))", "words_in_range": "count(*) FILTER (WHERE word_count_clean < 5 OR word_count_clean > 20000)", "chars_at_least_1": "count(*) FILTER (WHERE char_count_clean < 1)",
+        "segments_not_negative": "count(*) FILTER (WHERE segment_count < 0)", "status_success": "count(*) FILTER (WHERE status <> 'SUCCESS')",
+    }
+    fields = {"source": "source", "language": "language", "category": "category", "source_format": "source_format", "extraction_method": "extraction_method", "year": "substr(doc_date, 1, 4)"}
+    single = [t for t in TERMS if " " not in t]
+    several = [t for t in TERMS if " " in t]
+    rrf = "SELECT query_id, doc_id, score, methods, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT query_id, doc_id, round(sum(part), 8) AS score, string_agg(m, '+' ORDER BY m) AS methods FROM u GROUP BY query_id, doc_id) QUALIFY rank <= 8"
+    first = _bm25_sql("documents", "doc_id", "text", ask, 24)
+    second = _bm25_sql("documents", "doc_id", "title", ask, 24)
+    for name in ("tok", "stats", "asked", "post", "tf", "df", "total", "best"):
+        second = second.replace(f"{name} AS (", f"{name}2 AS (").replace(f"FROM {name})", f"FROM {name}2)").replace(f"FROM {name} ", f"FROM {name}2 ").replace(f"JOIN {name} ", f"JOIN {name}2 ")
+    return {
+        "clean_whitespace": f"SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, {_CLEAN} AS t FROM documents)",
+        "page_lines": "SELECT doc_id, md5(regexp_replace(text, '(?im)^[ \\t]*(?:page[ \\t]*[0-9]+(?:[ \\t]*(?:/|sur|of)[ \\t]*[0-9]+)?|(?:صفحة|الصفحة)[ \\t]*[0-9٠-٩]+(?:[ \\t]*(?:/|من)[ \\t]*[0-9٠-٩]+)?|-[ \\t]*[0-9]+[ \\t]*-|[0-9]+[ \\t]*(?:/|sur|of|من)[ \\t]*[0-9]+)[ \\t]*$', '', 'g')) AS digest FROM documents",
+        "strip_repeated_lines": """
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+c AS (SELECT *, trim(line) AS k, count(*) OVER (PARTITION BY doc_id, trim(line)) AS n FROM l),
+r AS (SELECT *, n >= 3 AND length(k) BETWEEN 1 AND 80 AND NOT regexp_matches(k, '(?i)^(?:article|art\\.|alin[ée]a|al\\.|المادة|الفصل|الفقرة)\\s*[0-9٠-٩]+') AS drop_it FROM c),
+k AS (SELECT doc_id, any_value(text) AS text, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT drop_it), '') AS kept, bool_or(drop_it) AS hit FROM r GROUP BY doc_id)
+SELECT doc_id, md5(CASE WHEN NOT hit OR regexp_replace(kept, '[ \\t\\r\\n]', '', 'g') = '' THEN text ELSE kept END) AS digest FROM k""",
+        "text_features": f"""
+SELECT doc_id, CASE WHEN regexp_matches(text, '[؀-ۿ]') THEN 'ar' ELSE 'fr' END AS script, length(text) AS chars, len(regexp_extract_all(text, {_WS})) AS words, len(regexp_extract_all(lower(text), {_TOK})) AS tokens,
+ md5(CASE WHEN length(f) > 500 THEN rtrim(substr(f, 1, 499)) || '…' ELSE f END) AS excerpt, upper(array_to_string(list_transform(list_slice(regexp_extract_all(title, {_WS}), 1, 2), lambda w: substr(w, 1, 1)), '')) AS initials
+FROM (SELECT *, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS f FROM documents)""",
+        "document_ids": "SELECT doc_id, regexp_replace(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || '-' || substr(sha1(source || '/' || doc_key || '.txt'), 1, 16) AS new_id, sha256(lower(trim(title))) AS cache_key, regexp_replace(lower(trim(title)), '[ \\t\\r\\n]+', ' ', 'g') AS question, CASE WHEN length(title) > 60 THEN substr(title, 1, 60) || '...' ELSE title END AS short FROM documents",
+        "exact_dedup": """
+WITH h AS (SELECT doc_id, source, doc_key, sha256(text) AS h, coalesce(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')), '') = '' AS e FROM documents),
+f AS (SELECT *, first_value(doc_id) OVER (PARTITION BY h, e ORDER BY source, doc_key, doc_id) AS f FROM h)
+SELECT doc_id, CASE WHEN e THEN 'skipped' WHEN f <> doc_id THEN 'duplicate' ELSE 'success' END AS status, CASE WHEN NOT e AND f <> doc_id THEN CAST(f AS VARCHAR) END AS duplicate_of FROM f""",
+        "latest_metadata": f"SELECT doc_id, processed_at, status, char_count_clean FROM {_LATEST}",
+        "profile_counts": " UNION ALL ".join(f"SELECT '{k}' AS field, coalesce(CASE WHEN trim({v}) = '' THEN NULL ELSE {v} END, '(non renseigné)') AS value, count(*) AS n FROM doc_metadata GROUP BY 2" for k, v in fields.items()),
+        "length_distribution": f"SELECT count(w) AS n, min(w) AS min, round(median(w), 2) AS median, round(avg(w), 2) AS mean, max(w) AS max, CAST(sum(w) AS BIGINT) AS total FROM (SELECT len(regexp_extract_all(text, {_WS})) AS w FROM documents)",
+        "segment_counts": "SELECT doc_key, count(s.doc_id) AS n_segments FROM documents d LEFT JOIN segments s ON s.doc_id = d.doc_key GROUP BY doc_key",
+        "segment_profile": "SELECT count(*) AS documents, count(*) FILTER (WHERE n = 0) AS without, round(avg(n), 4) AS mean, max(n) AS most, CAST(sum(n) AS BIGINT) AS total FROM (SELECT doc_key, count(s.doc_id) AS n FROM documents d LEFT JOIN segments s ON s.doc_id = d.doc_key GROUP BY doc_key)",
+        "coverage_gap": "SELECT DISTINCT source AS feed FROM feeds WHERE source NOT IN (SELECT feed FROM doc_metadata WHERE language = 'ar' AND category = 'Procédure' AND feed IS NOT NULL)",
+        "quality_errors": f"SELECT doc_id, error, count(*) AS n FROM ({_ERRORS.replace('{t}', '(SELECT DISTINCT * FROM doc_metadata)')}) GROUP BY doc_id, error",
+        "top_errors": f"SELECT error AS message, count(*) AS n FROM ({_ERRORS.replace('{t}', 'doc_metadata')}) GROUP BY error ORDER BY n DESC, message LIMIT 10",
+        "expectation_suite": " UNION ALL ".join(f"SELECT '{k}' AS expectation, CAST({v} AS BIGINT) AS failures FROM doc_metadata" for k, v in expectations.items()),
+        "privacy_summary": "SELECT pii_type, count(*) AS n, count(DISTINCT doc_id) AS documents, count(DISTINCT rule_index) AS rules FROM (SELECT DISTINCT * FROM pii_matches) GROUP BY pii_type",
+        "corpus_join": f"SELECT d.doc_key AS doc_id, length(d.text) AS chars, m.char_count_raw IS NULL AS missing, coalesce(m.char_count_raw <> length(d.text), false) AS differs FROM documents d LEFT JOIN {_LATEST} m ON m.doc_id = d.doc_key",
+        "bm25_topk": f"WITH {_bm25_sql('documents', 'doc_id', 'text', q1, 10)} SELECT doc_id, score, rank FROM best",
+        "bm25_batch": f"WITH {_bm25_sql(chunks, 'chunk_id', 'text', ask, 24)} SELECT * FROM best",
+        "bm25_filtered": f"WITH {_bm25_sql('documents', 'doc_id', 'text', ask, 10, keep='WHERE f.doc_id IN (SELECT doc_id FROM documents WHERE category = ' + chr(39) + 'Droit foncier' + chr(39) + ')')} SELECT * FROM best",
+        "cosine_topk": "SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) DESC, v.vec_id) AS INTEGER) AS rank FROM embeddings v CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY rank <= 8",
+        "cosine_recall": "SELECT query_id, round(avg(hit), 6) AS precision FROM (SELECT q.vec_id AS query_id, CAST(v.label = q.label AS INTEGER) AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) DESC, v.vec_id) AS rank FROM embeddings v CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY rank <= 10) GROUP BY query_id",
+        "hash_embed": f"WITH h AS (SELECT item_id, list_transform(regexp_extract_all(lower(text), {_WS}), lambda w: sha256(w)) AS h FROM eval_items), v AS (SELECT item_id, list_transform(range(32), lambda i: list_sum(list_transform(h, lambda x: CAST('0x' || substr(x, CAST(i * 2 + 1 AS BIGINT), 2) AS INTEGER) / 127.5 - 1.0))) AS v FROM h), n AS (SELECT item_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v) SELECT item_id, round(v[1] / n, 5) AS first, round(v[32] / n, 5) AS last FROM n",
+        "vector_upsert": "SELECT CASE WHEN label < 5 THEN 99 ELSE label END AS label, count(*) AS n FROM embeddings WHERE label <> 7 GROUP BY 1",
+        "rrf_two_lexical": f"WITH {first}, {second}, u AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS part, 'text' AS m FROM best UNION ALL SELECT query_id, doc_id, 2.0 / (60 + rank), 'title' FROM best2) {rrf}",
+        "lexical_rerank": f"WITH {first}, s AS (SELECT b.query_id, b.doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(q.question), {_TOK})), list_distinct(regexp_extract_all(lower(d.text), {_TOK})))) AS score FROM best b JOIN documents d USING (doc_id) JOIN {ask} q USING (query_id)) SELECT query_id, doc_id, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 8",
+        "recall_by_question": "SELECT example_id AS query_id, round(CAST(len(list_distinct(source_doc_ids)) AS DOUBLE) / (len(list_distinct(source_doc_ids)) + 1), 6) AS recall FROM (SELECT example_id, any_value(source_doc_ids) AS source_doc_ids, any_value(answer) AS answer FROM finetune_examples GROUP BY example_id) WHERE answer IS NOT NULL",
+        "fixed_chunks": f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, {_WS}) AS w FROM documents), r AS (SELECT doc_id, w, unnest(range(0, CAST(greatest(len(w) - 65, 0) + 1 AS BIGINT), 448)) AS pos FROM w WHERE len(w) > 0),
+p AS (SELECT doc_id, CAST(pos // 448 AS INTEGER) AS chunk_index, list_slice(w, pos + 1, pos + 512) AS part FROM r)
+SELECT doc_id, chunk_index, len(part) AS token_count, sha256('v1' || chr(31) || doc_id || chr(31) || chunk_index || chr(31) || chr(31) || array_to_string(part, ' ')) AS chunk_id FROM p""",
+        "mask_emails": "SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g')) AS digest, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS n FROM documents",
+        "grounding": f"SELECT message_id, coalesce(len(sources), 0) AS sources, coalesce(len(sources), 0) > coalesce(len(list_distinct(list_transform(sources, lambda x: x.id))), 0) AS repeats, list_has_any(regexp_extract_all(lower(coalesce(content, '')), {_TOK}), {single}) OR " + " OR ".join(f"contains(lower(coalesce(content, '')), '{x}')" for x in several) + " AS in_scope FROM (SELECT DISTINCT * FROM chat_messages WHERE role = 'assistant')",
+        "near_copies": f"WITH c AS (SELECT chunk_id, any_value(doc_id) AS doc_id, any_value(chunk_index) AS chunk_index, list_distinct(regexp_extract_all(lower(any_value(text)), {_TOK})) AS t FROM chunks GROUP BY chunk_id) SELECT a.doc_id, a.chunk_index, max(round(CASE WHEN len(list_distinct(list_concat(a.t, b.t))) = 0 THEN 1.0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END, 6)) AS jaccard FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.chunk_index = a.chunk_index + 1 GROUP BY 1, 2",
+        "regression_gate": "WITH o AS (SELECT event_type, avg(value) AS v FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), n AS (SELECT event_type, avg(value) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1) SELECT event_type, round(o.v, 4) AS baseline, round(n.v, 4) AS candidate, round(o.v - n.v, 4) AS loss FROM o JOIN n USING (event_type) WHERE round(o.v - n.v, 6) > 0.05",
+        "promotion_gate": "SELECT len(r) = 0 AS promote, array_to_string(r, '; ') AS reasons FROM (SELECT list_filter([CASE WHEN f IS NULL THEN 'faithfulness missing' WHEN f < 0.94 THEN 'faithfulness below 0.94' END, 'recall missing', CASE WHEN h IS NULL THEN 'hallucination missing' WHEN h > 0.03 THEN 'hallucination above 0.03' END], lambda x: x IS NOT NULL) AS r FROM (SELECT avg(CAST(feedback = 'up' AS INTEGER)) AS f, avg(CAST(refused AS INTEGER)) AS h FROM (SELECT DISTINCT * FROM chat_messages WHERE role = 'assistant')))",
+        "event_rate": f"SELECT {_HOUR} AS window_start, event_type, count(*) AS n, round(count(*) / 3600, 8) AS rate FROM events GROUP BY 1, 2",
+        "error_ratio": f"SELECT {_HOUR} AS window_start, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS hits, round(count(*) FILTER (WHERE event_type = 'error') / count(*), 8) AS ratio FROM events GROUP BY 1",
+        "error_alert": f"WITH w AS (SELECT {_HOUR} AS s, count(*) FILTER (WHERE event_type = 'error') / count(*) AS r FROM events GROUP BY 1), g AS (SELECT s, s - 3600 * row_number() OVER (ORDER BY s) AS k FROM w WHERE round(r, 8) > 0.2) SELECT min(s) AS started, max(s) AS ended, count(*) AS windows FROM g GROUP BY k HAVING count(*) >= 3",
+        "value_histogram": _HIST,
+        "histogram_quantile": f"""
+WITH h AS ({_HIST}), o AS (SELECT event_type, CASE WHEN le < 0 THEN 1e300 ELSE le END AS le, n FROM h),
+x AS (SELECT *, coalesce(lag(n) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0) AS low, max(n) OVER (PARTITION BY event_type) AS total FROM o WINDOW w AS (PARTITION BY event_type ORDER BY le))
+SELECT event_type, round(CASE WHEN le = 1e300 THEN 250.0 ELSE low + (le - low) * (total * 0.95 - below) / (n - below) END, 6) AS quantile FROM x WHERE n >= total * 0.95 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY le) = 1""",
+        "latency_summary": "SELECT count(value) AS n, min(value) AS min, round(avg(value), 6) AS mean, round(median(value), 6) AS p50, quantile_disc(value, 0.95) AS p95 FROM events",
+        "day_over_day_surge": "WITH t AS (SELECT CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS s, round(sum(value), 4) AS v FROM events GROUP BY 1) SELECT a.s AS window_start, a.v AS total, b.v AS before FROM t a JOIN t b ON a.s = b.s + 86400 WHERE a.v > 1.2 * b.v",
+        "missing_windows": f"WITH s AS (SELECT DISTINCT {_HOUR} AS s FROM events WHERE event_type = 'error') SELECT unnest(range((SELECT min(s) FROM s), (SELECT max(s) FROM s) + 1, 3600)) AS window_start EXCEPT SELECT s FROM s",
+        "inhibited_alerts": "WITH a AS (SELECT strftime(ts, '%Y-%m-%d') AS alertname, event_type AS module, max(value) AS v FROM events GROUP BY 1, 2) SELECT alertname, module, CASE WHEN v > 150 THEN 'critical' ELSE 'warning' END AS severity FROM a WHERE v > 100",
+        "user_sessions": "WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000 THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, CAST(sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM e) SELECT user_id, session, CAST(floor(epoch(min(ts))) AS BIGINT) AS started, CAST(floor(epoch(max(ts))) AS BIGINT) AS ended, count(*) AS n FROM g GROUP BY user_id, session",
+        "sliding_activity": f"SELECT s AS window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest([{_HOUR}, {_HOUR} - 3600]) AS s FROM events) GROUP BY 1, 2",
+        "audit_filter": f"SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type = 'error' AND CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50 AND NOT {_FORBIDDEN_SQL}",
+        "conversation_tail": "SELECT conversation_id, message_id, turn, role FROM (SELECT DISTINCT conversation_id, message_id, turn, role FROM chat_messages) QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC, message_id) <= 6",
+        "feedback_upsert": "SELECT feedback, count(*) AS n FROM (SELECT DISTINCT message_id, feedback, received_at FROM chat_messages QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY received_at DESC NULLS LAST, feedback DESC NULLS LAST) = 1) GROUP BY feedback",
+        "text_search": "SELECT doc_id, title FROM documents WHERE contains(lower(concat_ws(' ', title, source, category)), 'note') AND contains(lower(concat_ws(' ', title, source, category)), 'garantie')",
+        "raci_grid": "SELECT m.n_name AS member, r.r_name AS module, CASE WHEN m.n_name = (SELECT min(n_name) FROM nation x WHERE x.n_regionkey = r.r_regionkey) THEN 'A' WHEN m.n_regionkey = r.r_regionkey THEN 'C' ELSE 'I' END AS role FROM nation m CROSS JOIN region r WHERE EXISTS (SELECT 1 FROM nation x WHERE x.n_regionkey = r.r_regionkey)",
+        "dependency_closure": "WITH RECURSIVE e AS (SELECT n_nationkey // 2 AS src, n_nationkey AS dst FROM nation WHERE n_nationkey // 2 <> n_nationkey), c AS (SELECT src, dst, 1 AS hops FROM e UNION SELECT c.src, e.dst, c.hops + 1 FROM c JOIN e ON c.dst = e.src) SELECT src, dst, min(hops) AS hops FROM c GROUP BY src, dst",
+        "order_revenue": "SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2",
+        "synthetic_documents": "SELECT source || '-' || lpad(CAST(i AS VARCHAR), 5, '0') AS doc_id, source, CASE WHEN i % 4 = 3 THEN 'ar' ELSE 'fr' END AS language, ['travail', 'foncier', 'commercial', 'rural', 'procédure'][i % 5 + 1] AS category, '20' || lpad(CAST(i % 24 AS VARCHAR), 2, '0') AS doc_date FROM (SELECT i, ['bulletin', 'jurisprudence', 'contrats'][i % 3 + 1] AS source FROM range(100) t(i))",
+        "token_totals": f"SELECT coalesce(language, '(non renseigné)') AS language, count(*) AS chunks, CAST(sum(len(regexp_extract_all(text, {_WS}))) AS BIGINT) AS tokens FROM (SELECT chunk_id, any_value(language) AS language, any_value(text) AS text FROM chunks GROUP BY chunk_id) GROUP BY 1",
+        "quality_summary": f"WITH bad AS (SELECT rid FROM ({_ERRORS.replace('doc_id, error FROM', 'rid, error FROM').replace('SELECT doc_id, unnest', 'SELECT rid, unnest').replace('{t}', '(SELECT *, row_number() OVER () AS rid FROM doc_metadata)')}) GROUP BY rid) SELECT count(*) AS total, count(*) - (SELECT count(*) FROM bad) AS passed, (SELECT count(*) FROM bad) AS failed, round((count(*) - (SELECT count(*) FROM bad)) / count(*), 4) AS pass_rate FROM doc_metadata",
+    }
