@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 #: A token is a run of characters other than these (TESTDATA.md).
@@ -16,6 +17,7 @@ TOKEN_SPACE = " \t\n\r\f"
 _ODD_SPACE = re.compile("[\x0b\x1c-\x1f\x85\xa0  -     　]")
 _TOKEN = re.compile(r"[^ \t\n\r\f]+")
 _WORD = re.compile(r"[^\W_]+")
+_MARKS = regex.compile(r"\p{M}+")
 
 
 def split_tokens(text: str) -> list[str]:
@@ -37,7 +39,7 @@ def bare(text: str) -> str:
     """``text`` without case and combining marks, after canonical decomposition."""
     if text.isascii():
         return text.lower()
-    return "".join(c for c in unicodedata.normalize("NFD", text.casefold()) if not unicodedata.category(c).startswith("M"))
+    return _MARKS.sub("", unicodedata.normalize("NFD", text.casefold()))
 
 
 def bare_words(text: str) -> list[str]:

@@ -9,6 +9,7 @@ whose last line looks whole but could be the middle of something, such as a numb
 
 from __future__ import annotations
 
+import functools
 import re
 from difflib import SequenceMatcher
 
@@ -70,25 +71,43 @@ def _compiled() -> list[tuple[re.Pattern, str]]:
 
 
 _CLOSING = _compiled()
+_BY_WORD: dict[str, list] = {}
+_BY_LETTER: dict[str, list] = {}
+for _p, _w in _CLOSING:
+    _BY_WORD.setdefault(_w.split(" ", 1)[0], []).append((_p, _w))
+    _BY_LETTER.setdefault(_w[:1], []).append((_w, set(_w)))
 _TITLES = tuple(bare(t) for t in TITLES)
 _FIXES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "e", "7": "t", "8": "b", "9": "g", "@": "a", "|": "l", "$": "s"})
 
 
+#: A line that follows the end of a text is no longer than this.
+_LONGEST_CLOSING = 130
+
+
 def closing_line(line: str) -> bool:
     """Whether the line is one that may follow the end of a text, read with some tolerance of misread letters."""
+    if len(line) > _LONGEST_CLOSING:
+        return False
     frame = _frame(line)
     if not frame:
         return not any(c.isdigit() for c in line)
-    if any(p.match(frame) for p, _ in _CLOSING):
+    if any(p.match(frame) for p, _ in _BY_WORD.get(frame.split(" ", 1)[0], ())):
         return True
-    if len(line) > 110:
+    if len(line) > 110 or line.rstrip().endswith("."):
         return False
-    for text in (frame, _frame(line.translate(_FIXES))):
-        for _, words in _CLOSING:
-            head = text[: len(words) + 3]
-            if len(words) >= 9 and head[:1] == words[:1] and len(text) <= len(words) + 30:
-                if SequenceMatcher(None, words, head, autojunk=False).ratio() >= 0.86 or len(words) >= 20 and SequenceMatcher(None, words, text, autojunk=False).ratio() >= 0.82:
-                    return True
+    return _nearly_closing(frame) or _nearly_closing(_frame(line.translate(_FIXES)))
+
+
+@functools.lru_cache(maxsize=50_000)
+def _nearly_closing(text: str) -> bool:
+    for words, letters in _BY_LETTER.get(text[:1], ()):
+        if len(words) < 9 or len(text) > len(words) + 30:
+            continue
+        head = text[: len(words) + 3]
+        if len(letters & set(head)) < 0.75 * len(letters):
+            continue
+        if SequenceMatcher(None, words, head, autojunk=False).ratio() >= 0.86 or len(words) >= 20 and SequenceMatcher(None, words, text, autojunk=False).ratio() >= 0.82:
+            return True
     return False
 
 
@@ -98,11 +117,21 @@ def _page_line(line: str) -> bool:
 
 def title_line(line: str) -> bool:
     """Whether the line begins as titles, and so running headers, do."""
-    x = bare(line.strip().lstrip("•-*»« \t0123456789[]—"))
+    return _titled(line.lstrip("•-*»« \t0123456789[]—")[:28])
+
+
+@functools.lru_cache(maxsize=100_000)
+def _titled(head: str) -> bool:
+    x = bare(head)
     if x.startswith(_TITLES):
         return True
     x = x.translate(_FIXES)
-    return any(SequenceMatcher(None, t, x[: len(t)], autojunk=False).ratio() >= 0.88 for t in _TITLES if x[:1] == t[:1])
+    for t in _TITLES:
+        if x[:1] == t[:1]:
+            own = x[: len(t)]
+            if len(set(t) & set(own)) >= 0.75 * len(set(t)) and SequenceMatcher(None, t, own, autojunk=False).ratio() >= 0.88:
+                return True
+    return False
 
 
 def abrupt(line: str) -> str:
