@@ -35,9 +35,11 @@ class FMIndex:
     LF walk to a farther sample.
     """
 
-    def __init__(self, codes: np.ndarray) -> None:
+    def __init__(self, codes: np.ndarray, sigma: int) -> None:
+        """``sigma``: codes of the sequence and of all patterns are below it. Code 0, which no pattern has, ends the sequence."""
+        if not len(codes) or codes[-1] != _END:
+            codes = np.append(codes, _END)
         n = len(codes)
-        sigma = int(codes.max()) + 1 if n else 1
         self.bits = max(1, int(sigma - 1).bit_length())
         rank = codes.astype(np.int64)
         width, span = self.bits, 1
@@ -114,7 +116,7 @@ def item_windows(items: list[tuple[int, str]], window: int) -> tuple[dict[str, i
 
 def shard_hits(codes: np.ndarray, starts: np.ndarray, patterns: np.ndarray, owners: list[list[int]], window: int) -> dict[tuple[int, int], list[int]]:
     """(document index, item) to the ascending first words of the windows found there."""
-    index = FMIndex(codes)
+    index = FMIndex(codes, int(max(codes.max(initial=1), patterns.max(initial=1))) + 1)
     hits: dict[tuple[int, int], list[int]] = {}
     for row, lo, hi in zip(*(x.tolist() for x in index.search(patterns)), strict=True):
         at = np.sort(index.sa[lo:hi])

@@ -19,6 +19,8 @@ from lexmill.llm.text import arrow_map, count_tokens
 
 CAPACITY = 1024
 SHARD_ITEMS = 50_000
+#: The smallest items of a shard come last, by falling size, to fill what is left open.
+LAST = 500
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
@@ -71,9 +73,9 @@ def pack(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         pdf = pdf.sort_values(["n", "doc_id"], ascending=[False, True], kind="stable")
         rows = [(d, k, k * capacity, s, p) for d, n, p in zip(pdf["doc_id"], pdf["n"], pdf["part"], strict=True) for k, s in enumerate(pieces_of_size(int(n), capacity))]
         out = pd.DataFrame(rows, columns=["doc_id", "piece_no", "first_token", "tokens", "part"])
+        real = out[out["tokens"] > 0].sort_values("tokens", ascending=False, kind="stable")
         # an even mix of sizes keeps all gaps in supply, which is what the rule needs
-        mixed = out.sample(frac=1.0, random_state=8)
-        real = mixed[mixed["tokens"] > 0]
+        real = pd.concat([real.iloc[:-LAST].sample(frac=1.0, random_state=8), real.iloc[-LAST:]])
         place = pd.Series(sum_of_squares(real["tokens"].to_numpy(np.int64), capacity), index=real.index)
         out["container"] = [None if pd.isna(c) else f"{p}-{int(c)}" for p, c in zip(out["part"], place.reindex(out.index), strict=True)]
         return out[["doc_id", "piece_no", "first_token", "tokens", "container"]]
