@@ -62,10 +62,10 @@ def pieces_of_size(n: int, capacity: int) -> list[int]:
 def pack(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece_no, first_token, tokens, container): every document, each container within the capacity.
 
-    Only a document larger than a container is divided, into full containers and one rest. A document
+    Only a document larger than a container is divided, into full containers and one rest. Rows without a doc_id are left out. A document
     without tokens (null or blank) has container null. Rows that repeat a doc_id are packed each.
     """
-    own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sized = arrow_map(own, lambda cols: {"doc_id": cols["doc_id"], "n": [count_tokens(t) for t in cols["text"]]}, "doc_id bigint, n int", {"doc_id": pa.int64(), "n": pa.int32()}, rows=2048)
     shards = max(1, math.ceil(documents.select("doc_id").count() / SHARD_ITEMS))
 
