@@ -58,7 +58,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.nda
     ranks, span = [rank], 1
     while span < depth:
         after = np.zeros(n, np.int64)
-        after[: n - span] = rank[span:] + 1
+        after[: max(n - span, 0)] = rank[span:] + 1
         key = rank * (n + 2) + after
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
         ranks.append(rank)
@@ -97,7 +97,7 @@ def repeated_blocks(doc: np.ndarray, key: np.ndarray, least: float, depth: int =
     for size in range(min(depth, int(lcp.max(initial=0))), 0, -1):
         edge = np.flatnonzero(lcp < size)
         for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(sa)], strict=True):
-            if hi - lo < max(2, least):
+            if hi - lo < least:
                 continue
             holds = np.unique(docs[sa[lo:hi]])
             if len(holds) >= least:
@@ -132,9 +132,10 @@ def _blocks(hashed: DataFrame, sizes: DataFrame) -> DataFrame:
     """(source, block, n_docs): blocks that repeat in enough documents of one shard."""
 
     def shard(_: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lens, keys, source = [], [], [], None
+        ids, lens, keys, source, whole = [], [], [], None, False
         for b in groups:
-            source = b.column("source")[0].as_py() if b.num_rows else source
+            if b.num_rows:
+                source, whole = b.column("source")[0].as_py(), b.column("n_source")[0].as_py() <= SHARD_DOCS
             ids.append(b.column("doc_id").to_numpy())
             lens.append(np.diff(b.column("key").offsets.to_numpy()))
             keys.append(b.column("key").flatten().to_numpy())
@@ -142,12 +143,12 @@ def _blocks(hashed: DataFrame, sizes: DataFrame) -> DataFrame:
             return
         doc, lens, key = np.concatenate(ids), np.concatenate(lens), np.concatenate(keys)
         many = len(np.unique(doc))
-        found = repeated_blocks(np.repeat(np.unique(doc, return_inverse=True)[1], lens), key, max(1.0, MIN_SHARE * many - 1e-9))
+        found = repeated_blocks(np.repeat(np.unique(doc, return_inverse=True)[1], lens), key, max(MIN_DOCS if whole else 1.0, MIN_SHARE * many - 1e-9))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([source] * len(found)), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([n for _, n in found], pa.int64())], names=["source", "block", "n_docs"])
 
     shards = hashed.join(sizes, "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.ceil(F.col("n_source") / F.lit(SHARD_DOCS))))
-    return shards.select("source", "shard", "doc_id", "key").groupBy("source", "shard").applyInArrow(shard, "source string, block array<bigint>, n_docs bigint")
+    return shards.select("source", "shard", "doc_id", "key", "n_source").groupBy("source", "shard").applyInArrow(shard, "source string, block array<bigint>, n_docs bigint")
 
 
 def repeated_lines(documents: DataFrame) -> DataFrame:

@@ -60,3 +60,9 @@ def test_blocks_are_as_long_as_they_repeat():
 
 def test_empty(spark):
     assert sitelines.found(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
+
+
+def test_tiny_sources(spark):
+    docs = [(1, "a", "une seule ligne assez longue"), (2, "b", ""), (3, "c", None)]
+    assert sitelines.found(spark.createDataFrame(docs, "doc_id long, source string, text string")).count() == 0
+    assert sitelines.repeated_blocks(np.array([0]), np.array([5]), 1.0) == [([5], 1)]
