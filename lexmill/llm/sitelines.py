@@ -93,19 +93,19 @@ def repeated_blocks(doc: np.ndarray, key: np.ndarray, least: float, depth: int =
         lcp[1:] += step
         a += step
         b += step
-    found: list[tuple[list[int], int, frozenset]] = []
-    for size in range(min(depth, int(lcp.max(initial=0))), 0, -1):
+    found: list[tuple[list[int], int]] = []
+    for size in range(max(1, min(depth, int(lcp.max(initial=0)))), 0, -1):
         edge = np.flatnonzero(lcp < size)
-        for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(sa)], strict=True):
-            if hi - lo < least:
-                continue
+        to = np.append(edge[1:], len(sa))
+        # a longer block is one that repeats; a single line may be asked for even if it does not
+        wide = to - edge >= (max(2, least) if size > 1 else least)
+        for lo, hi in zip(edge[wide].tolist(), to[wide].tolist(), strict=True):
             holds = np.unique(docs[sa[lo:hi]])
-            if len(holds) >= least:
-                block = keys[sa[lo] : sa[lo] + size].tolist()
-                found.append((block, len(holds), frozenset(holds.tolist()) if size < depth else frozenset()))
+            if holds[0] >= 0 and len(holds) >= least:
+                found.append((keys[sa[lo] : sa[lo] + size].tolist(), len(holds)))
     out: list[tuple[list[int], int]] = []
     longer: dict[tuple[int, ...], int] = {}
-    for block, many, _ in found:
+    for block, many in found:
         t = tuple(block)
         if longer.get(t) != many:
             out.append((block, many))
