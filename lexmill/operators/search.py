@@ -35,36 +35,56 @@ def metadata_filter(df: DataFrame, filters: dict[str, str], open_map: str = "met
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf, length): term frequencies, with the partial counts made before the shuffle."""
     tokens = docs.select(key, T.lexical_tokens(F.col(text)).alias("t"))
-    exploded = tokens.select(key, F.size("t").alias("length"), F.explode("t").alias("term"))
+    exploded = tokens.select(key, F.size("t").alias("length"), F.explode_outer("t").alias("term")).where("term is not null")
     return exploded.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
+#: Terms of a stated query set that every task may hold; a larger set is joined instead.
+MOST_TERMS = 10_000
+
+
 def bm25(docs: DataFrame, key: str, text: str, questions: DataFrame, limit: int = 10, k1: float = 1.5, b: float = 0.75, keep: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score, rank) of each question's best documents.
 
     ``questions`` holds query_id and question. Statistics are those of all documents, ``keep`` (keys)
-    restricts what is ranked. Only postings of terms asked for are shuffled; repeated terms of a question
-    count repeatedly. Ties go to the smaller key.
+    restricts what is ranked. Repeated terms of a question count repeatedly. Ties go to the smaller key.
+
+    The terms asked for are a stated set of checked size, so tokens are filtered and counted inside each row,
+    and no token stream is shuffled: one pass gives document frequencies and lengths, reduced before their
+    shuffle to a row for each term, and a second pass scores. Each partition ranks its rows before the shuffle.
     """
     asked = questions.select("query_id", F.explode(T.lexical_tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("q"))
+    names = [r[0] for r in asked.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    few = asked.limit(20 * MOST_TERMS + 1).count() <= 20 * MOST_TERMS
     tokens = docs.select(F.col(key), T.lexical_tokens(F.col(text)).alias("t"))
-    stats = tokens.agg(F.count("*").alias("n"), F.sum(F.size("t")).alias("total"))
-    terms = asked.select("term").distinct()
-    wanted = tokens.select(key, F.size("t").alias("length"), F.explode("t").alias("term")).join(terms, "term", "left_semi")
-    tf = wanted.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    if len(names) <= MOST_TERMS:
+        rows = tokens.select(key, F.coalesce(F.size("t"), F.lit(0)).alias("length"), F.filter("t", lambda x: x.isin(names) if names else F.lit(False)).alias("hit"))
+        hint = F.broadcast
+    else:
+        rows = tokens.select(key, F.coalesce(F.size("t"), F.lit(0)).alias("length"), F.col("t").alias("hit"))
+        hint = lambda x: x
+        few = False
+    # explode_outer, as explode would have its array worked out a second time in a filter below it
+    counted = rows.select("length", F.explode_outer(F.concat(F.array(F.lit("")), F.coalesce(F.array_distinct("hit"), F.array().cast("array<string>")))).alias("term"))
+    sums = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.greatest("length", F.lit(0))).alias("total"))
+    if hint is F.broadcast:
+        # at most MOST_TERMS rows: gathered into one, so that the texts are read once for all statistics
+        of_all = F.col("term") == ""
+        one = sums.agg(F.max(F.when(of_all, F.col("df"))).alias("n"), F.max(F.when(of_all, F.col("total"))).alias("total"), F.collect_list(F.when(~of_all, F.struct("term", "df"))).alias("terms"))
+        flat = one.select("n", "total", F.explode("terms").alias("x")).select("n", "total", "x.term", "x.df")
+    else:
+        of_all = sums.where("term = ''").select(F.col("df").alias("n"), "total")
+        flat = sums.join(asked.select("term").distinct(), "term", "left_semi").select("term", "df").join(F.broadcast(of_all))
+    weights = asked.join(flat, "term").withColumn("average", F.when(F.col("total") > 0, F.col("total") / F.col("n")).otherwise(1.0))
+    weights = weights.select("query_id", "term", "average", (F.col("q") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight"))
+    pairs = F.transform(F.array_distinct("hit"), lambda d: F.struct(d.alias("term"), F.size(F.filter("hit", lambda x: x == d)).alias("tf")))
+    tf = rows.select(key, "length", F.explode_outer(pairs).alias("x")).where("x is not null").select(key, "length", "x.term", "x.tf")
+    if hint is not F.broadcast:
+        tf = postings(docs, key, text).join(asked.select("term").distinct(), "term", "left_semi")
     if keep is not None:
         tf = tf.join(keep.select(key).distinct(), key, "left_semi")
-    average = F.when(F.coalesce(F.col("total"), F.lit(0)) > 0, F.col("total") / F.col("n")).otherwise(1.0)
-    # the statistics are one row
-    scored = (
-        tf.join(asked, "term")
-        .join(df, "term")
-        .join(F.broadcast(stats))
-        .withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        .withColumn("part", F.col("q") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average)))
-    )
-    total = scored.groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
+    total = tf.join(F.broadcast(weights) if few else weights, "term").groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return ranked(total, "query_id", key, limit)
 
 
