@@ -59,7 +59,7 @@ def copied(question: str, answer: str) -> bool:
             k, copies, tail = k + len(q), copies + 1, 0
         else:
             k, rest, tail = k + 1, rest + 1, tail + 1
-    return copies > 0 and tail <= 1 and rest - tail <= 5
+    return copies > 0 and not tail and rest <= 5
 
 
 def refused(answer: str) -> bool:
