@@ -185,3 +185,21 @@ def redact_paths(value: object, raw_dir: str = "raw") -> object:
     if isinstance(value, str) and f"{raw_dir}/" in value.replace("\\", "/"):
         return value.replace("\\", "/").rsplit("/", 1)[-1]
     return value
+
+
+def route_template(path: Column) -> Column:
+    """A path with its identifiers taken out, so that a label has few values."""
+    bare = F.regexp_replace(F.split_part(path, F.lit("?"), F.lit(1)), "/$", "")
+    return F.regexp_replace(F.regexp_replace(bare, "/[0-9]+(?=/|$)", "/{id}"), "/[0-9a-f]{8,}(?:-[0-9a-f]+)*(?=/|$)", "/{id}")
+
+
+def request_metrics(requests: DataFrame, skip: str = "/metrics") -> DataFrame:
+    """(method, route, status, n, seconds) of request rows (method, path, status, seconds, error); an unhandled error counts as 500."""
+    status = F.when(F.col("error").isNotNull(), 500).otherwise(F.col("status"))
+    r = requests.withColumn("route", route_template(F.col("path"))).where(F.col("route") != skip)
+    return r.groupBy("method", "route", status.alias("status")).agg(F.count("*").alias("n"), F.round(F.sum("seconds"), 6).alias("seconds"))
+
+
+def span_summary(spans: DataFrame) -> DataFrame:
+    """(name, n, p50, p95) of trace segments (name, seconds)."""
+    return spans.groupBy("name").agg(F.count("*").alias("n"), F.round(F.median("seconds"), 6).alias("p50"), F.expr("percentile_disc(0.95) within group (order by seconds)").alias("p95"))

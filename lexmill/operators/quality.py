@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
@@ -106,7 +106,10 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def distribution(df: DataFrame, value: Column) -> DataFrame:
-    """n, min, median, mean, max, total; zeros for an empty table."""
+    """n, min, median, mean, max, total; zeros for an empty table.
+
+    The median keeps a count for each distinct value, which suits counts of words and segments.
+    """
     zero = F.lit(0)
     return df.agg(
         F.count(value).alias("n"), F.coalesce(F.min(value), zero).alias("min"), F.coalesce(F.round(F.median(value), 2), zero.cast("double")).alias("median"),
@@ -156,3 +159,49 @@ def split_rows(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFram
 
 def spelled_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.length(text).alias("chars"), T.word_count(F.col(text)).alias("words"))
+
+
+#: Columns whose values may be shown in a report; all others are suppressed.
+SHOWN = ("doc_id", "source", "language", "doc_date", "status", "word_count_clean")
+
+
+def expectation_samples(df: DataFrame, most: int = 5) -> DataFrame:
+    """(expectation, failures, samples): failed value expectations with a few failing values, of columns that may be shown."""
+    tests = {
+        "doc_id_no_space": ("doc_id", F.col("doc_id").rlike(r"\s")),
+        "source_in_set": ("source", ~F.col("source").isin(*SOURCES)),
+        "language_in_set": ("language", ~F.col("language").isin(*LANGUAGES)),
+        "date_format": ("doc_date", ~F.col("doc_date").rlike(DATE)),
+        "words_in_range": ("word_count_clean", (F.col("word_count_clean") < 5) | (F.col("word_count_clean") > 20000)),
+        "status_success": ("status", F.col("status") != "SUCCESS"),
+        "file_path_relative": ("file_path", F.col("file_path").rlike(r"^(?:/|[A-Za-z]:)")),
+    }
+    rows = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("expectation"), F.when(F.lit(col in SHOWN), F.col(col).cast("string")).alias("value"))) for k, (col, c) in tests.items()]))
+    failed = df.select(F.explode(rows).alias("x")).groupBy("x.expectation", "x.value").agg(F.count("*").alias("n"))
+    # values are distinct by now; each keeps only its rank before they are gathered
+    w = Window.partitionBy("expectation").orderBy("value")
+    first = failed.withColumn("_n", F.row_number().over(w))
+    return first.groupBy("expectation").agg(F.sum("n").alias("failures"), F.array_join(F.array_sort(F.collect_list(F.when((F.col("_n") <= most) & F.col("value").isNotNull(), F.col("value")))), "; ").alias("samples"))
+
+
+def quality_gate(metrics: DataFrame, minima: dict[str, float], baseline: DataFrame, most_drop: float = 0.05) -> DataFrame:
+    """(passed, reasons): minima missed or missing, and metrics that fell too far from the baseline."""
+    wanted = metrics.sparkSession.createDataFrame(list(minima.items()), "metric string, least double")
+    low = wanted.join(metrics, "metric", "left").where("value is null or value < least").select(F.when(F.col("value").isNull(), F.concat("metric", F.lit(" missing"))).otherwise(F.concat("metric", F.lit(" too low"))).alias("reason"))
+    fell = regressions(baseline.withColumnRenamed("metric", "m"), metrics.withColumnRenamed("metric", "m"), "m", most_drop).select(F.concat("m", F.lit(" regressed")).alias("reason"))
+    return low.unionByName(fell).agg(F.array_sort(F.collect_list("reason")).alias("reasons")).select((F.size("reasons") == 0).alias("passed"), "reasons")
+
+
+def shares(df: DataFrame, column: str) -> DataFrame:
+    """(value, n, percent) of a column's values."""
+    g = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    total = g.agg(F.sum("n").alias("total"))
+    return g.join(F.broadcast(total)).select("value", "n", F.round(100.0 * F.col("n") / F.col("total"), 2).alias("percent"))
+
+
+def board(items: DataFrame, order: tuple[str, ...] = ("done", "progress", "planned")) -> DataFrame:
+    """(status, n, mean_progress, tools) of items (status, progress, tools array), in the order of the statuses."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("status"))
+    tools = items.select("status", F.explode("tools").alias("tool")).groupBy("status").agg(F.count_distinct("tool").cast("int").alias("tools"))
+    g = items.groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg("progress")).cast("int").alias("mean_progress"))
+    return g.join(tools, "status", "left").select("status", "n", "mean_progress", F.coalesce("tools", F.lit(0)).alias("tools")).orderBy(rank)

@@ -171,7 +171,11 @@ def recall_at_k(returned: DataFrame, relevant: DataFrame, key: str, k: int) -> D
 
 
 def latency_summary(df: DataFrame, value: str) -> DataFrame:
-    """n, min, mean, p50 (median) and p95 by nearest rank."""
+    """n, min, mean, p50 (median) and p95 by nearest rank.
+
+    Exact, so a count is kept for each distinct value: meant for the runs of an evaluation. Live traffic goes
+    through monitoring.histogram and histogram_quantile, whose state is a few buckets.
+    """
     v = F.col(value)
     return df.agg(
         F.count(v).alias("n"), F.min(v).alias("min"), F.round(F.avg(v), 6).alias("mean"), F.round(F.median(v), 6).alias("p50"), F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95")
@@ -182,3 +186,15 @@ def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; of two empty ones 1."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def payload(df: DataFrame, fields: list[str], open_map: str = "metadata") -> Column:
+    """One map of a row's fields and its open map; the row's own fields win over keys of the same name."""
+    own = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f).cast("string") for f in fields]))
+    rest = F.map_filter(F.coalesce(F.col(open_map), F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(F.array(*[F.lit(f) for f in fields]), k))
+    return F.map_concat(rest, own)
+
+
+def unpacked(payload_map: Column, fields: list[str]) -> tuple[dict[str, Column], Column]:
+    """The fields of a payload, and the map of all other keys."""
+    return {f: payload_map[f] for f in fields}, F.map_filter(payload_map, lambda k, _: ~F.array_contains(F.array(*[F.lit(f) for f in fields]), k))

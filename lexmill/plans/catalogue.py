@@ -372,7 +372,37 @@ def token_totals(s: SparkSession, d: str) -> DataFrame:
     return c.groupBy(F.coalesce("language", F.lit("(non renseigné)")).alias("language")).agg(F.count("*").alias("chunks"), F.sum(T.word_count(F.col("text"))).alias("tokens"))
 
 
+def expectation_samples(s: SparkSession, d: str) -> DataFrame:
+    return quality.expectation_samples(table(s, d, "doc_metadata"))
+
+
+def status_shares(s: SparkSession, d: str) -> DataFrame:
+    return quality.shares(table(s, d, "doc_metadata"), "extraction_method")
+
+
+def vector_payload(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "chunks").dropDuplicates(["chunk_id"])
+    fields = ["chunk_id", "doc_id", "source", "category", "language"]
+    p = c.select(search.payload(c, fields).alias("p"))
+    own, rest = search.unpacked(F.col("p"), fields)
+    return p.select(*[v.alias(k) for k, v in own.items()], T.serialise_map(rest).alias("rest"))
+
+
+def request_metrics(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    r = e.select(F.lit("GET").alias("method"), F.concat(F.lit("/users/"), "user_id", F.lit("/"), "event_type", F.lit("/?k=1")).alias("path"), F.lit(200).alias("status"), (F.col("value") / 100).alias("seconds"), F.when(F.col("event_type") == "error", F.lit("x")).alias("error"))
+    return monitoring.request_metrics(r)
+
+
+def board_counts(s: SparkSession, d: str) -> DataFrame:
+    m = table(s, d, "chat_messages").where("role = 'assistant'").dropDuplicates(["message_id"])
+    status = F.when(F.col("feedback") == "up", "done").when(F.col("feedback") == "down", "progress").otherwise("planned")
+    ids = F.transform(F.coalesce("sources", F.array().cast("array<struct<id:string,label:string,excerpt:string,reference:string>>")), lambda x: x["label"])
+    return quality.board(m.select(status.alias("status"), F.length(F.coalesce("content", F.lit(""))).alias("progress"), ids.alias("tools")))
+
+
 _QUERIES: tuple[Query, ...] = (
+    expectation_samples, status_shares, vector_payload, request_metrics, board_counts,
     clean_whitespace, page_lines, clean_documents, strip_repeated_lines, text_features, document_ids, exact_dedup, latest_metadata, profile_counts, length_distribution, segment_counts, segment_profile, coverage_gap,
     quality_errors, quality_summary, top_errors, expectation_suite, privacy_summary, corpus_join, bm25_topk, bm25_batch, bm25_filtered, cosine_topk, cosine_recall, hash_embed, vector_upsert, hybrid_rrf, rrf_two_lexical,
     lexical_rerank, recall_by_question, fixed_chunks, heading_chunks, legal_segments, mask_emails, mask_documents, detections, spell_corrections, compress_context, answers, grounding, near_copies, regression_gate,
@@ -512,5 +542,17 @@ SELECT event_type, round(CASE WHEN le = 1e300 THEN 250.0 ELSE low + (le - low) *
         "order_revenue": "SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2",
         "synthetic_documents": "SELECT source || '-' || lpad(CAST(i AS VARCHAR), 5, '0') AS doc_id, source, CASE WHEN i % 4 = 3 THEN 'ar' ELSE 'fr' END AS language, ['travail', 'foncier', 'commercial', 'rural', 'procédure'][i % 5 + 1] AS category, '20' || lpad(CAST(i % 24 AS VARCHAR), 2, '0') AS doc_date FROM (SELECT i, ['bulletin', 'jurisprudence', 'contrats'][i % 3 + 1] AS source FROM range(100) t(i))",
         "token_totals": f"SELECT coalesce(language, '(non renseigné)') AS language, count(*) AS chunks, CAST(sum(len(regexp_extract_all(text, {_WS}))) AS BIGINT) AS tokens FROM (SELECT chunk_id, any_value(language) AS language, any_value(text) AS text FROM chunks GROUP BY chunk_id) GROUP BY 1",
+        "expectation_samples": f"""
+WITH x AS (
+ SELECT 'doc_id_no_space' AS expectation, doc_id AS value FROM doc_metadata WHERE regexp_matches(doc_id, '\\s') UNION ALL SELECT 'source_in_set', source FROM doc_metadata WHERE source NOT IN {sources}
+ UNION ALL SELECT 'language_in_set', language FROM doc_metadata WHERE language NOT IN ('fr', 'ar') UNION ALL SELECT 'date_format', doc_date FROM doc_metadata WHERE NOT regexp_full_match(doc_date, {date})
+ UNION ALL SELECT 'words_in_range', CAST(word_count_clean AS VARCHAR) FROM doc_metadata WHERE word_count_clean < 5 OR word_count_clean > 20000 UNION ALL SELECT 'status_success', status FROM doc_metadata WHERE status <> 'SUCCESS'
+ UNION ALL SELECT 'file_path_relative', NULL FROM doc_metadata WHERE regexp_matches(file_path, '^(?:/|[A-Za-z]:)')),
+g AS (SELECT expectation, value, count(*) AS n, row_number() OVER (PARTITION BY expectation ORDER BY value) AS k FROM x GROUP BY expectation, value)
+SELECT expectation, CAST(sum(n) AS BIGINT) AS failures, coalesce(string_agg(value, '; ' ORDER BY value) FILTER (WHERE k <= 5), '') AS samples FROM g GROUP BY expectation""",
+        "status_shares": "SELECT extraction_method AS value, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM doc_metadata), 2) AS percent FROM doc_metadata GROUP BY 1",
+        "vector_payload": "SELECT chunk_id, any_value(doc_id) AS doc_id, any_value(source) AS source, any_value(category) AS category, any_value(language) AS language, coalesce(array_to_string(list_sort(list_transform(list_filter(map_entries(any_value(metadata)), lambda e: e.key NOT IN ('chunk_id', 'doc_id', 'source', 'category', 'language')), lambda e: e.key || '=' || e.value)), ','), '') AS rest FROM chunks GROUP BY chunk_id",
+        "request_metrics": "SELECT 'GET' AS method, '/users/{id}/' || event_type AS route, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, count(*) AS n, round(sum(value / 100), 6) AS seconds FROM events GROUP BY event_type",
+        "board_counts": "WITH m AS (SELECT message_id, any_value(feedback) AS feedback, any_value(content) AS content, any_value(sources) AS sources FROM chat_messages WHERE role = 'assistant' GROUP BY message_id), x AS (SELECT CASE feedback WHEN 'up' THEN 'done' WHEN 'down' THEN 'progress' ELSE 'planned' END AS status, length(coalesce(content, '')) AS p, list_transform(coalesce(sources, []), lambda s: s.label) AS t FROM m) SELECT status, count(*) AS n, CAST(round(avg(p)) AS INTEGER) AS mean_progress, CAST(len(list_distinct(flatten(list(t)))) AS INTEGER) AS tools FROM x GROUP BY status",
         "quality_summary": f"WITH bad AS (SELECT rid FROM ({_ERRORS.replace('doc_id, error FROM', 'rid, error FROM').replace('SELECT doc_id, unnest', 'SELECT rid, unnest').replace('{t}', '(SELECT *, row_number() OVER () AS rid FROM doc_metadata)')}) GROUP BY rid) SELECT count(*) AS total, count(*) - (SELECT count(*) FROM bad) AS passed, (SELECT count(*) FROM bad) AS failed, round((count(*) - (SELECT count(*) FROM bad)) / count(*), 4) AS pass_rate FROM doc_metadata",
     }

@@ -102,3 +102,23 @@ def test_grid_and_closure(spark):
     assert {(r["member"], r["role"]) for r in relations.grid(m, x, "lead", "others").collect()} == {("a", "A"), ("b", "C"), ("c", "I")}
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "src int, dst int")
     assert relations.closure(e).count() == 9
+
+
+def test_samples_gate_shares_board(spark):
+    bad = [(f"d {k}", "T", f"S{k}", "2011", "C", "fr", "/x", 10, 5, 0, "SUCCESS") for k in range(9)]
+    got = {r["expectation"]: r for r in quality.expectation_samples(spark.createDataFrame(bad, META)).collect()}
+    assert got["source_in_set"]["failures"] == 9 and got["source_in_set"]["samples"] == "S0; S1; S2; S3; S4" and got["file_path_relative"]["samples"] == ""
+    m = spark.createDataFrame([("a", 0.9), ("b", 0.5)], "metric string, value double")
+    base = spark.createDataFrame([("b", 0.9)], "metric string, value double")
+    assert quality.quality_gate(m, {"a": 0.8, "c": 0.1}, base).first()[:] == (False, ["b regressed", "c missing"])
+    assert quality.quality_gate(m, {"a": 0.8}, base.limit(0)).first()["passed"]
+    assert {r["value"]: r["percent"] for r in quality.shares(m, "metric").collect()} == {"a": 50.0, "b": 50.0}
+    items = spark.createDataFrame([("planned", 10, ["x"]), ("done", 100, ["x", "y"]), ("done", 90, [])], "status string, progress int, tools array<string>")
+    assert [r[:] for r in quality.board(items).collect()] == [("done", 2, 95, 2), ("planned", 1, 10, 1)]
+
+
+def test_requests_and_spans(spark):
+    r = spark.createDataFrame([("GET", "/doc/12/?x=1", 200, 0.1, None), ("GET", "/doc/7", 200, 0.2, None), ("GET", "/doc/7", 200, 0.2, "boom"), ("GET", "/metrics", 200, 0.1, None), ("GET", "/a/0123456789abcdef", 404, 0.1, None)], "method string, path string, status int, seconds double, error string")
+    got = {(x["route"], x["status"]): x["n"] for x in monitoring.request_metrics(r).collect()}
+    assert got == {("/doc/{id}", 200): 2, ("/doc/{id}", 500): 1, ("/a/{id}", 404): 1}
+    assert monitoring.span_summary(spark.createDataFrame([("s", 1.0), ("s", 3.0)], "name string, seconds double")).first()[:] == ("s", 2, 2.0, 3.0)
