@@ -18,7 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.text import arrow_map, bare
+from lexmill.llm.text import arrow_map, bare, hash64
 
 #: Lengths of the prefixes that are hashed, ascending.
 LEVELS = (32, 64, 128, 256, 512, 1024, 2048, 4096, 8192)
@@ -183,43 +183,48 @@ def _own(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 
+def prefix_keys(text: str) -> list[int]:
+    """Hashes of the text's prefixes of each of LEVELS that it reaches."""
+    return [hash64(text[:n]) for n in LEVELS if len(text) >= n]
+
+
 def endings(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, ending) of every document that has text."""
-    types = {"doc_id": pa.int64(), "source": pa.string(), "ending": pa.string()}
-    return arrow_map(_own(documents).where("text is not null"), lambda c: {"doc_id": c["doc_id"], "source": c["source"], "ending": [ending(t) for t in c["text"]]}, "doc_id bigint, source string, ending string", types, rows=1024)
+    """(doc_id, source, ending, keys) of every document that has text, from one pass over the texts."""
+    types = {"doc_id": pa.int64(), "source": pa.string(), "ending": pa.string(), "keys": pa.list_(pa.int64())}
+
+    def look(c: dict[str, list]) -> dict[str, list]:
+        return {"doc_id": c["doc_id"], "source": c["source"], "ending": [ending(t) for t in c["text"]], "keys": [prefix_keys(t) for t in c["text"]]}
+
+    return arrow_map(_own(documents).where("text is not null"), look, "doc_id bigint, source string, ending string, keys array<bigint>", types, rows=1024)
 
 
-def longer_copies(documents: DataFrame, which: DataFrame | None = None) -> DataFrame:
+def longer_copies(documents: DataFrame, ends: DataFrame | None = None, whole_too: bool = True) -> DataFrame:
     """(doc_id, longer_id): records whose text is a strict prefix of a longer text; one longer record each.
 
-    ``which``, if given, holds the doc_id of the records to ask about; the longer copy may be any record.
-    Each record asked about is compared at the longest of LEVELS within its length, with all records that
-    share its prefix of that length. Copies of one text count once. Records below the shortest level have
-    no prefix to hash and are left out, as are null texts.
+    Records asked about are all, or those whose ending is not whole; the longer copy may be any record.
+    Each is compared at the longest of LEVELS within its length, with all records that share its prefix of
+    that length. Copies of one text count once. Records below the shortest level have no prefix to hash and
+    are left out, as are null texts. ``ends`` saves the pass of endings().
     """
-    docs = _own(documents).where(F.length("text") >= LEVELS[0]).select("doc_id", "text")
-    levels = F.array(*[F.lit(n) for n in LEVELS])
-    level = F.element_at(F.filter(levels, lambda n: n <= F.length("text")), -1)
-    asked = docs if which is None else docs.join(which.select("doc_id").distinct(), "doc_id", "left_semi")
-    asked = asked.withColumn("level", level).select("doc_id", "level", F.expr("xxhash64(level, substring(text, 1, level))").alias("key"))
+    base = (endings(documents) if ends is None else ends).where(F.size("keys") > 0)
+    asked = (base if whole_too else base.where(F.col("ending") != WHOLE)).select("doc_id", F.size("keys").alias("level"), F.element_at("keys", -1).alias("key"))
     # only hashes are spread over the levels; texts follow for records that share a prefix with one asked about
-    hashes = F.transform(F.filter(levels, lambda n: n <= F.length("text")), lambda n: F.struct(n.alias("level"), F.xxhash64(n, F.substring("text", F.lit(1), n)).alias("key")))
-    spread = docs.select("doc_id", F.explode(hashes).alias("x")).select("doc_id", "x.level", "x.key").join(asked.select("level", "key").distinct(), ["level", "key"], "left_semi")
+    spread = base.select("doc_id", F.posexplode("keys").alias("level", "key")).withColumn("level", F.col("level") + 1).join(asked.select("level", "key").distinct(), ["level", "key"], "left_semi")
     shared = spread.groupBy("level", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("level", "key")
     members = spread.join(shared, ["level", "key"], "left_semi")
-    texts = members.join(docs, "doc_id")
+    texts = members.join(_own(documents).where("text is not null").select("doc_id", "text"), "doc_id")
     one = texts.groupBy("level", "key", "text").agg(F.min("doc_id").alias("longer_id"))
     order = Window.partitionBy("level", "key").orderBy("text")
     after = one.select("level", "key", "text", F.lead("text").over(order).alias("next"), F.lead("longer_id").over(order).alias("next_id")).where("startswith(next, text)")
     found = texts.join(after.select("level", "key", "text", F.col("next_id").alias("longer_id")), ["level", "key", "text"])
-    return found.join(asked.select("doc_id", "level", "key"), ["doc_id", "level", "key"], "left_semi").groupBy("doc_id").agg(F.min("longer_id").alias("longer_id"))
+    return found.join(asked, ["doc_id", "level", "key"], "left_semi").groupBy("doc_id").agg(F.min("longer_id").alias("longer_id"))
 
 
 def truncated(documents: DataFrame) -> DataFrame:
     """(doc_id, source, ending, longer_id): every record, its ending, and a longer copy of an open or cut one."""
     ends = endings(documents).persist(StorageLevel.MEMORY_AND_DISK)
-    longer = longer_copies(documents, ends.where(F.col("ending") != WHOLE))
-    return ends.join(longer, "doc_id", "left").withColumn("cut", (F.col("ending") == CUT) | ((F.col("ending") == OPEN) & F.col("longer_id").isNotNull()))
+    longer = longer_copies(documents, ends, whole_too=False)
+    return ends.drop("keys").join(longer, "doc_id", "left").withColumn("cut", (F.col("ending") == CUT) | ((F.col("ending") == OPEN) & F.col("longer_id").isNotNull()))
 
 
 def found(documents: DataFrame) -> DataFrame:
