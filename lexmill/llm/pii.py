@@ -67,7 +67,7 @@ CUES = frozenset(
 OFFICES = frozenset(
     bare(w)
     for w in (
-        "Président Présidente Juge Conservateur Conservatrice Greffier Greffière Notaire Directeur Directrice Ministre Procureur Maire Gouverneur Commissaire Expert Adoul Avocat le la les l un une "
+        "Président Présidente Juge Conservateur Conservatrice Greffier Greffière Notaire Directeur Directrice Ministre Procureur Maire Gouverneur Commissaire Expert Adoul Avocat d'ouvrage le la les l un une "
         "رئيس الرئيس المحكمة القاضي المحافظ كاتب العدل الوكيل وكيل مدير المدير والي عامل وزير President Judge Registrar"
     ).split()
 )
@@ -108,12 +108,27 @@ def letters_of(word: str) -> tuple[str, ...]:
     return (f"pre3={x[:3]}", f"pre4={x[:4]}", f"suf3={x[-3:]}", f"suf4={x[-4:]}", f"suf5={x[-5:]}", f"shape={shape(word)}", f"len={min(len(x), 12)}")
 
 
+class Worth(dict):
+    """Whether a space-separated word makes its line worth a look for names; emptied when it grows large."""
+
+    def __init__(self, model: Model) -> None:
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 400_000:
+            self.clear()
+        x = self[word] = self.model.namelike(word) or word.strip(".,:،") in CUE_FORMS
+        return x
+
+
 class Model:
     """Weights and the words that, by their letters alone, may be part of a name."""
 
     def __init__(self, w: dict[str, float], common: frozenset[str] = frozenset()) -> None:
         self.w, self.common = w, common
         self.memo: dict[str, bool] = {}
+        self.worth = Worth(self)
 
     def namelike(self, word: str) -> bool:
         known = self.memo.get(word)
@@ -180,24 +195,38 @@ def candidates(text: str, model: Model) -> list[tuple[int, int, str, list[str]]]
     if has_at:
         out += [(m.start(), m.end(), "email", item_features("email", text, *m.span())) for m in _EMAIL.finditer(text)]
     for kind, pattern in (("telephone", _PHONE), ("cin", _CIN), ("adresse", _ADDRESS)):
-        out += [(m.start(), m.end(), kind, item_features(kind, text, *m.span())) for m in pattern.finditer(text)]
+        if kind != "adresse" or any(w in text for w in STREETS):
+            out += [(m.start(), m.end(), kind, item_features(kind, text, *m.span())) for m in pattern.finditer(text)]
     # names: words that look like parts of one, and words after a form of address
-    tokens = text.split()
-    like = model.namelike
-    if any(map(like, tokens)) or any(t.strip(".,:،") in CUE_FORMS for t in tokens):
-        out += name_candidates(text, model)
+    get = model.worth.__getitem__
+    if any(map(get, text.split())):
+        lines = text.split("\n")
+        hit = [any(map(get, x.split())) for x in lines]
+        # a name may go on in the next line, and its form of address may stand in the one before
+        near = [any(hit[max(0, k - 1) : k + 2]) for k in range(len(lines))]
+        at, begin = 0, -1
+        for k, x in enumerate(lines):
+            if near[k] and begin < 0:
+                begin = at
+            at += len(x) + 1
+            if begin >= 0 and (k + 1 == len(lines) or not near[k + 1]):
+                out += name_candidates(text, model, begin, min(at, len(text)))
+                begin = -1
     return out
 
 
+# One of these is in every address.
+STREETS = ("rue", "venue", "av.", "Bd", "bd", "oulevard", "lace", "mpasse", "route", "allée", "Hay", "Quartier", "Lot", "Résidence", "Immeuble", "Cité", "Douar", "شارع", "زنقة", "حي", "دوار", "إقامة", "تجزئة", "درب", "ساحة")
 CUE_FORMS = frozenset(
     "M Mme Mlle Me Mr Maître Monsieur Madame Mademoiselle feu salarié salariée témoin السيد السيدة للسيد للسيدة الأستاذ الأستاذة المرحوم المرحومة الأجير الأجيرة الشاهد الشاهدة إفادة صرح صرحت Mrs Señor Señora".split()
 )
 
 
-def name_candidates(text: str, model: Model) -> list[tuple[int, int, str, list[str]]]:
-    spans = [m.span() for m in _WORD.finditer(text)]
+def name_candidates(text: str, model: Model, begin: int = 0, end: int | None = None) -> list[tuple[int, int, str, list[str]]]:
+    """Runs of words between two places that could be names."""
+    spans = [m.span() for m in _WORD.finditer(text, begin, len(text) if end is None else end)]
     words = [text[a:b] for a, b in spans]
-    like = [model._namelike(w) if len(w) >= 4 else False for w in words] if len(words) < 40 else [model.namelike(w) for w in words]
+    like = [model.namelike(w) for w in words]
     seen: set[tuple[int, int]] = set()
     out: list[tuple[int, int, str, list[str]]] = []
 
