@@ -480,6 +480,14 @@ c AS (SELECT *, trim(line) AS k, count(*) OVER (PARTITION BY doc_id, trim(line))
 r AS (SELECT *, n >= 3 AND length(k) BETWEEN 1 AND 80 AND NOT regexp_matches(k, '(?i)^(?:article|art\\.|alin[ée]a|al\\.|المادة|الفصل|الفقرة)\\s*[0-9٠-٩]+') AS drop_it FROM c),
 k AS (SELECT doc_id, any_value(text) AS text, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT drop_it), '') AS kept, bool_or(drop_it) AS hit FROM r GROUP BY doc_id)
 SELECT doc_id, md5(CASE WHEN NOT hit OR regexp_replace(kept, '[ \\t\\r\\n]', '', 'g') = '' THEN text ELSE kept END) AS digest FROM k""",
+        "clean_documents": """
+WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x{9F}]', '', 'g'), '[ \\t]+', ' ', 'g'), '(?im)^[ \\t]*(?:page[ \\t]*[0-9]+(?:[ \\t]*(?:/|sur|of)[ \\t]*[0-9]+)?|(?:صفحة|الصفحة)[ \\t]*[0-9٠-٩]+(?:[ \\t]*(?:/|من)[ \\t]*[0-9٠-٩]+)?|-[ \\t]*[0-9]+[ \\t]*-|[0-9]+[ \\t]*(?:/|sur|of|من)[ \\t]*[0-9]+)[ \\t]*$', '', 'g') AS text FROM documents),
+l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM a),
+c AS (SELECT *, trim(line) AS k, count(*) OVER (PARTITION BY doc_id, trim(line)) AS n FROM l),
+r AS (SELECT *, n >= 3 AND length(k) BETWEEN 1 AND 80 AND NOT regexp_matches(k, '(?i)^(?:article|art\\.|alin[ée]a|al\\.|المادة|الفصل|الفقرة)\\s*[0-9٠-٩]+') AND NOT regexp_matches(k, '[.!؟۔]$') AS drop_it FROM c),
+k AS (SELECT doc_id, any_value(text) AS text, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT drop_it), '') AS kept, bool_or(drop_it) AS hit FROM r GROUP BY doc_id),
+f AS (SELECT doc_id, CASE WHEN NOT hit OR regexp_replace(kept, '[ \\t\\r\\n]', '', 'g') = '' THEN text ELSE kept END AS t FROM k)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\t\\r\\n]+', ''), '[ \\t\\r\\n]+$', '') AS text FROM f""",
         "text_features": f"""
 SELECT doc_id, CASE WHEN regexp_matches(text, '[؀-ۿ]') THEN 'ar' ELSE 'fr' END AS script, length(text) AS chars, len(regexp_extract_all(text, {_WS})) AS words, len(regexp_extract_all(lower(text), {_TOK})) AS tokens,
  md5(CASE WHEN length(f) > 500 THEN rtrim(substr(f, 1, 499)) || '…' ELSE f END) AS excerpt, upper(array_to_string(list_transform(list_slice(regexp_extract_all(title, {_WS}), 1, 2), lambda w: substr(w, 1, 1)), '')) AS initials
