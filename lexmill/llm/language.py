@@ -36,7 +36,7 @@ MODEL = os.path.join(os.path.dirname(__file__), "models", "language.npz")
 
 _PRIME = 0x100000001B3
 _MASK = (1 << 64) - 1
-_EMAIL = re.compile(r"[\w.+-]+\s?(?:@|\(at\)|\[at\])\s?[\w.-]+", re.IGNORECASE)
+_EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]++\s?(?:@|\(at\)|\[at\])\s?[\w.-]+", re.IGNORECASE)
 _LABEL = re.compile(r"^(fr|ar|en|es)(?:[-_][a-z0-9]{2,8})?$")
 _SENTENCE = tuple(".!?؟;:»\"")
 

@@ -71,14 +71,15 @@ def refused(answer: str) -> bool:
 def truncated(answer: str) -> bool:
     """Stops in mid-word or mid-sentence. A number, a date or a single word is a whole short answer."""
     text = answer.strip()
-    core = _TRAILING.sub("", text).rstrip()
+    # the patterns for the end look at no more than the last 400 characters
+    core = _TRAILING.sub("", text[-400:]).rstrip()
     if _SIGN.search(core):
         return True
     if _ENDS.search(core):
         if _INNER.search(core):
             return True
-        return any(core.count(a) > core.count(b) for a, b in _PAIRS)
-    if _SHORT.match(core) and any(c.isdigit() for c in core):
+        return any(text.count(a) > text.count(b) for a, b in _PAIRS)
+    if len(text) <= 60 and _SHORT.match(core) and any(c.isdigit() for c in core):
         return False
     return True
 

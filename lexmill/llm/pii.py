@@ -32,7 +32,7 @@ _D = "0-9٠-٩"
 # A blank or line break; inside an item a wrapped line may break there.
 _S = r"[ \n\xa0]"
 _TOWN = r"(?:[A-ZÉÈ][\w'’@|]*(?:[-‐]\n?[A-ZÉÈ][\w'’@|]*)*)"
-_EMAIL = re.compile(r"[\w+-][\w.+-]*(?:-\n[\w.+-]+)?[ \n]?(?:@|\(at\)|\[at\]|\( ?at ?\)|\[ ?at ?\])[ \n]?[\w-]+(?:(?:-\n|\.\n?|\n\.)[\w-]+)*\.\n?[a-z]{2,10}\b", re.IGNORECASE)
+_EMAIL = re.compile(r"(?<![\w.+-])[\w+-][\w.+-]*+(?:-\n[\w.+-]+)?[ \n]?(?:@|\(at\)|\[at\]|\( ?at ?\)|\[ ?at ?\])[ \n]?[\w-]+(?:(?:-\n|\.\n?|\n\.)[\w-]+)*\.\n?[a-z]{2,10}\b", re.IGNORECASE)
 _PHONE = re.compile(rf"(?<![\w/.,:-])(?:(?:\+|00)212(?:[ .\n-]?\(0\))?[ .\n-]?[{_D}](?:[ .\n-]?[{_D}]){{8}}|[0٠](?:[ .\n-]?[{_D}]){{9}})(?![\w/])")
 _CIN = re.compile(rf"(?<![\w@./-])[A-Za-z]{{1,2}}(?:[- ]|\n|-\n)?[{_D}]{{5,6}}(?![\w/@])")
 _STREET_FR = r"(?:rue|avenue|av\.|Bd|bd|boulevard|Boulevard|Avenue|Rue|place|Place|impasse|Impasse|route|allée)"

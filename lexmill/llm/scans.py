@@ -49,7 +49,7 @@ _LETTERS = re.compile(r"[\W\d_]+")
 _WORD = re.compile(r"[^\W_]+(?:[@|][^\W_]+)*(?:[@|](?!\S))?|[@|][^\W_]+", re.UNICODE)
 _MIXED = re.compile(r"^(?=.*[^\W\d_])(?=.*[0-9@|ﬁﬂ]).{3,}$")
 _CODE = re.compile(r"^(?:[A-Za-z]{1,4}[0-9]+|[0-9]+[A-Za-z]{1,3}|[0-9]+[؀-ۿ]{1,2}|n[0-9]+)$")
-_MAIL = re.compile(r"\S+\s?(?:\(at\)|\[at\])(?:\s?\S+)?|\S*(?:@|\(at\)|\[at\])\S*\.\S+|\S+@(?:$|\s)|\S+@(?:cabinet|greffe|etude|poste)\S*", re.IGNORECASE)
+_MAIL = re.compile(r"(?<!\S)(?:\S+\s?(?:\(at\)|\[at\])(?:\s?\S+)?|\S*(?:@|\(at\)|\[at\])\S*\.\S+|\S+@(?:$|\s)|\S+@(?:cabinet|greffe|etude|poste)\S*)", re.IGNORECASE)
 
 
 def wrapped(lines: list[str]) -> bool:
@@ -202,7 +202,7 @@ def variants(word: str) -> list[str]:
 
     once = dict.fromkeys(undo(word))
     twice = dict.fromkeys(y for x in once for y in undo(x))
-    return [x for x in [*once, *[y for y in twice if y not in once and y != word]] if all(c.isalpha() for c in x)][:400]
+    return [x for x in [*once, *[y for y in twice if y not in once and y != word]] if all(c.isalpha() for c in x)]
 
 
 def words_of(line: str) -> list[str]:

@@ -111,8 +111,14 @@ def _nearly_closing(text: str) -> bool:
     return False
 
 
+#: A line with only a page number is no longer than this.
+_LONGEST_PAGE_LINE = 60
+#: What the patterns for the end of a line look back on.
+_TAIL = 300
+
+
 def _page_line(line: str) -> bool:
-    return bool(_PAGE.match(line)) and not _NUMBER_STOP.match(line)
+    return len(line) <= _LONGEST_PAGE_LINE and bool(_PAGE.match(line)) and not _NUMBER_STOP.match(line)
 
 
 def title_line(line: str) -> bool:
@@ -136,7 +142,7 @@ def _titled(head: str) -> bool:
 
 def abrupt(line: str) -> str:
     """WHOLE, OPEN or CUT: how a text ends whose last line this is."""
-    line = line.rstrip()
+    line = line.rstrip()[-_TAIL:]
     if _SIGN.search(line):
         return CUT
     if _ENDS.search(line):
@@ -154,20 +160,20 @@ def ending(text: str, title: str | None = None) -> str:
     signed = False
     k = len(rows) - 1
     while k >= 0:
-        line = rows[k]
+        line = rows[k][-_TAIL:]
         core = _SIGN.sub("", line).strip()
         if not core:
             signed = True
-        elif k > 0 and len(line) < 25 and not _ENDS.search(rows[k - 1]) and not closing_line(rows[k - 1]) and (_SIGN.search(f"{rows[k - 1]} {line}") and "(" in rows[k - 1] or closing_line(f"{rows[k - 1]} {line}")) and not _page_line(line):
-            signed = signed or bool(_SIGN.search(f"{rows[k - 1]} {line}"))
+        elif k > 0 and len(line) < 25 and not _ENDS.search(rows[k - 1][-_TAIL:]) and not closing_line(rows[k - 1]) and (_SIGN.search(f"{rows[k - 1][-_TAIL:]} {line}") and "(" in rows[k - 1] or closing_line(f"{rows[k - 1]} {line}")) and not _page_line(line):
+            signed = signed or bool(_SIGN.search(f"{rows[k - 1][-_TAIL:]} {line}"))
             k -= 1
-        elif _page_line(line) or closing_line(line) or _DATE_LINE.match(line):
+        elif _page_line(line) or closing_line(rows[k]) or (len(line) <= _LONGEST_CLOSING and _DATE_LINE.match(line)):
             pass
         elif k > 0 and len(line) <= 90 and not _ENDS.search(line) and title_line(line):
             pass
-        elif seen.get(line, 1) > 1 and len(line) <= 90 and not _ENDS.search(line) and k > 0:
+        elif seen.get(rows[k], 1) > 1 and len(line) <= 90 and not _ENDS.search(line) and k > 0:
             pass
-        elif _HEADING.match(line) and k > 0:
+        elif len(line) <= _LONGEST_CLOSING and _HEADING.match(line) and k > 0:
             pass
         else:
             break
