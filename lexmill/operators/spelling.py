@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -74,8 +74,8 @@ class Speller:
         return _WORD.sub(fix, text), trace
 
 
-def corrected(docs: DataFrame, key: str, text: str, method: str, lexicon: list[str]) -> DataFrame:
-    """(key, text, corrections): only texts whose method is recognition change. The lexicon is a bounded word list."""
+def correction(lexicon: list[str]) -> Callable[[F.Column, F.Column], F.Column]:
+    """A column function of text and method: struct<text, corrections>. Only texts whose method is recognition change. The lexicon is a bounded word list."""
 
     @F.pandas_udf(_SCHEMA)
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -84,7 +84,12 @@ def corrected(docs: DataFrame, key: str, text: str, method: str, lexicon: list[s
             both = [speller.text(x) if x and (m or "").startswith("ocr") else (x, []) for x, m in zip(texts, methods, strict=True)]
             yield pd.DataFrame({"text": [a for a, _ in both], "corrections": [b for _, b in both]})
 
-    return docs.select(key, run(F.col(text), F.col(method)).alias("x")).select(key, "x.text", "x.corrections")
+    return run
+
+
+def corrected(docs: DataFrame, key: str, text: str, method: str, lexicon: list[str]) -> DataFrame:
+    """(key, text, corrections) of each text."""
+    return docs.select(key, correction(lexicon)(F.col(text), F.col(method)).alias("x")).select(key, "x.text", "x.corrections")
 
 
 def tally(fixed: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill import resources
 from lexmill.functions import text as T
 from lexmill.operators import cleaning, masking, quality, spelling, structure
 from lexmill.sources import files
@@ -19,17 +20,19 @@ from lexmill.sources import files
 
 @dataclass(frozen=True)
 class IngestConfig:
-    """What a run does; ``anonymise`` off keeps personal data and says so in the report."""
+    """What a run does; ``anonymise`` off keeps personal data and says so in the report.
+
+    Recognised text is corrected against ``lexicon``, by default the list of French legal words that is shipped.
+    """
 
     anonymise: bool = True
     spelling: bool = True
-    lexicon: tuple[str, ...] = ()
+    lexicon: tuple[str, ...] = resources.words("legal_fr")
     sources: tuple[tuple[str, str], ...] = ()
-    least_words: int = 5
 
     def __post_init__(self) -> None:
-        if self.least_words < 0:
-            raise ValueError("least_words must not be negative")
+        if self.spelling and not self.lexicon:
+            raise ValueError("spelling needs a lexicon")
 
 
 def process(documents: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
@@ -39,9 +42,8 @@ def process(documents: DataFrame, config: IngestConfig = IngestConfig()) -> Data
     to find copies; texts stay where they were read.
     """
     d = cleaning.cleaned(documents.withColumn("text_clean", F.col("text")), "text_clean")
-    if config.spelling and config.lexicon:
-        fixed = spelling.corrected(d, "doc_id", "text_clean", "extraction_method", list(config.lexicon))
-        d = d.drop("text_clean").join(fixed.withColumnRenamed("text", "text_clean"), "doc_id")
+    if config.spelling:
+        d = d.withColumn("_s", spelling.correction(list(config.lexicon))(F.col("text_clean"), F.col("extraction_method"))).withColumns({"text_clean": F.col("_s.text"), "corrections": F.col("_s.corrections")}).drop("_s")
     else:
         d = d.withColumn("corrections", F.array().cast("array<struct<at:int,before:string,after:string,rule:string>>"))
     copies = cleaning.classify_copies(d.withColumn("_order", F.split("file_path", "/")), "doc_id", "text_clean", "_order", F.col("error").isNotNull())

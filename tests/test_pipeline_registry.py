@@ -2,7 +2,8 @@ import os
 
 import pytest
 
-from lexmill.operators import registry
+from lexmill import resources
+from lexmill.operators import registry, spelling
 from lexmill.plans import pipeline
 
 
@@ -46,3 +47,25 @@ def test_bounds(spark):
     assert registry.tenant_view(df, "a").count() == 1
     with pytest.raises(ValueError):
         registry.tenant_view(df, "")
+
+
+def test_recognised_text_is_corrected_by_default(spark, tmp_path):
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    (root / "juris").mkdir(parents=True)
+    (root / "juris" / "a.png").write_bytes("Article 1\nLe depot de garantie, la 5ociété et le tribuna1.".encode())
+    (root / "juris" / "b.png").write_bytes("Article 1\nLe dépôt de garantie, la société et le tribunal.".encode())
+    (root / "juris" / "c.txt").write_text("Article 1\nLe depot reste dans un texte tape.")
+    r = pipeline.run(spark, str(root), out, recognise=lambda b: b.decode())
+    assert r["ocr_corrections"] == {"accent": 1, "confusion": 2}
+    # corrected before copies are told apart
+    assert (r["processed"], r["duplicates"], r["failed"]) == (2, 1, 0)
+    texts = {x["file_path"]: x["text"] for x in spark.read.parquet(os.path.join(out, "texts")).collect()}
+    assert "Le dépôt de garantie, la société et le tribunal." in texts["juris/a.png"] and "Le depot reste" in texts["juris/c.txt"]
+    with pytest.raises(ValueError):
+        pipeline.IngestConfig(lexicon=())
+    pipeline.IngestConfig(spelling=False, lexicon=())
+
+
+def test_shipped_words_leave_ambiguous_forms():
+    words = spelling.Speller(list(resources.words("legal_fr")))
+    assert [words.text(x)[0] for x in ("propriete", "il annule", "il designe", "le marche", "tribuna1")] == ["propriété", "il annule", "il designe", "le marche", "tribunal"]
