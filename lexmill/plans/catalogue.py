@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import answering, cleaning, masking, monitoring, quality, relations, search, spelling, structure
+from lexmill.operators import answering, cleaning, copies, masking, monitoring, quality, relations, search, spelling, structure
 from lexmill.session import table
 from lexmill.sources import files
 
@@ -243,6 +243,10 @@ def grounding(s: SparkSession, d: str) -> DataFrame:
 
 
 def near_copies(s: SparkSession, d: str) -> DataFrame:
+    return copies.near_copies(table(s, d, "chunks"), "chunk_id", "text")
+
+
+def neighbour_overlap(s: SparkSession, d: str) -> DataFrame:
     c = table(s, d, "chunks").dropDuplicates(["chunk_id"]).select("doc_id", "chunk_index", F.array_distinct(T.lexical_tokens(F.col("text"))).alias("t"))
     after = c.select("doc_id", (F.col("chunk_index") - 1).alias("chunk_index"), F.col("t").alias("u"))
     return c.join(after, ["doc_id", "chunk_index"]).groupBy("doc_id", "chunk_index").agg(F.max(F.round(search.jaccard(F.col("t"), F.col("u")), 6)).alias("jaccard"))
@@ -405,7 +409,7 @@ _QUERIES: tuple[Query, ...] = (
     expectation_samples, status_shares, vector_payload, request_metrics, board_counts,
     clean_whitespace, page_lines, clean_documents, strip_repeated_lines, text_features, document_ids, exact_dedup, latest_metadata, profile_counts, length_distribution, segment_counts, segment_profile, coverage_gap,
     quality_errors, quality_summary, top_errors, expectation_suite, privacy_summary, corpus_join, bm25_topk, bm25_batch, bm25_filtered, cosine_topk, cosine_recall, hash_embed, vector_upsert, hybrid_rrf, rrf_two_lexical,
-    lexical_rerank, recall_by_question, fixed_chunks, heading_chunks, legal_segments, mask_emails, mask_documents, detections, spell_corrections, compress_context, answers, grounding, near_copies, regression_gate,
+    lexical_rerank, recall_by_question, fixed_chunks, heading_chunks, legal_segments, mask_emails, mask_documents, detections, spell_corrections, compress_context, answers, grounding, near_copies, neighbour_overlap, regression_gate,
     promotion_gate, validation_split, event_rate, error_ratio, error_alert, value_histogram, histogram_quantile, latency_summary, day_over_day_surge, missing_windows, inhibited_alerts, user_sessions, sliding_activity,
     audit_filter, leak_scan, conversation_tail, feedback_upsert, text_search, raci_grid, dependency_closure, order_revenue, synthetic_documents, token_totals,
 )
@@ -524,7 +528,7 @@ p AS (SELECT doc_id, CAST(pos // 448 AS INTEGER) AS chunk_index, list_slice(w, p
 SELECT doc_id, chunk_index, len(part) AS token_count, sha256('v1' || chr(31) || doc_id || chr(31) || chunk_index || chr(31) || chr(31) || array_to_string(part, ' ')) AS chunk_id FROM p""",
         "mask_emails": "SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g')) AS digest, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS n FROM documents",
         "grounding": f"SELECT message_id, coalesce(len(sources), 0) AS sources, coalesce(len(sources), 0) > coalesce(len(list_distinct(list_transform(sources, lambda x: x.id))), 0) AS repeats, list_has_any(regexp_extract_all(lower(coalesce(content, '')), {_TOK}), {single}) OR " + " OR ".join(f"contains(lower(coalesce(content, '')), '{x}')" for x in several) + " AS in_scope FROM (SELECT DISTINCT * FROM chat_messages WHERE role = 'assistant')",
-        "near_copies": f"WITH c AS (SELECT chunk_id, any_value(doc_id) AS doc_id, any_value(chunk_index) AS chunk_index, list_distinct(regexp_extract_all(lower(any_value(text)), {_TOK})) AS t FROM chunks GROUP BY chunk_id) SELECT a.doc_id, a.chunk_index, max(round(CASE WHEN len(list_distinct(list_concat(a.t, b.t))) = 0 THEN 1.0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END, 6)) AS jaccard FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.chunk_index = a.chunk_index + 1 GROUP BY 1, 2",
+        "neighbour_overlap": f"WITH c AS (SELECT chunk_id, any_value(doc_id) AS doc_id, any_value(chunk_index) AS chunk_index, list_distinct(regexp_extract_all(lower(any_value(text)), {_TOK})) AS t FROM chunks GROUP BY chunk_id) SELECT a.doc_id, a.chunk_index, max(round(CASE WHEN len(list_distinct(list_concat(a.t, b.t))) = 0 THEN 1.0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END, 6)) AS jaccard FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.chunk_index = a.chunk_index + 1 GROUP BY 1, 2",
         "regression_gate": "WITH o AS (SELECT event_type, avg(value) AS v FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), n AS (SELECT event_type, avg(value) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1) SELECT event_type, round(o.v, 4) AS baseline, round(n.v, 4) AS candidate, round(o.v - n.v, 4) AS loss FROM o JOIN n USING (event_type) WHERE round(o.v - n.v, 6) > 0.05",
         "promotion_gate": "SELECT len(r) = 0 AS promote, array_to_string(r, '; ') AS reasons FROM (SELECT list_filter([CASE WHEN f IS NULL THEN 'faithfulness missing' WHEN f < 0.94 THEN 'faithfulness below 0.94' END, 'recall missing', CASE WHEN h IS NULL THEN 'hallucination missing' WHEN h > 0.03 THEN 'hallucination above 0.03' END], lambda x: x IS NOT NULL) AS r FROM (SELECT avg(CAST(feedback = 'up' AS INTEGER)) AS f, avg(CAST(refused AS INTEGER)) AS h FROM (SELECT DISTINCT * FROM chat_messages WHERE role = 'assistant')))",
         "event_rate": f"SELECT {_HOUR} AS window_start, event_type, count(*) AS n, round(count(*) / 3600, 8) AS rate FROM events GROUP BY 1, 2",
