@@ -43,6 +43,8 @@ _ADDRESS = re.compile(
     rf"|(?<![ء-ي])(?:شارع|زنقة|حي|دوار|إقامة|تجزئة|درب|ساحة){_S}[^،,.؛]{{2,60}}?[،,]{_S}?(?:جماعة{_S})?[ء-ي][ء-ي{_D}]*)"
 )
 _WORD = re.compile(r"[^\W_](?:[\w@|]|['’](?=\w))*(?:[-‐¬­]\n?[^\W\d_][\w@|]*)*", re.UNICODE)
+# A word that goes on in the next line.
+_BROKEN = re.compile(r"\w++[-‐¬­]\n[^\W\d_][\w@|]*+")
 _GAP = re.compile(r"[ \xa0]{1,2}| ?\n")
 _INITIAL_GAP = re.compile(r"\.[ \n\xa0]?")
 _FIX_LATIN = str.maketrans("0134567@|", "oieasbtai")
@@ -118,7 +120,7 @@ class Worth(dict):
     def __missing__(self, word: str) -> bool:
         if len(self) > 400_000:
             self.clear()
-        x = self[word] = self.model.namelike(word) or word.strip(".,:،") in CUE_FORMS
+        x = self[word] = self.model.namelike(word) or any(stem(w) in CUES or self.model.namelike(w) for w in _WORD.findall(word))
         return x
 
 
@@ -199,9 +201,13 @@ def candidates(text: str, model: Model) -> list[tuple[int, int, str, list[str]]]
             out += [(m.start(), m.end(), kind, item_features(kind, text, *m.span())) for m in pattern.finditer(text)]
     # names: words that look like parts of one, and words after a form of address
     get = model.worth.__getitem__
-    if any(map(get, text.split())):
+    broken = [m.start() for m in _BROKEN.finditer(text) if get(m[0])]
+    if broken or any(map(get, text.split())):
         lines = text.split("\n")
         hit = [any(map(get, x.split())) for x in lines]
+        for a in broken:
+            k = text.count("\n", 0, a)
+            hit[k] = hit[k + 1] = True
         # a name may go on in the next line, and its form of address may stand in the one before
         near = [any(hit[max(0, k - 1) : k + 2]) for k in range(len(lines))]
         at, begin = 0, -1
@@ -217,9 +223,6 @@ def candidates(text: str, model: Model) -> list[tuple[int, int, str, list[str]]]
 
 # One of these is in every address.
 STREETS = ("rue", "venue", "av.", "Bd", "bd", "oulevard", "lace", "mpasse", "route", "allée", "Hay", "Quartier", "Lot", "Résidence", "Immeuble", "Cité", "Douar", "شارع", "زنقة", "حي", "دوار", "إقامة", "تجزئة", "درب", "ساحة")
-CUE_FORMS = frozenset(
-    "M Mme Mlle Me Mr Maître Monsieur Madame Mademoiselle feu salarié salariée témoin السيد السيدة للسيد للسيدة الأستاذ الأستاذة المرحوم المرحومة الأجير الأجيرة الشاهد الشاهدة إفادة صرح صرحت Mrs Señor Señora".split()
-)
 
 
 def name_candidates(text: str, model: Model, begin: int = 0, end: int | None = None) -> list[tuple[int, int, str, list[str]]]:

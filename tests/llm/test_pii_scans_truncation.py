@@ -16,6 +16,13 @@ def test_arabic_items():
     assert [(k, t[a:b]) for a, b, k in pii.items(t)] == [("nom", "كاسديران بلزويركي"), ("adresse", "شارع مزروومي رقم 38، أوزميلت")]
 
 
+def test_names_after_any_cue_become_candidates():
+    model = pii.Model({})  # knows no letters
+    for cue in ("ENTRE", "prénom :", "Bénéficiaire", "الكامل", "وعقب", "وأضاف", "(Mme", "«Monsieur", "MONSIEUR", "Mon-\nsieur"):
+        text = f"ligne\n\n{cue} Zyx\n\nligne"
+        assert pii.name_candidates(text, model) and [c[:3] for c in pii.candidates(text, model)] == [c[:3] for c in pii.name_candidates(text, model)], cue
+
+
 def test_mask_leaves_the_rest_unchanged():
     found = pii.items(TEXT)
     out = pii.masked(TEXT, found)
