@@ -16,7 +16,7 @@ def grid(members: DataFrame, modules: DataFrame, accountable: str, consulted: st
 
 
 def closure(edges: DataFrame, most: int = 20) -> DataFrame:
-    """(src, dst, hops) over all paths: one join a hop, until nothing is new. For dependency lists."""
+    """(src, dst, hops) over all paths: one join a hop, until nothing is new. For dependency lists; paths longer than ``most`` are refused, not cut."""
     step = edges.select("src", "dst").distinct()
     known = step.withColumn("hops", F.lit(1))
     frontier = known
@@ -26,6 +26,10 @@ def closure(edges: DataFrame, most: int = 20) -> DataFrame:
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
+    else:
+        ahead = frontier.alias("a").join(step.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct()
+        if not ahead.join(known.select("src", "dst"), ["src", "dst"], "left_anti").isEmpty():
+            raise ValueError(f"paths are longer than {most} hops")
     return known
 
 
