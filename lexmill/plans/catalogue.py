@@ -219,7 +219,9 @@ def detections(s: SparkSession, d: str) -> DataFrame:
 
 
 def spell_corrections(s: SparkSession, d: str) -> DataFrame:
-    words = [r[0] for r in table(s, d, "lexicon").select("term").limit(20_000).collect()]
+    words = [r[0] for r in table(s, d, "lexicon").select("term").limit(20_001).collect()]
+    if len(words) > 20_000:
+        raise ValueError("the lexicon is too long to be held by every task")
     return spelling.corrected(_docs(s, d), "doc_id", "text", "method", words).select("doc_id", F.explode("corrections").alias("c")).select("doc_id", "c.*")
 
 
