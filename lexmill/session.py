@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,13 +32,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, in the shared folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for data that outlives a task: the one that the cluster names in ``spark.checkpoint.dir``, one of our own only where that is unset (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    return named or os.path.join(tempfile.gettempdir(), "lexmill-shared")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` as a table written once to the shared folder, so that several consumers share one computation.
 
-    The folder comes from ``spark.checkpoint.dir``; one of our own is set only where that is unset (tests).
+    Lineage ends there, and an executor that is lost takes nothing with it. The table goes when the driver ends.
     """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/lexmill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lexmill-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
