@@ -11,30 +11,30 @@ import random
 import sys
 from collections import Counter, defaultdict
 
-from lexmill.llm.scans import _ENDS, _HEADING, _LETTERS, _TAIL_NUMBER, MODEL, decode, is_title, line_features, wrapped
-from lexmill.llm.truncation import _page_line, title_line
+from lexmill.llm.scans import _HEADING, _LETTERS, MODEL, Chain, ends_sentence, is_title, line_features, line_flags, tail_number, wrapped
+from lexmill.llm.truncation import Heads, _page_line
 
 #: Documents of the sample and turns over it.
 SAMPLE, TURNS = 2500, 6
 
 
-def teach(lines: list[str], title: str | None) -> list[str]:
+def teach(lines: list[str], title: str | None, heads: Heads) -> list[str]:
     """Labels by rule."""
     name = _LETTERS.sub("", title or "").lower()
-    keys = [_LETTERS.sub("", _TAIL_NUMBER.sub("", x)).lower() for x in lines]
+    keys = [_LETTERS.sub("", tail_number(x)[1]).lower() for x in lines]
     many = Counter(k for k in keys if len(k) >= 10)
     full = [k for k, x in enumerate(lines) if x.strip()]
     out = ["blank"] * len(lines)
     width = max(map(len, lines))
-    titled = {k: title_line(_TAIL_NUMBER.sub("", lines[k])) for k in full}
+    titled = {k: heads(tail_number(lines[k])[1]) for k in full}
     for j, k in enumerate(full):
         x = lines[k]
         own = titled[k] and is_title(keys[k], name)
         near = (j > 0 and _page_line(lines[full[j - 1]])) or (j + 1 < len(full) and _page_line(lines[full[j + 1]]))
-        ends = bool(_ENDS.search(x))
+        ends = ends_sentence(x)
         if _page_line(x):
             out[k] = "page"
-        elif titled[k] and (_TAIL_NUMBER.search(x) or many[keys[k]] >= 2 or j > 2 and not ends):
+        elif titled[k] and (tail_number(x)[0] or many[keys[k]] >= 2 or j > 2 and not ends):
             out[k] = "header"
         elif titled[k] and not own and j <= 2 and not ends and any(titled[full[i]] for i in (j - 1, j + 1) if 0 <= i < len(full)):
             out[k] = "header"
@@ -52,10 +52,12 @@ def teach(lines: list[str], title: str | None) -> list[str]:
 
 def train(rows: list[tuple[str | None, str]]) -> dict[str, float]:
     data = []
+    begins = Counter(" ".join(t.lower().split()[:2]) for t, _ in rows if t and " " in t.strip())
+    heads = Heads(h for h, n in begins.items() if n * 1000 >= begins.total())
     for title, text in rows:
         lines = text.split("\n")
         if wrapped(lines):
-            data.append((line_features(lines, title), teach(lines, title)))
+            data.append((line_flags(lines, title, heads), teach(lines, title, heads)))
     rng = random.Random(4)
     rng.shuffle(data)
     data = data[:SAMPLE]
@@ -64,14 +66,14 @@ def train(rows: list[tuple[str | None, str]]) -> dict[str, float]:
     step = 1
     for _ in range(TURNS):
         for features, gold in data:
-            said = decode(features, w)
+            said = Chain(w).decode(features)
             if said != gold:
                 for labels, sign in ((gold, 1.0), (said, -1.0)):
                     before = "^"
                     for fs, b in zip(features, labels):
                         w[f"{before}>{b}"] += sign
                         total[f"{before}>{b}"] += step * sign
-                        for f in fs:
+                        for f in line_features(fs):
                             w[f"{f}|{b}"] += sign
                             total[f"{f}|{b}"] += step * sign
                         before = b
