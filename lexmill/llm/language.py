@@ -32,6 +32,8 @@ FLOOR = -12.0
 SCRIPT_GAP = 5.0
 #: Letters that a line needs to be told apart.
 LINE_LETTERS = 20
+#: The language of what is rejected.
+UNKNOWN = "und"
 MODEL = os.path.join(os.path.dirname(__file__), "models", "language.npz")
 
 _PRIME = 0x100000001B3
@@ -103,6 +105,7 @@ class Scorer(dict):
         super().__init__()
         self.tables = [(arrays[f"{x}_key"], arrays[f"{x}_prob"].astype(np.float64), arrays[f"{x}_back"].astype(np.float64)) for x in LANGUAGES]
         self.margin, self.scale = (float(x) for x in arrays.get("calibration", np.array([0.25, 2.0])))
+        self.limits = arrays.get("limits", np.array([[np.inf, 0.0]] * len(LANGUAGES)))
         self.limit = limit
         self._empty()
 
@@ -210,47 +213,72 @@ class Scorer(dict):
         row = np.repeat(np.arange(len(sizes)), sizes)[begin]
         return np.array(text_of)[row], np.array(line_of)[row], np.add.reduceat(self.letters[at], begin), np.add.reduceat(self.scores[at], begin)
 
-    def judge(self, texts: list[str]) -> list[tuple[str | None, float, list[tuple[int, int, str, float]]]]:
-        """For each text its language and confidence, and (line, letters, language, confidence) of each line with letters."""
+    def _mains(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Sentences with letters (text, line, letters, scores, language) and letters by text and language."""
         text, line, letters, scores = self.sentences(texts)
         keep = letters > 0
         text, line, letters, scores = text[keep], line[keep], letters[keep], scores[keep]
-        out: list[tuple[str | None, float, list[tuple[int, int, str, float]]]] = [(None, 0.0, []) for _ in texts]
-        if not len(text):
-            return out
         entropy = -scores / letters[:, None]
-        n = len(LANGUAGES)
         best = entropy.argmin(axis=1)
-        # first the language of most letters of each text, then lines against it
-        mass = np.zeros((len(texts), n))
+        # first the language of most letters of each text, then sentences against it
+        mass = np.zeros((len(texts), len(LANGUAGES)))
         np.add.at(mass, (text, best), letters)
         main = mass.argmax(axis=1)
         gap = entropy[np.arange(len(best)), main[text]] - entropy[np.arange(len(best)), best]
         best = np.where(gap < self.margin * np.minimum(1.0, 40.0 / np.maximum(letters, 1)) ** 0.5, main[text], best)
-        mass = np.zeros((len(texts), n))
+        mass = np.zeros((len(texts), len(LANGUAGES)))
         np.add.at(mass, (text, best), letters)
+        return text, line, letters, scores, best, mass
+
+    def mains(self, texts: list[str], least: int) -> list[str | None]:
+        """The language of each text, None where it has fewer than ``least`` letters or is rejected."""
+        text, _, letters, scores, _, mass = self._mains(texts)
+        main = mass.argmax(axis=1)
+        total = np.zeros((len(texts), len(LANGUAGES)))
+        np.add.at(total, text, scores)
+        n = np.bincount(text, weights=letters, minlength=len(texts)) if len(text) else np.zeros(len(texts))
+        known = (n >= least) & ~self.rejected(total[np.arange(len(texts)), main], n, main)
+        return [LANGUAGES[k] if ok else None for k, ok in zip(main.tolist(), known.tolist(), strict=True)]
+
+    def judge(self, texts: list[str]) -> list[tuple[str | None, float, list[tuple[int, int, str | None, float]]]]:
+        """For each text its language and confidence, and (line, letters, language, confidence) of each line with letters. A language that is rejected is None."""
+        n = len(LANGUAGES)
+        out: list[tuple[str | None, float, list[tuple[int, int, str | None, float]]]] = [(None, 0.0, []) for _ in texts]
+        text, line, letters, scores, best, mass = self._mains(texts)
+        if not len(text):
+            return out
         main = mass.argmax(axis=1)
         key = text * (int(line.max()) + 1) + line
-        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        fresh = np.concatenate(([True], key[1:] != key[:-1]))
+        begin = np.flatnonzero(fresh)
         by_line = np.zeros((len(begin), n))
-        group = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
-        np.add.at(by_line, (group, best), letters)
-        line_scores = np.add.reduceat(scores, begin)
-        line_letters = by_line.sum(axis=1)
+        np.add.at(by_line, (np.cumsum(fresh) - 1, best), letters)
+        at = text[begin]
+        line_scores, line_letters = np.add.reduceat(scores, begin), by_line.sum(axis=1)
+        pick = np.where(by_line[np.arange(len(begin)), main[at]] * 2 >= line_letters, main[at], by_line.argmax(axis=1))
+        line_sure = self.confidences(line_scores, line_letters, pick)
+        lost = self.rejected(line_scores[np.arange(len(begin)), pick], line_letters, pick)
+        for t, k, m, p, sure, no in zip(at.tolist(), line[begin].tolist(), line_letters.tolist(), pick.tolist(), line_sure.tolist(), lost.tolist(), strict=True):
+            out[t][2].append((k, int(m), None if no else LANGUAGES[p], sure))
         text_scores = np.zeros((len(texts), n))
         np.add.at(text_scores, text, scores)
-        for g, (t, k) in enumerate(zip(text[begin].tolist(), line[begin].tolist(), strict=True)):
-            pick = main[t] if by_line[g, main[t]] * 2 >= line_letters[g] else int(by_line[g].argmax())
-            out[t][2].append((k, int(line_letters[g]), LANGUAGES[pick], self._confidence(line_scores[g], line_letters[g], pick)))
+        total = mass.sum(axis=1)
+        sure = self.confidences(text_scores, total, main) * mass[np.arange(len(texts)), main] / np.maximum(total, 1)
+        no = self.rejected(text_scores[np.arange(len(texts)), main], total, main)
         for t in np.unique(text).tolist():
-            out[t] = (LANGUAGES[main[t]], float(mass[t, main[t]] / mass[t].sum()) * self._confidence(text_scores[t], mass[t].sum(), int(main[t])), out[t][2])
+            out[t] = (None if no[t] else LANGUAGES[main[t]], round(float(sure[t]), 4), out[t][2])
         return out
 
-    def _confidence(self, scores: np.ndarray, letters: float, pick: int) -> float:
-        """A share of belief in the pick, from cross-entropies scaled on held-out lines."""
-        z = self.scale * scores / max(letters, 1) * min(letters, 60) ** 0.5
-        z = np.exp(z - z.max())
-        return float(round(z[pick] / z.sum(), 4))
+    def confidences(self, scores: np.ndarray, letters: np.ndarray, pick: np.ndarray) -> np.ndarray:
+        """Shares of belief in the picks, from cross-entropies per letter; the scale is fitted on held-out lines."""
+        z = self.scale * scores / np.maximum(letters, 1)[:, None] * np.minimum(letters, 60)[:, None] ** 0.5
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        return np.round(z[np.arange(len(z)), pick] / z.sum(axis=1), 4)
+
+    def rejected(self, score: np.ndarray, letters: np.ndarray, pick: np.ndarray) -> np.ndarray:
+        """Whether the cross-entropy per letter is beyond what held-out texts of the language, of that many letters, show."""
+        mean, slope = self.limits[pick, 0], self.limits[pick, 1]
+        return -score / np.maximum(letters, 1) > mean + slope / np.maximum(letters, 1) ** 0.5
 
 
 @functools.cache
@@ -267,13 +295,14 @@ def label_language(label: str | None) -> str | None:
 
 def languages_of(texts: list[str]) -> list[str | None]:
     """Languages of whole texts, None where one has too few letters to tell."""
-    return [lang if lang and sum(k[1] for k in lines) >= 12 else None for lang, _, lines in scorer().judge(texts)]
+    return scorer().mains(texts, 12)
 
 
 def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, line_no, language, confidence, label_ok): each document (line_no -1) and each line in another language.
 
-    A text without letters (null, empty, digits only) has no rows. Lines of fewer than LINE_LETTERS letters,
+    A text without letters (null, empty, digits only) has no rows. A text or line that no model accounts for comes
+    out as UNKNOWN, with no judgement of its label. Lines of fewer than LINE_LETTERS letters,
     e-mail addresses aside, are never told apart. Further columns are left aside.
     """
     types = {"doc_id": pa.int64(), "line_no": pa.int64(), "language": pa.string(), "confidence": pa.float64(), "label_ok": pa.bool_()}
@@ -286,12 +315,12 @@ def judged(documents: DataFrame) -> DataFrame:
                 out[name].append(v)
 
         for key, label, (lang, sure, lines) in zip(cols["doc_id"], cols["lang"], scorer().judge([t or "" for t in cols["text"]]), strict=True):
-            if lang is None:
+            if not lines:
                 continue
-            add(key, -1, lang, sure, label_language(label) == lang)
+            add(key, -1, lang or UNKNOWN, sure, label_language(label) == lang if lang else None)
             for k, letters, own, how in lines:
                 if own != lang and letters >= LINE_LETTERS:
-                    add(key, k, own, how, None)
+                    add(key, k, own or UNKNOWN, how, None)
         return out
 
     own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
@@ -300,4 +329,4 @@ def judged(documents: DataFrame) -> DataFrame:
 
 def found(documents: DataFrame) -> DataFrame:
     """(doc_id, line_no, language): wrong or missing labels, and lines in another language than their document."""
-    return judged(documents).where("line_no >= 0 OR NOT label_ok").select("doc_id", "line_no", "language").distinct()
+    return judged(documents).where(F.col("language") != UNKNOWN).where("line_no >= 0 OR NOT label_ok").select("doc_id", "line_no", "language").distinct()

@@ -34,64 +34,96 @@ REFUSALS = re.compile(
     )
 )
 
-_SIGN = re.compile(r"(?:\[\s*(?:\.\.\.|…)\s*\]|\.\.\.|…|�|[,،;؛:\-–—])\s*$")
-_TRAILING = re.compile(r"(?:\s*(?:\[\d+\]|\((?:voir|cf|see|ver|انظر)[^()]{0,60}\)))+\s*$")
-_ENDS = re.compile(r"[.!?؟۔][\s»”\"')\]]*$|[.!?؟۔]\s*(?:«[^«»]{1,60}»|\([^()]{1,60}\))$")
-_INNER = re.compile(r"(?:paiement de|devis de|dépasse|somme de|أداء|النزاع|payment of|pago de)\s+\d{1,3}\.$|\b(?:n|art|M|Mme|Me|cf|p)\.$")
-_SHORT = re.compile(r"^(?:le|el|on|في|يوم)?\s*[\d٠-٩][\d٠-٩/.,\s-]*\s*\w*(?:\s+[\d٠-٩]{4})?\.?$|^\w+\.?$", re.IGNORECASE)
+# Words one of which is in every refusal.
+_TRIGGERS = frozenset(
+    "peux puis saurais suis abstenir abstiens refuse tiens impossible sources source ai perimetre domaine champ role sujets mon mes desole assistant ia intelligence "
+    "am m cannot can not won must prefer sorry afraid unable outside nothing siento puedo asistente fuera encontrado prefiero "
+    "يمكنني استطيع اقدر افضل اعتذر عذرا خارج تتوفر اجد اجيب يتعذر بصفتي اسف".split()
+)
+_SIGN_LAST = frozenset("]….\ufffd,،;؛:-–—")
+_SIGN = re.compile(r"(?:\[ ?(?:\.\.\.|…) ?\]|\.\.\.|…|\ufffd|[,،;؛:\-–—])$")
+_NOTE = re.compile(r"\((?:voir|cf|see|ver|انظر)[^()]*\)$")
+_INNER = re.compile(r"(?:paiement de|devis de|dépasse|somme de|أداء|النزاع|payment of|pago de) \d{1,3}\.$|\b(?:n|art|M|Mme|Me|cf|p)\.$")
+_SHORT = re.compile(r"^(?:le|el|on|في|يوم)? ?[\d٠-٩][\d٠-٩/., -]*+\w*(?: [\d٠-٩]{4})?\.?$|^\w+\.?$", re.IGNORECASE)
 _PAIRS = (("«", "»"), ("(", ")"), ("[", "]"), ("“", "”"), ("{", "}"))
+_SENTENCE_END = re.compile(r"[.!?؟۔](?=\s|$)")
 
 
-def empty(answer: str | None) -> bool:
+def empty(answer: str | None, words: list[str] | None = None) -> bool:
     """No answer, no word of content, or a mark for nothing."""
-    words = bare_words(answer or "")
+    words = bare_words(answer or "") if words is None else words
     return not words or len(words) <= 3 and (" ".join(words) in NOTHING or all(w in NOTHING for w in words))
 
 
-def copied(question: str, answer: str) -> bool:
-    """Only the question again: inside a frame of a few words before it, once or more, nothing after it."""
-    q, a = bare_words(question), bare_words(answer)
-    if len(q) < 3 or len(a) < len(q) - 1:
+def copied(question: str, answer: str, words: list[str] | None = None) -> bool:
+    """Only the question again: inside a frame before it no longer than half of it or five words, once or more, nothing after it.
+
+    A question of one or two words is only copied without a frame.
+    """
+    q, a = bare_words(question), bare_words(answer) if words is None else words
+    if not q or len(a) < len(q) or a[-len(q) :] != q:
         return False
-    rest, k, copies, tail = 0, 0, 0, 0
+    rest, k = 0, 0
     while k < len(a):
         if a[k : k + len(q)] == q:
-            k, copies, tail = k + len(q), copies + 1, 0
+            k += len(q)
         else:
-            k, rest, tail = k + 1, rest + 1, tail + 1
-    return copies > 0 and not tail and rest <= 5
+            k, rest = k + 1, rest + 1
+    return rest <= (max(5, len(q) // 2) if len(q) > 2 else 0)
+
 
+def refused(answer: str, words: list[str] | None = None) -> bool:
+    """Declines to answer: a phrase of refusal in the first sentence, or the last one, of an answer of any length; anywhere in one of two sentences or three."""
+    words = bare_words(answer) if words is None else words
+    if _TRIGGERS.isdisjoint(words) or not REFUSALS.search(" ".join(words)):
+        return False
+    ends = [m.end() for m in _SENTENCE_END.finditer(answer)]
+    if len(ends) <= 3:
+        return True
+    first, last = answer[: ends[0]], answer[ends[-2] :]
+    return bool(REFUSALS.search(" ".join(bare_words(first))) or REFUSALS.search(" ".join(bare_words(last))))
 
-def refused(answer: str) -> bool:
-    words = " ".join(bare_words(answer))
-    m = REFUSALS.search(words)
-    return bool(m) and len(words.split()) <= 60
+
+def _ended(text: str) -> bool:
+    """Whether the text ends in a stop, which quotes, brackets or a short quoted or bracketed remark may follow."""
+    core = text.rstrip(" »”\"')]")
+    if core[-1:] in STOPS:
+        return True
+    for a, b in (("«", "»"), ("(", ")")):
+        if text.endswith(b) and (at := text.rfind(a)) > 0 and text[:at].rstrip()[-1:] in STOPS:
+            return True
+    return False
+
+
+STOPS = frozenset(".!?؟۔")
 
 
 def truncated(answer: str) -> bool:
     """Stops in mid-word or mid-sentence. A number, a date or a single word is a whole short answer."""
-    text = answer.strip()
-    # the patterns for the end look at no more than the last 400 characters
-    core = _TRAILING.sub("", text[-400:]).rstrip()
-    if _SIGN.search(core):
+    text = core = " ".join(answer.split())
+    while core[-1:] in "])":  # references after the end
+        at = core.rfind("[" if core[-1] == "]" else "(") if core else -1
+        if at < 0 or not (core[at + 1 : -1].isdigit() if core[-1] == "]" else _NOTE.match(core, at)):
+            break
+        core = core[:at].rstrip()
+    if core[-1:] in _SIGN_LAST and _SIGN.search(core):
         return True
-    if _ENDS.search(core):
-        if _INNER.search(core):
+    if _ended(core):
+        if core.endswith(".") and _INNER.search(core):
             return True
         return any(text.count(a) > text.count(b) for a, b in _PAIRS)
-    if len(text) <= 60 and _SHORT.match(core) and any(c.isdigit() for c in core):
-        return False
-    return True
+    return not (_SHORT.match(core) and any(c.isdigit() for c in core))
 
 
 def defects(question: str | None, answer: str | None, asked: str | None = None, said: str | None = None) -> list[str]:
     """Every defect that a rule finds, in the order of ORDER. ``asked`` and ``said``: the languages, where known."""
-    if empty(answer):
+    words = bare_words(answer or "")
+    if empty(answer, words):
         return [EMPTY]
     out = []
-    if question and copied(question, answer):
+    if question and copied(question, answer, words):
         out.append(COPY)
-    if refused(answer):
+    if refused(answer, words):
         out.append(REFUSAL)
     if asked and said and asked != said:
         out.append(OTHER_LANGUAGE)
@@ -103,13 +135,17 @@ def defects(question: str | None, answer: str | None, asked: str | None = None,
 def pairs_of(examples: DataFrame, messages: DataFrame) -> DataFrame:
     """(pair_id, question, answer): fine-tuning examples, and assistant messages with what they reply to.
 
-    The join is on message_id; a repeated message comes out once for each distinct text of it.
+    The join is on message_id; a repeated assistant message comes out once for each distinct text of it. Where
+    copies of a question differ, the one received last counts, of these the greatest text. Messages that reply to
+    nothing, or to no message that is there, have a null question.
     """
     a = examples.select(F.col("example_id").cast("string").alias("pair_id"), F.col("question").cast("string").alias("question"), F.col("answer").cast("string").alias("answer"))
     said = messages.where("role = 'assistant'").select(F.col("message_id").cast("string").alias("pair_id"), F.col("reply_to").cast("string").alias("reply_to"), F.col("content").cast("string").alias("answer")).distinct()
-    asked = messages.where("role = 'user' AND message_id IS NOT NULL").select(F.col("message_id").cast("string").alias("reply_to"), F.col("content").cast("string").alias("question")).dropDuplicates(["reply_to"])
-    b = said.join(asked, "reply_to", "left").select("pair_id", "question", "answer")
-    return a.unionByName(b)
+    when = F.col("received_at").cast("timestamp") if "received_at" in messages.columns else F.lit(None).cast("timestamp")
+    asked = messages.where("role = 'user' AND message_id IS NOT NULL").groupBy(F.col("message_id").cast("string").alias("reply_to")).agg(F.max(F.struct(when.alias("at"), F.col("content").cast("string").alias("question")))["question"].alias("question"))
+    b = said.where("reply_to is not null").join(asked, "reply_to", "left").select("pair_id", "question", "answer")
+    c = said.where("reply_to is null").select("pair_id", F.lit(None).cast("string").alias("question"), "answer")
+    return a.unionByName(b).unionByName(c)
 
 
 def flagged(pairs: DataFrame) -> DataFrame:
@@ -137,5 +173,3 @@ def flagged(pairs: DataFrame) -> DataFrame:
 
 def found(examples: DataFrame, messages: DataFrame) -> DataFrame:
     return flagged(pairs_of(examples, messages)).select("pair_id", "defect")
-
-
