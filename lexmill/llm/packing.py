@@ -2,12 +2,13 @@
 
 Each item goes where the sum, over all gaps, of the squared number of open containers with that gap
 becomes smallest. Items are dealt to shards of bounded size by a hash; a shard wastes at most the room of
-its last open containers, which a shard of some ten thousand items makes negligible.
+its last open containers, which a shard of ten thousand items makes negligible. Sizes are in tokens of a public tokenizer.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -15,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.text import arrow_map, count_tokens
+from lexmill.llm.budget import byte_pairs
+from lexmill.llm.text import arrow_map
 
 CAPACITY = 1024
-SHARD_ITEMS = 50_000
+SHARD_ITEMS = 10_000
 #: The smallest items of a shard come last, by falling size, to fill what is left open.
 LAST = 500
 
@@ -59,14 +61,16 @@ def pieces_of_size(n: int, capacity: int) -> list[int]:
     return [capacity] * (n // capacity) + ([n % capacity] if n % capacity or not n else []) if n > capacity else [n]
 
 
-def pack(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(documents: DataFrame, capacity: int = CAPACITY, tokens: Callable[[str], int] | None = None) -> DataFrame:
     """(doc_id, piece_no, first_token, tokens, container): every document, each container within the capacity.
 
     Only a document larger than a container is divided, into full containers and one rest. Rows without a doc_id are left out. A document
-    without tokens (null or blank) has container null. Rows that repeat a doc_id are packed each.
+    without tokens (null or empty) has container null. Rows that repeat a doc_id are packed each. ``tokens`` gives the
+    size of a text; unless it is given, byte pairs of the public tokenizer count.
     """
+    size = tokens or byte_pairs()
     own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    sized = arrow_map(own, lambda cols: {"doc_id": cols["doc_id"], "n": [count_tokens(t) for t in cols["text"]]}, "doc_id bigint, n int", {"doc_id": pa.int64(), "n": pa.int32()}, rows=2048)
+    sized = arrow_map(own, lambda cols: {"doc_id": cols["doc_id"], "n": [size(t) if t else 0 for t in cols["text"]]}, "doc_id bigint, n int", {"doc_id": pa.int64(), "n": pa.int32()}, rows=2048)
     shards = max(1, math.ceil(documents.select("doc_id").count() / SHARD_ITEMS))
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -81,7 +85,8 @@ def pack(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return out[["doc_id", "piece_no", "first_token", "tokens", "container"]]
 
     parts = sized.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(shards)))
-    return parts.groupBy("part").applyInPandas(shard, "doc_id bigint, piece_no int, first_token int, tokens int, container string")
+    # a number of partitions of its own, which adaptive execution leaves as it is: a task for each shard
+    return parts.repartition(shards, "part").groupBy("part").applyInPandas(shard, "doc_id bigint, piece_no int, first_token int, tokens int, container string")
 
 
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -25,7 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_found": lambda s, d: sitelines.found(table(s, d, "documents")),
         "p6_cleaned": lambda s, d: sitelines.cleaned(table(s, d, "documents")),
         "p7_found": lambda s, d: budget.found(table(s, d, "chunks")),
-        "p7_totals": lambda s, d: budget.totals(table(s, d, "chunks")),
+        "p7_totals": lambda s, d: budget.totals(table(s, d, "chunks"), table(s, d, "documents")),
+        "p7_exact_totals": lambda s, d: budget.totals(table(s, d, "chunks"), table(s, d, "documents")).drop("est_tokens", "est_document_tokens"),
+        "p7_errors": lambda s, d: budget.errors(table(s, d, "chunks")),
         "p8_packed": lambda s, d: packing.pack(table(s, d, "documents")),
         "p8_fill": lambda s, d: packing.fill(packing.pack(table(s, d, "documents"))),
         "p9_found": lambda s, d: leaks.found(table(s, d, "documents"), table(s, d, "eval_items")),
@@ -40,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": pieces.SQL_FOUND,
         "p6_found": sitelines.SQL_FOUND,
         "p7_found": budget.SQL_FOUND,
+        "p7_exact_totals": budget.SQL_EXACT,
     }
