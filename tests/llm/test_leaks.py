@@ -71,9 +71,24 @@ def test_index_counts_like_a_scan():
         assert said.get(k, 0) == real
         if real:
             at = np.flatnonzero(rows == k)[0]
-            assert all((codes[a : a + 6] == p).all() for a in index.sa[lo[at] : hi[at]])
+            assert all((codes[a : a + 6] == p).all() for a in index.locate(np.arange(lo[at], hi[at])))
+
+
+def test_suffix_order_of_repeated_runs():
+    codes = np.array([3, 2, 3, 2, 3, 2, 1] * 40 + [3, 2] * 30 + [0])
+    sa = leaks.suffix_order(codes, 2)
+    assert sa.tolist() == sorted(range(len(codes)), key=lambda k: codes[k:].tolist())
+
+
+def test_repeated_documents_and_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "ITEMS_A_BLOCK", 2)
+    text = " ".join(f"mot{k}" for k in range(60))
+    docs = [(k, text if k % 2 else f"autre {k} {text[:200]}") for k in range(12)]
+    items = [(k, " ".join(text.split()[k * 5 : k * 5 + 18])) for k in range(8)]
+    got = {(r[0], r[1]) for r in leaks.found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute(docs, items, 15)
 
 
 def test_window_bound():
     with pytest.raises(ValueError):
-        leaks.leaked_spans(None, None, 17)
+        leaks.leaked_spans(None, None, 0)
