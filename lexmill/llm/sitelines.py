@@ -9,24 +9,21 @@ of some shard; the counts over all documents, which follow, keep those that pass
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.text import arrow_map, hash64
+from lexmill.session import staged
 
 MIN_LETTERS = 12
 MIN_DOCS = 5
 MIN_SHARE = 0.08
 #: Documents of a shard, about; a source of any size is dealt to as many shards as it needs.
 SHARD_DOCS = 4000
-#: Lines that a block has at most.
-BLOCK_LINES = 8
 
 
 class _Letters(dict):
@@ -51,12 +48,12 @@ def line_keys(text: str, letters: dict[str, str] | None = None) -> tuple[list[in
     return numbers, keys
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffixes in the order of their first ``depth`` codes, and their ranks by the first 1, 2, 4, ... codes."""
+def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffixes in order, and their ranks by the first 1, 2, 4, ... codes, until no two suffixes are alike."""
     n = len(codes)
     rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
     ranks, span = [rank], 1
-    while span < depth:
+    while span < n and int(rank.max(initial=-1)) < n - 1:
         after = np.zeros(n, np.int64)
         after[: max(n - span, 0)] = rank[span:] + 1
         key = rank * (n + 2) + after
@@ -66,7 +63,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.nda
     return np.argsort(rank, kind="stable"), ranks
 
 
-def repeated_blocks(doc: np.ndarray, key: np.ndarray, least: float, depth: int = BLOCK_LINES) -> list[tuple[list[int], int]]:
+def repeated_blocks(doc: np.ndarray, key: np.ndarray, least: float) -> list[tuple[list[int], int]]:
     """Blocks of one or more lines, as long as they repeat, that are in at least ``least`` documents.
 
     ``doc`` and ``key`` name the document and the identifier of each line, in order; a block stays within
@@ -81,7 +78,7 @@ def repeated_blocks(doc: np.ndarray, key: np.ndarray, least: float, depth: int =
     codes = np.insert(codes, cut, codes.max() + 1 + np.arange(len(cut)))
     docs = np.insert(doc, cut, -1 - np.arange(len(cut)))
     keys = np.insert(key, cut, 0)
-    sa, ranks = suffix_array(codes, depth)
+    sa, ranks = suffix_array(codes)
     # common prefix of each suffix with the one before it, from the ranks of doubling lengths
     lcp = np.zeros(len(sa), np.int64)
     a, b = sa[:-1].copy(), sa[1:].copy()
@@ -94,7 +91,7 @@ def repeated_blocks(doc: np.ndarray, key: np.ndarray, least: float, depth: int =
         a += step
         b += step
     found: list[tuple[list[int], int]] = []
-    for size in range(max(1, min(depth, int(lcp.max(initial=0)))), 0, -1):
+    for size in sorted({1, *np.unique(lcp[lcp > 0]).tolist()}, reverse=True):
         edge = np.flatnonzero(lcp < size)
         to = np.append(edge[1:], len(sa))
         # a longer block is one that repeats; a single line may be asked for even if it does not
@@ -158,8 +155,8 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     Null texts count as documents without lines, null sources as one source; rows of one doc_id are one
     document; further columns are left aside.
     """
-    hashed = _hashed(documents).persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = documents.select(F.coalesce(F.col("source").cast("string"), F.lit("\u0000")).alias("source"), "doc_id").where("doc_id is not null").groupBy("source").agg(F.countDistinct("doc_id").alias("n_source"))
+    hashed = staged(_hashed(documents))
+    sizes = hashed.groupBy("source").agg(F.countDistinct("doc_id").alias("n_source"))
     lines = _blocks(hashed, sizes).select("source", F.explode("block").alias("key")).distinct()
     places = hashed.select("source", "doc_id", F.explode(F.arrays_zip("line_no", "key")).alias("x")).select("source", "doc_id", F.col("x.line_no").alias("line_no"), F.col("x.key").alias("key"))
     kept = places.join(lines, ["source", "key"], "left_semi")
@@ -190,8 +187,3 @@ SELECT DISTINCT l.doc_id, CAST(l.line_no AS BIGINT) AS line_no
 FROM long l JOIN hit h ON l.source = h.source AND l.k = h.k JOIN n ON n.source = l.source
 WHERE h.m >= 5 AND h.m >= 0.08 * n.n
 """
-
-
-def shards_of(n_docs: int) -> int:
-    """Shards that a source of so many documents is dealt to."""
-    return max(1, math.ceil(n_docs / SHARD_DOCS))
