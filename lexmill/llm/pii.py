@@ -4,8 +4,10 @@ Segments of text are scored as wholes, by features of the segment (shape, letter
 of its words, length) and of the words around it; dynamic programming over the segments of a stretch of text
 chooses boundaries and types together, so that a name inside an address or an e-mail address is not found
 twice. Only segments that could be an item enter: those of the shape of a number, address or e-mail address,
-and runs of at most three words that look like a name or follow a form of address. Weights are trained by
-``python -m lexmill.llm.train_pii`` and stored beside this module.
+and runs of at most MOST_WORDS words (the bound on an entity that the dynamic programming needs) that look
+like a name or follow a form of address. The weights maximise the likelihood of the segmentations, summed over
+all others by the forward-backward recursions of ``python -m lexmill.llm.train_pii``, and are stored beside
+this module.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import functools
 import json
 import os
 import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +29,7 @@ TYPES = ("nom", "cin", "telephone", "email", "adresse")
 PLACEHOLDERS = {"nom": "[NOM]", "cin": "[CIN]", "telephone": "[TELEPHONE]", "adresse": "[ADRESSE]", "email": "[EMAIL]"}
 MODEL = os.path.join(os.path.dirname(__file__), "models", "pii.json")
 #: Words of a name at most.
-MOST_WORDS = 3
+MOST_WORDS = 6
 
 _D = "0-9٠-٩"
 # A blank or line break; inside an item a wrapped line may break there.
@@ -34,17 +37,20 @@ _S = r"[ \n\xa0]"
 _TOWN = r"(?:[A-ZÉÈ][\w'’@|]*(?:[-‐]\n?[A-ZÉÈ][\w'’@|]*)*)"
 _EMAIL = re.compile(r"(?<![\w.+-])[\w+-][\w.+-]*+(?:-\n[\w.+-]+)?[ \n]?(?:@|\(at\)|\[at\]|\( ?at ?\)|\[ ?at ?\])[ \n]?[\w-]+(?:(?:-\n|\.\n?|\n\.)[\w-]+)*\.\n?[a-z]{2,10}\b", re.IGNORECASE)
 _PHONE = re.compile(rf"(?<![\w/.,:-])(?:(?:\+|00)212(?:[ .\n-]?\(0\))?[ .\n-]?[{_D}](?:[ .\n-]?[{_D}]){{8}}|[0٠](?:[ .\n-]?[{_D}]){{9}})(?![\w/])")
+_ABROAD = re.compile(r"(?<![\w/.,:+-])(?:\+|00)(?!212)[1-9][0-9]{0,2}(?:[ .\n-]?\(?[0-9]{1,4}\)?){2,6}(?![\w/])")
 _CIN = re.compile(rf"(?<![\w@./-])[A-Za-z]{{1,2}}(?:[- ]|\n|-\n)?[{_D}]{{5,6}}(?![\w/@])")
 _STREET_FR = r"(?:rue|avenue|av\.|Bd|bd|boulevard|Boulevard|Avenue|Rue|place|Place|impasse|Impasse|route|allée)"
 _ADDRESS = re.compile(
     rf"(?:\d{{1,4}}(?:{_S}(?:bis|ter|quater))?,?{_S}{_STREET_FR}{_S}(?:[^,.;\n]|\n){{2,60}}?,{_S}(?:(?:appt|app\.|apt|étage|n°|porte){_S}\w+,{_S})?(?:\d{{5}}{_S})?{_TOWN}"
     rf"|(?:Hay|Quartier|Lotissement|Lot\.|Résidence|Immeuble|Cité){_S}(?:[^,.;\n]|\n){{2,50}}?,{_S}(?:(?:bloc|immeuble|villa|imm\.|n°|appt|lot){_S}?(?:n°{_S})?\w+,{_S}){{1,3}}{_TOWN}"
     rf"|Douar{_S}(?:[^,.;\n]|\n){{2,40}}?,{_S}commune{_S}de{_S}{_TOWN}"
+    rf"|\d{{1,4}}[A-Za-z]?,?{_S}(?:[A-Z][\w'’-]+{_S}){{1,4}}(?:Street|Road|Avenue|Lane|Drive|Square|Terrace|Gardens|Boulevard|Crescent)\b(?:,{_S}(?:(?:flat|apartment|floor|unit){_S}\w+,{_S})?{_TOWN}(?:{_S}{_TOWN}){{0,2}})?"
+    rf"|(?:Calle|Avenida|Avda\.|Plaza|Paseo|Carrera|Camino|Ronda)(?:{_S}(?:de|del|la|las|los|el|y)){{0,2}}(?:{_S}(?:(?:de|del|la|las|los|el|y){_S}){{0,2}}[A-ZÁÉÍÓÚÑ][\w'’-]*){{1,4}},?{_S}(?:n\.?º?{_S}?)?\d{{1,4}}\b(?:,{_S}(?:piso{_S}\w+,{_S})?(?:\d{{5}}{_S})?{_TOWN}(?:{_S}{_TOWN}){{0,2}})?"
     rf"|(?<![ء-ي])(?:شارع|زنقة|حي|دوار|إقامة|تجزئة|درب|ساحة){_S}[^،,.؛]{{2,60}}?[،,]{_S}?(?:جماعة{_S})?[ء-ي][ء-ي{_D}]*)"
 )
 _WORD = re.compile(r"[^\W_](?:[\w@|]|['’](?=\w))*(?:[-‐¬­]\n?[^\W\d_][\w@|]*)*", re.UNICODE)
 # A word that goes on in the next line.
-_BROKEN = re.compile(r"\w++[-‐¬­]\n[^\W\d_][\w@|]*+")
+_BROKEN = re.compile(r"(?<!\w)\w++[-‐¬­]\n[^\W\d_][\w@|]*+")
 _GAP = re.compile(r"[ \xa0]{1,2}| ?\n")
 _INITIAL_GAP = re.compile(r"\.[ \n\xa0]?")
 _FIX_LATIN = str.maketrans("0134567@|", "oieasbtai")
@@ -124,12 +130,18 @@ class Worth(dict):
         return x
 
 
+#: Small words inside names.
+PARTICLES = frozenset("de la las los del el al ben bin ibn ould ait van von der den da do dos du des y e le".split())
+
+
 class Model:
-    """Weights and the words that, by their letters alone, may be part of a name."""
+    """Weights and the words that, by their letters alone, may be part of a name. Sums over the features of a word are kept."""
 
-    def __init__(self, w: dict[str, float], common: frozenset[str] = frozenset()) -> None:
-        self.w, self.common = w, common
+    def __init__(self, w: dict[str, float]) -> None:
+        self.w = w
+        self.limit = w.get("namelike", 1.0)
         self.memo: dict[str, bool] = {}
+        self.words: dict[str, tuple[float, ...]] = {}
         self.worth = Worth(self)
 
     def namelike(self, word: str) -> bool:
@@ -146,38 +158,69 @@ class Model:
             return False
         if "؀" <= word[0] <= "ۿ" and word[0] == "و" and self._namelike(word[1:]):
             return True
-        return sum(self.w.get(f"like.{f}", 0.0) for f in letters_of(word) if not f.startswith(("shape", "len"))) > self.w.get("namelike", 1.0)
+        return sum(self.w.get(f"like.{f}", 0.0) for f in letters_of(word) if not f.startswith(("shape", "len"))) > self.limit
 
-    def score(self, kind: str, fs: list[str]) -> float:
-        w = self.w
-        return w.get(f"{kind}.bias", 0.0) + sum(w.get(f"{kind}.{f}", 0.0) for f in fs)
+    def sum(self, kind: str, fs: Iterable[str]) -> float:
+        get = self.w.get
+        return sum(get(f"{kind}.{f}", 0.0) for f in fs)
 
+    def word(self, w: str) -> tuple[float, ...]:
+        """What the word adds anywhere in a name, as its first word and as its last."""
+        known = self.words.get(w)
+        if known is None:
+            if len(self.words) > 400_000:
+                self.words.clear()
+            known = self.words[w] = tuple(self.sum("nom", fs) for fs in word_features(w))
+        return known
 
-def words_around(text: str, a: int, b: int) -> list[str]:
-    """Features of the words before and after a segment."""
-    left = [stem(m[0]) for m in _WORD.finditer(text, max(0, a - 45), a)][-2:]
-    right = [stem(m[0]) for m in _WORD.finditer(text, b, min(len(text), b + 40))][:2]
-    left = ["", "", *left][-2:]
-    right = [*right, "", ""][:2]
-    sign_l = text[max(0, a - 2) : a].strip()[-1:]
-    sign_r = text[b : b + 2].strip()[:1]
-    return [f"l1={left[1]}", f"l2={left[0]}_{left[1]}", f"r1={right[0]}", f"r2={right[0]}_{right[1]}", f"ls={sign_l if not sign_l.isalnum() else 'w'}", f"rs={sign_r if not sign_r.isalnum() else 'w'}"]
 
+Candidate = tuple[int, int, str, tuple[tuple[int, int], ...]]
 
-def name_features(text: str, spans: list[tuple[int, int]]) -> list[str]:
-    """Features of a run of words as a name."""
-    words = [text[a:b] for a, b in spans]
-    fs = words_around(text, spans[0][0], spans[-1][1])
-    fs.append("shapes=" + "_".join(shape(w) for w in words))
-    fs.append(f"words={len(words)}")
-    for k, w in enumerate(words):
-        fs += letters_of(w)
-        if k == 0:
-            fs += [f"first_{x}" for x in letters_of(w)[:4]]
-        if k == len(words) - 1:
-            fs += [f"last_{x}" for x in letters_of(w)[:4]]
-        if stem(w) in CUES or stem(w) in OFFICES:
-            fs.append("title_inside")
+
+def side(text: str, at: int, left: bool) -> list[str]:
+    """Features of the two words before or after a place, and of the sign there."""
+    out: list[str] = []
+    k = at
+    while len(out) < 2:
+        if left:
+            end = k
+            while end and text[end - 1].isspace():
+                end -= 1
+            if not end:
+                break
+            k = max(text.rfind(" ", 0, end), text.rfind("\n", 0, end)) + 1
+            out = [*(stem(m[0]) for m in _WORD.finditer(text, k, end)), *out]
+        else:
+            while k < len(text) and text[k].isspace():
+                k += 1
+            if k >= len(text):
+                break
+            blank, line = text.find(" ", k), text.find("\n", k)
+            end = min(x if x >= 0 else len(text) for x in (blank, line))
+            out += [stem(m[0]) for m in _WORD.finditer(text, k, end)]
+            k = end
+    if left:
+        a, b = ["", "", *out][-2:]
+        sign = text[max(0, at - 2) : at].strip()[-1:]
+        return [f"l1={b}", f"l2={a}_{b}", f"ls={sign if not sign.isalnum() else 'w'}", f"lc={b in CUES}", f"lo={b in OFFICES}"]
+    a, b = [*out, "", ""][:2]
+    sign = text[at : at + 2].strip()[:1]
+    goes_on = text[at : at + 1] in (" ", "\n") and text[at + 1 : at + 2].isupper()
+    return [f"r1={a}", f"r2={a}_{b}", f"rs={sign if not sign.isalnum() else 'w'}", f"rt={goes_on and 'name' or a in PARTICLES and 'particle' or 'no'}"]
+
+
+@functools.lru_cache(maxsize=200_000)
+def word_features(w: str) -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]:
+    """Features of a word of a name, besides these of it as the first and as the last."""
+    fs = letters_of(w)
+    x = stem(w)
+    own = fs + (("title_inside",) if x in CUES or x in OFFICES else ()) + (("small_inside",) if x in PARTICLES and w.islower() else ())
+    return own, tuple(f"first_{f}" for f in (*fs[:4], fs[5])), tuple(f"last_{f}" for f in (*fs[:4], fs[5]))
+
+
+def frame_features(text: str, spans: tuple[tuple[int, int], ...]) -> list[str]:
+    """Features of a run of words as a whole."""
+    fs = ["shapes=" + "_".join("small" if text[a:b] in PARTICLES else shape(text[a:b]) for a, b in spans), f"words={len(spans)}"]
     for (_, x), (y, _) in zip(spans, spans[1:]):
         fs.append("gap=" + ("break" if "\n" in text[x:y] else "dot" if "." in text[x:y] else "blank"))
     return fs
@@ -187,18 +230,56 @@ def item_features(kind: str, text: str, a: int, b: int) -> list[str]:
     """Features of a segment of another type."""
     value = text[a:b]
     form = re.sub(r"[A-Za-z]+", lambda m: "A" * min(len(m[0]), 3), re.sub(rf"[{_D}]+", "0", value))
-    return [*words_around(text, a, b), f"form={form[:12]}", f"head={stem(value.split()[0]) if value.split() else ''}" if kind == "adresse" else f"code={re.sub(r'[^A-Za-z]', '', value).upper()}" if kind == "cin" else "item"]
+    return [f"form={form[:12]}", f"head={stem(value.split()[0]) if value.split() else ''}" if kind == "adresse" else f"code={re.sub(r'[^A-Za-z]', '', value).upper()}" if kind == "cin" else "item"]
+
+
+def features(text: str, c: Candidate) -> list[str]:
+    """All features of a candidate."""
+    a, b, kind, spans = c
+    fs = ["bias", *side(text, a, True), *side(text, b, False)]
+    if kind != "nom":
+        return fs + item_features(kind, text, a, b)
+    fs += frame_features(text, spans)
+    for k, (x, y) in enumerate(spans):
+        own, first, last = word_features(text[x:y])
+        fs += own + (first if k == 0 else ()) + (last if k == len(spans) - 1 else ())
+    if text[a - 1 : a] == "و":
+        fs.append("waw_before")
+    return fs
+
+
+def scored(text: str, found: list[Candidate], model: Model) -> list[tuple[int, int, str, float]]:
+    """Candidates with the sum of the weights of their features, each part added up once."""
+    left: dict[tuple[str, int], float] = {}
+    right: dict[tuple[str, int], float] = {}
+    out = []
+    for a, b, kind, spans in found:
+        if (x := left.get((kind, a))) is None:
+            x = left[kind, a] = model.sum(kind, side(text, a, True)) + model.w.get(f"{kind}.bias", 0.0)
+        if (y := right.get((kind, b))) is None:
+            y = right[kind, b] = model.sum(kind, side(text, b, False))
+        if kind != "nom":
+            out.append((a, b, kind, x + y + model.sum(kind, item_features(kind, text, a, b))))
+            continue
+        words = [model.word(text[i:j]) for i, j in spans]
+        total = x + y + model.sum("nom", frame_features(text, spans)) + sum(w[0] for w in words) + words[0][1] + words[-1][2]
+        if text[a - 1 : a] == "و":
+            total += model.w.get("nom.waw_before", 0.0)
+        out.append((a, b, kind, total))
+    return out
 
 
-def candidates(text: str, model: Model) -> list[tuple[int, int, str, list[str]]]:
-    """(start, end, type, features) of every segment that could be an item."""
-    out: list[tuple[int, int, str, list[str]]] = []
+def candidates(text: str, model: Model) -> list[Candidate]:
+    """(start, end, type, spans of the words) of every segment that could be an item."""
+    out: list[Candidate] = []
     has_at = "@" in text or "at)" in text.lower() or "at]" in text.lower()
     if has_at:
-        out += [(m.start(), m.end(), "email", item_features("email", text, *m.span())) for m in _EMAIL.finditer(text)]
+        out += [(m.start(), m.end(), "email", ()) for m in _EMAIL.finditer(text)]
     for kind, pattern in (("telephone", _PHONE), ("cin", _CIN), ("adresse", _ADDRESS)):
         if kind != "adresse" or any(w in text for w in STREETS):
-            out += [(m.start(), m.end(), kind, item_features(kind, text, *m.span())) for m in pattern.finditer(text)]
+            out += [(m.start(), m.end(), kind, ()) for m in pattern.finditer(text)]
+    if "+" in text or "00" in text:
+        out += [(m.start(), m.end(), "telephone", ()) for m in _ABROAD.finditer(text) if 8 <= sum(map(str.isdigit, m[0])) <= 15]
     # names: words that look like parts of one, and words after a form of address
     get = model.worth.__getitem__
     broken = [m.start() for m in _BROKEN.finditer(text) if get(m[0])]
@@ -222,16 +303,16 @@ def candidates(text: str, model: Model) -> list[tuple[int, int, str, list[str]]]
 
 
 # One of these is in every address.
-STREETS = ("rue", "venue", "av.", "Bd", "bd", "oulevard", "lace", "mpasse", "route", "allée", "Hay", "Quartier", "Lot", "Résidence", "Immeuble", "Cité", "Douar", "شارع", "زنقة", "حي", "دوار", "إقامة", "تجزئة", "درب", "ساحة")
+STREETS = ("Street", "Road", "Lane", "Drive", "Square", "Terrace", "Gardens", "Crescent", "Calle", "Avenida", "Avda.", "Plaza", "Paseo", "Carrera", "Camino", "Ronda", "rue", "venue", "av.", "Bd", "bd", "oulevard", "lace", "mpasse", "route", "allée", "Hay", "Quartier", "Lot", "Résidence", "Immeuble", "Cité", "Douar", "شارع", "زنقة", "حي", "دوار", "إقامة", "تجزئة", "درب", "ساحة")
 
 
-def name_candidates(text: str, model: Model, begin: int = 0, end: int | None = None) -> list[tuple[int, int, str, list[str]]]:
-    """Runs of words between two places that could be names."""
+def name_candidates(text: str, model: Model, begin: int = 0, end: int | None = None) -> list[Candidate]:
+    """Runs of words between two places that could be names: around a word that looks like part of one, or from a form of address on."""
     spans = [m.span() for m in _WORD.finditer(text, begin, len(text) if end is None else end)]
     words = [text[a:b] for a, b in spans]
     like = [model.namelike(w) for w in words]
     seen: set[tuple[int, int]] = set()
-    out: list[tuple[int, int, str, list[str]]] = []
+    out: list[Candidate] = []
 
     def joined(k: int) -> bool:
         gap = text[spans[k][1] : spans[k + 1][0]]
@@ -239,33 +320,35 @@ def name_candidates(text: str, model: Model, begin: int = 0, end: int | None = N
 
     def add(i: int, j: int) -> None:
         a, b = spans[i][0], spans[j][1]
-        own = spans[i : j + 1]
-        if words[i][0] == "و" and len(words[i]) > 4 and like[i]:
-            # the conjunction is written together with the name; both readings enter
-            for shift in (0, 1):
-                if (a + shift, b) not in seen:
-                    seen.add((a + shift, b))
-                    out.append((a + shift, b, "nom", [*name_features(text, [(a + shift, own[0][1]), *own[1:]]), f"waw={shift}"]))
-            return
-        if (a, b) not in seen:
-            seen.add((a, b))
-            out.append((a, b, "nom", name_features(text, own)))
+        own = tuple(spans[i : j + 1])
+        # where the conjunction is written together with the name, both readings enter
+        for shift in (0, 1) if words[i][0] == "و" and len(words[i]) > 4 and like[i] else (0,):
+            if (a + shift, b) not in seen:
+                seen.add((a + shift, b))
+                out.append((a + shift, b, "nom", ((a + shift, own[0][1]), *own[1:]) if shift else own))
 
     for k in range(len(words)):
-        cue = k > 0 and stem(words[k - 1]) in CUES and stem(words[k]) not in OFFICES and (shape(words[k]) in ("title", "upper", "arabic", "initial"))
-        if not (like[k] or cue):
-            continue
-        for i in range(max(0, k - MOST_WORDS + 1), k + 1):
-            if any(not joined(q) for q in range(i, k)):
-                continue
-            for j in range(k, min(len(words), i + MOST_WORDS)):
-                if j > k and not joined(j - 1):
+        if like[k]:
+            for i in range(k, max(-1, k - MOST_WORDS), -1):
+                if i < k and not joined(i):
                     break
-                extra = [q for q in range(i, j + 1) if not like[q]]
-                if any(words[q].isdigit() for q in extra):
-                    continue
-                if len(extra) <= 1 or cue and i == k:
+                for j in range(k, min(len(words), i + MOST_WORDS)):
+                    if j > k and not joined(j - 1):
+                        break
+                    extra = [q for q in range(i, j + 1) if not like[q]]
+                    if len(extra) > 1 or any(words[q].isdigit() for q in extra):
+                        break
                     add(i, j)
+        if k and stem(words[k - 1]) in CUES and stem(words[k]) not in OFFICES and shape(words[k]) in ("title", "upper", "arabic", "initial"):
+            latin = shape(words[k]) != "arabic"
+            for j in range(k, min(len(words), k + MOST_WORDS)):
+                if j > k and not joined(j - 1) or words[j].isdigit():
+                    break
+                # in Latin script only small words stand within a name; in Arabic one word more may belong to it
+                if j > k and not like[j] and (words[j][0].islower() and words[j] not in PARTICLES if latin else j > k + 1):
+                    break
+                if not latin or words[j] not in PARTICLES:
+                    add(k, j)
     return out
 
 
@@ -302,7 +385,7 @@ def model() -> Model:
 def items(text: str, m: Model | None = None) -> list[tuple[int, int, str]]:
     """(start, end, type) of the items of one text, in order."""
     m = m or model()
-    return best([(a, b, kind, m.score(kind, fs)) for a, b, kind, fs in candidates(text, m)])
+    return best(scored(text, candidates(text, m), m))
 
 
 def masked(text: str, found: list[tuple[int, int, str]]) -> str:
