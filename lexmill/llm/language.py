@@ -237,7 +237,7 @@ class Scorer(dict):
         total = np.zeros((len(texts), len(LANGUAGES)))
         np.add.at(total, text, scores)
         n = np.bincount(text, weights=letters, minlength=len(texts)) if len(text) else np.zeros(len(texts))
-        known = (n >= least) & ~self.rejected(total[np.arange(len(texts)), main], n, main)
+        known = (n >= least) & ~self.rejected(total, n, main)
         return [LANGUAGES[k] if ok else None for k, ok in zip(main.tolist(), known.tolist(), strict=True)]
 
     def judge(self, texts: list[str]) -> list[tuple[str | None, float, list[tuple[int, int, str | None, float]]]]:
@@ -257,14 +257,14 @@ class Scorer(dict):
         line_scores, line_letters = np.add.reduceat(scores, begin), by_line.sum(axis=1)
         pick = np.where(by_line[np.arange(len(begin)), main[at]] * 2 >= line_letters, main[at], by_line.argmax(axis=1))
         line_sure = self.confidences(line_scores, line_letters, pick)
-        lost = self.rejected(line_scores[np.arange(len(begin)), pick], line_letters, pick)
+        lost = self.rejected(line_scores, line_letters, pick)
         for t, k, m, p, sure, no in zip(at.tolist(), line[begin].tolist(), line_letters.tolist(), pick.tolist(), line_sure.tolist(), lost.tolist(), strict=True):
             out[t][2].append((k, int(m), None if no else LANGUAGES[p], sure))
         text_scores = np.zeros((len(texts), n))
         np.add.at(text_scores, text, scores)
         total = mass.sum(axis=1)
         sure = self.confidences(text_scores, total, main) * mass[np.arange(len(texts)), main] / np.maximum(total, 1)
-        no = self.rejected(text_scores[np.arange(len(texts)), main], total, main)
+        no = self.rejected(text_scores, total, main)
         for t in np.unique(text).tolist():
             out[t] = (None if no[t] else LANGUAGES[main[t]], round(float(sure[t]), 4), out[t][2])
         return out
@@ -275,10 +275,18 @@ class Scorer(dict):
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return np.round(z[np.arange(len(z)), pick] / z.sum(axis=1), 4)
 
-    def rejected(self, score: np.ndarray, letters: np.ndarray, pick: np.ndarray) -> np.ndarray:
-        """Whether the cross-entropy per letter is beyond what held-out texts of the language, of that many letters, show."""
-        mean, slope = self.limits[pick, 0], self.limits[pick, 1]
-        return -score / np.maximum(letters, 1) > mean + slope / np.maximum(letters, 1) ** 0.5
+    def rejected(self, scores: np.ndarray, letters: np.ndarray, pick: np.ndarray) -> np.ndarray:
+        """Whether a text is in none of the languages: its cross-entropy is high and no lower than under other models, beyond the limit calibrated on held-out lines."""
+        each = -scores / np.maximum(letters, 1)[:, None]
+        latin = [k for k, x in enumerate(LANGUAGES) if x != "ar"]
+        how = np.where(np.isin(pick, latin), lack(each[:, latin]), each[np.arange(len(each)), pick])
+        return how > self.limits[pick, 0] + self.limits[pick, 1] / np.maximum(letters, 1) ** 0.5
+
+
+def lack(entropies: np.ndarray) -> np.ndarray:
+    """How far texts are from every one of the languages: the lowest cross-entropy a letter, less what it is below the next."""
+    x = np.sort(entropies, axis=1)
+    return 2 * x[:, 0] - x[:, 1]
 
 
 @functools.cache

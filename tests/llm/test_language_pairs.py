@@ -80,3 +80,32 @@ def test_pairs_table(spark):
     m = spark.createDataFrame([("u1", "user", None, Q), ("a1", "assistant", "u1", "Le bailleur doit resti"), ("a1", "assistant", "u1", "Le bailleur doit resti"), ("a2", "assistant", "gone", FR), ("a3", "assistant", None, None)], "message_id string, role string, reply_to string, content string")
     assert {tuple(r) for r in pairs.found(e, m).collect()} == {("e1", "empty"), ("e2", "other_language"), ("a1", "truncated"), ("a3", "empty")}
     assert pairs.found(e.limit(0), m.limit(0)).count() == 0
+
+
+def test_long_refusals_short_copies_and_long_tails():
+    long = "Je ne peux pas répondre à cette question. " + "Le texte cité porte sur un autre sujet et ne dit rien de la demande. " * 8
+    assert "refusal" in pairs.defects("Quel délai ?", long)
+    assert "refusal" not in pairs.defects("Quel délai ?", "Le délai est de dix jours. " * 3 + "Le salarié a dit : je ne peux pas répondre. " + "Le délai court du dépôt. " * 3)
+    assert "copy" in pairs.defects("Quel délai ?", "Quel délai ?") and "copy" not in pairs.defects("Délai ?", "Le délai est de dix jours, voilà le délai.")
+    assert pairs.defects("Quel délai ?", "Le délai est de dix jours." + " " * 5000 + "(voir " + "article " * 60 + "3)") == []
+
+
+def test_messages_without_a_question(spark):
+    m = spark.createDataFrame([("a1", "assistant", None, "Le délai est"), ("q", "user", None, "Quel délai ?"), ("q", "user", None, "Quel délai ? bis"), ("a2", "assistant", "q", "Dix jours."), ("a3", "assistant", "zz", None)], "message_id string, role string, reply_to string, content string")
+    e = spark.createDataFrame([], "example_id string, question string, answer string")
+    rows = {r["pair_id"]: r["question"] for r in pairs.pairs_of(e, m).collect()}
+    assert rows == {"a1": None, "a2": "Quel délai ? bis", "a3": None}
+    assert {tuple(r) for r in pairs.found(e, m).collect()} == {("a1", "truncated"), ("a3", "empty")}
+
+
+def test_unknown_languages_and_noise_are_rejected():
+    for t in ("Der Vermieter muss dem Mieter die Kaution nach Ende des Vertrages zurückzahlen, sobald die Wohnung übergeben ist.", "xk wqz bnrt plmk zzrt qwd hhjk vvbn mkjt rrtp lkjh gfds", "Il padrone di casa deve restituire il deposito cauzionale alla fine del contratto di locazione."):
+        assert language.scorer().judge([t])[0][0] is None and language.languages_of([t]) == [None]
+    for lang, t in (("fr", "Les enfants jouaient dans le jardin pendant que leur grand-mère préparait une tarte aux pommes."), ("en", "The quick brown fox jumps over the lazy dog while children were playing football in the park."), ("es", "Los niños jugaban en el parque mientras su abuela preparaba una tarta de manzana."), ("ar", "ذهب الأطفال إلى الحديقة ولعبوا كرة القدم حتى غروب الشمس")):
+        assert language.scorer().judge([t])[0][0] == lang
+
+
+def test_rejected_documents_come_out_as_unknown(spark):
+    df = spark.createDataFrame([(1, "de", "Der Vermieter muss dem Mieter die Kaution nach Ende des Vertrages zurückzahlen."), (2, "en", FR)], "doc_id long, lang string, text string")
+    assert {(r["doc_id"], r["language"], r["label_ok"]) for r in language.judged(df).collect()} == {(1, "und", None), (2, "fr", False)}
+    assert [tuple(r) for r in language.found(df).collect()] == [(2, -1, "fr")]

@@ -70,15 +70,20 @@ def test_budget_found(spark):
 
 
 def test_totals_count_each_chunk_once(spark):
-    rows = [("a", "un deux trois", 3, "fr", "s", "c")] * 3 + [("b", "un", 1, "fr", "s", "c"), ("c", "اثنان هنا", 2, "ar", "t", None)]
-    out = {r["source"]: r for r in budget.totals(spark.createDataFrame(rows, "chunk_id string, text string, token_count int, language string, source string, category string")).collect()}
-    assert out["s"]["chunks"] == 2 and out["s"]["tokens"] == 4 and out["t"]["tokens"] == 2
+    rows = [("a", "un deux trois", 3, "fr", "s", "c")] * 3 + [("b", "un", 1, "FR-ma", "s", "c"), ("c", "اثنان هنا", 2, "ar", "t", None), ("b", None, 1, "fr", "s", "c")]
+    docs = spark.createDataFrame([(1, "un deux", "fr", "s", "c"), (1, "un deux", "fr", "s", "c"), (2, None, None, "u", "c")], "doc_id long, text string, lang string, source string, category string")
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, token_count int, language string, source string, category string")
+    out = {r["source"]: r for r in budget.totals(chunks, docs).collect()}
+    assert out["s"]["chunks"] == 3 and out["s"]["tokens"] == 4 and out["t"]["tokens"] == 2 and out["s"]["documents"] == 1 and out["s"]["document_tokens"] == 2
+    assert out["u"]["language"] == "other" and out["u"]["documents"] == 1 and out["u"]["document_tokens"] == 0
+
+
+def test_features_hold_no_count_of_tokens():
+    assert budget.features("l'an 12, a-b c")[0] == 6 and budget.features("") == [0, 0, 0, 0, 0, 0]
 
 
 def test_estimate_holds_on_held_out_chunks():
     count = budget.byte_pairs()
-    if not count:
-        pytest.skip("no tokenizer file")
     texts = [("fr" if k % 2 else "ar", (text_of(50 + k, k) if k % 2 else "العقد شريعة المتعاقدين. " * (k % 30 + 3))) for k in range(300)]
     model = budget.fit(texts[:200], count)
     for lang in ("fr", "ar"):
@@ -87,6 +92,11 @@ def test_estimate_holds_on_held_out_chunks():
         assert abs(said / sum(map(count, own)) - 1) < 0.05
 
 
+def test_a_missing_tokenizer_is_an_error():
+    with pytest.raises(FileNotFoundError):
+        budget.byte_pairs("/nowhere/vocabulary.tiktoken")
+
+
 def test_packing_by_the_rule():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 1025, 3000)
@@ -124,7 +134,7 @@ def test_packing_matches_the_definition():
 
 def test_pack_table(spark):
     docs = [(1, "mot " * 3000), (2, None), (3, ""), (4, "a b c"), (5, "mot " * 1024), (6, "x")]
-    out = packing.pack(spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, container int"))
+    out = packing.pack(spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, container int"), tokens=count_tokens)
     rows = out.collect()
     per = {}
     for r in rows:
