@@ -14,9 +14,9 @@ ARABIC = r"[؀-ۿ]"
 # A line that holds only a page number, in the spellings found on scanned pages.
 PAGE_LINE = (
     r"(?imu)^[ \t]*(?:"
-    r"page[ \t]*[0-9]+(?:[ \t]*(?:/|sur|of)[ \t]*[0-9]+)?"
+    r"page[ \t]*(?:n[°º][ \t]*)?[0-9]+(?:[ \t]*(?:/|sur|of)[ \t]*[0-9]+)?"
     r"|(?:صفحة|الصفحة)[ \t]*[0-9٠-٩]+(?:[ \t]*(?:/|من)[ \t]*[0-9٠-٩]+)?"
-    r"|-[ \t]*[0-9]+[ \t]*-"
+    r"|-{1,2}[ \t]*[0-9]+[ \t]*-{1,2}"
     r"|[0-9]+[ \t]*(?:/|sur|of|من)[ \t]*[0-9]+"
     r")[ \t]*$"
 )
@@ -97,8 +97,9 @@ def cache_key(question: Column, filters: Column | None = None) -> Column:
 
 
 def keyed_fingerprint(message: Column, key: Column) -> Column:
-    """First 32 hexadecimal digits of HMAC-SHA-256, from the two nested hashes; the key must be short of 64 bytes."""
-    raw = F.rpad(F.hex(F.encode(key, "UTF-8")), 128, "0")
+    """First 32 hexadecimal digits of HMAC-SHA-256, from the two nested hashes; a key of more than 64 bytes is hashed first."""
+    own = F.hex(F.encode(key, "UTF-8"))
+    raw = F.rpad(F.when(F.length(own) > 128, F.upper(F.sha2(F.encode(key, "UTF-8"), 256))).otherwise(own), 128, "0")
 
     def pad(byte: str) -> Column:
         codes = F.sequence(F.lit(0), F.lit(63))

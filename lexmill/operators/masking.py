@@ -37,9 +37,18 @@ class Rule:
 
 
 _NAME = r"[A-ZÀ-Ý][\w'’-]+(?:\s+[A-ZÀ-Ý][\w'’-]+){0,2}"
-_NAME_AR = r"[ء-ي]{3,}(?:\s+[ء-ي]{3,}){0,1}"
-#: Prefixes of references that look like identity cards.
-NOT_CARDS = ("RC", "BO", "RG", "TF", "PV", "JO", "DA", "NR", "AR")
+# Arabic words that are no part of a name: verbs that follow one, function words, words of procedure. Fixed values.
+NOT_IN_NAMES = (
+    "تقدم", "تقدمت", "حضر", "حضرت", "أدلى", "أدلت", "رفض", "رفضت", "قدم", "قدمت", "صرح", "صرحت", "أكد", "أكدت", "طلب", "طلبت",
+    "دفع", "دفعت", "تمسك", "تمسكت", "أقر", "أقرت", "ادعى", "ادعت", "استأنف", "استأنفت", "قال", "قالت", "ذكر", "ذكرت", "أجاب", "أجابت",
+    "وقع", "وقعت", "التمس", "التمست", "نازع", "نازعت", "أن", "إن", "بأن", "قد", "وقد", "كان", "كانت", "لم", "لا", "ما",
+    "في", "من", "على", "إلى", "عن", "مع", "بعد", "قبل", "حيث", "وحيث", "الذي", "التي", "هذا", "هذه", "ذلك", "بذلك",
+    "المحكمة", "الجلسة", "الدعوى", "الحكم", "القرار", "الطلب", "الملف", "القانون", "الفصل", "المادة", "الظهير", "المغرب", "الرباط",
+)
+_WORD_AR = rf"(?!(?:{'|'.join(NOT_IN_NAMES)})\b)[ء-ي]{{2,}}"
+_NAME_AR = rf"{_WORD_AR}(?:\s+{_WORD_AR}){{0,2}}"
+#: Prefixes of references that look like identity cards. Fixed values.
+NOT_CARDS = ("RC", "BO", "RG", "TP", "IF", "ICE", "TVA", "CNSS", "AMO")
 
 RULES = (
     Rule("cin", r"(?:CIN|CNIE|C\.I\.N\.?|carte nationale|البطاقة الوطنية)[^\dA-Z]{0,12}([A-Z]{1,2}[- ]?\d{5,6})\b", "identity card after its name"),
@@ -174,3 +183,11 @@ def score_groups(scored: DataFrame) -> DataFrame:
         F.round(F.try_divide(F.sum(F.size("must_mask") - F.size("leaked")), F.sum(F.size("must_mask"))), 6).alias("recall"),
         F.round(F.try_divide(F.sum(F.size("damaged")), F.sum(F.size("must_survive"))), 6).alias("damage"),
     )
+
+
+def select_cases(cases: DataFrame, language: str | None = None, family: str | None = None, note: str | None = None) -> DataFrame:
+    """Evaluation cases of a language, of a family, or whose note holds some words (known limits); all that are given must hold."""
+    for column, value in (("language", language), ("family", family)):
+        if value is not None:
+            cases = cases.where(F.col(column) == value)
+    return cases if note is None else cases.where(F.contains(F.lower(F.coalesce("note", F.lit(""))), F.lit(note.lower())))

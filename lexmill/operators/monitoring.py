@@ -17,8 +17,9 @@ BUCKETS = {
     "llm": (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0),
     "documents": (1.0, 2.0, 4.0, 8.0, 12.0, 16.0, 24.0),
 }
-EVENT_TYPES = ("login", "query", "answer", "export", "admin")
-ROLES = ("reader", "editor", "admin", "auditor")
+#: Event types and roles of the audit contract. Fixed values.
+EVENT_TYPES = ("auth.login", "auth.denied", "corpus.read", "answer.generated", "answer.exported")
+ROLES = ("particulier", "juriste", "gestionnaire", "admin")
 FORBIDDEN = r"[\w.+-]+@[\w-]+\.[\w.-]+|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b|\b(?:[0-9a-fA-F]{1,4}:){3,7}[0-9a-fA-F]{1,4}\b|\beyJ[\w-]+\.[\w-]+\.[\w-]+"
 
 
@@ -89,11 +90,37 @@ def absent(events: DataFrame, ts: str, seconds: int) -> DataFrame:
     return spine.join(seen, "window_start", "left_anti")
 
 
-def inhibited(alerts: DataFrame) -> DataFrame:
-    """Alerts (alertname, module, severity) without the warnings that a critical one of the same name and module silences."""
-    critical = alerts.where("severity = 'critical'").select("alertname", "module").distinct()
-    warned = alerts.where("severity = 'warning'").join(critical, ["alertname", "module"], "left_anti")
-    return alerts.where("severity <> 'warning'").unionByName(warned)
+def inhibited(alerts: DataFrame, *rules: tuple[str, ...]) -> DataFrame:
+    """Alerts (alertname, module, severity) without the warnings that a critical one silences: one that is alike in all columns of some rule."""
+    out = alerts.where("severity = 'warning'")
+    for on in rules or (("alertname", "module"),):
+        out = out.join(alerts.where("severity = 'critical'").select(*on).distinct(), list(on), "left_anti").select(*alerts.columns)
+    return alerts.where("severity <> 'warning'").unionByName(out)
+
+
+def notifications(alerts: DataFrame, repeat: int, *by: str) -> DataFrame:
+    """(by..., notified_at, alerts): one message for each group of firing alerts (by..., ts), at its first sample and again when ``repeat`` seconds have passed.
+
+    Samples of a group that are ``repeat`` seconds or more apart begin anew. Groups are reduced to their distinct
+    times before they are put in order.
+    """
+    at = alerts.groupBy(*by, F.unix_timestamp("ts").alias("at")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*by).orderBy("at")
+    started = F.when(F.lag("at").over(w).isNull() | (F.col("at") - F.lag("at").over(w) >= repeat), F.col("at"))
+    runs = at.withColumn("_start", F.last(started, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    turn = F.floor((F.col("at") - F.col("_start")) / repeat)
+    return runs.groupBy(*by, "_start", turn.alias("_turn")).agg(F.min("at").alias("at"), F.sum("n").alias("alerts")).select(*by, F.timestamp_seconds("at").alias("notified_at"), "alerts")
+
+
+def sums(events: DataFrame, ts: str, value: str, seconds: int, *by: str) -> DataFrame:
+    """(window, by..., total) of a value."""
+    return events.groupBy(window_start(F.col(ts), seconds).alias("window_start"), *by).agg(F.round(F.sum(value), 4).alias("total"))
+
+
+def with_traces(audit: DataFrame, spans: DataFrame, key: str = "trace_id") -> DataFrame:
+    """Audit rows with the segments of their trace: how many, and seconds in all. Spans are added up before the join; a row whose trace is unknown is left out."""
+    of_trace = spans.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("segments"), F.round(F.sum("seconds"), 6).alias("seconds"))
+    return audit.join(of_trace, key)
 
 
 def sessions(events: DataFrame, user: str, ts: str, gap: int) -> DataFrame:
@@ -176,15 +203,26 @@ def leak_scan(reports: DataFrame, key: str, body: str, known: DataFrame) -> Data
     return flagged.where("doc_id = ''").drop("doc_id").unionByName(flagged.where("doc_id <> ''").join(known.select(F.col("doc_id").cast("string")).distinct(), "doc_id", "left_anti").drop("doc_id").withColumn("kind", F.lit("file_name")))
 
 
-def redact_paths(value: object, raw_dir: str = "raw") -> object:
-    """A report with paths into the raw corpus replaced by file names of documents."""
+def redact_paths(value: object, ids: dict[str, str], raw_dir: str = "raw") -> object:
+    """A report without names of raw files: each path into the raw folder becomes the document's identifier and the extension.
+
+    ``ids`` gives the identifier of each path relative to the folder; an unknown file becomes "document". Only the
+    path changes, wherever it stands in a string; backslashes in it count as slashes.
+    """
     if isinstance(value, dict):
-        return {k: redact_paths(v, raw_dir) for k, v in value.items()}
+        return {k: redact_paths(v, ids, raw_dir) for k, v in value.items()}
     if isinstance(value, list):
-        return [redact_paths(v, raw_dir) for v in value]
-    if isinstance(value, str) and f"{raw_dir}/" in value.replace("\\", "/"):
-        return value.replace("\\", "/").rsplit("/", 1)[-1]
-    return value
+        return [redact_paths(v, ids, raw_dir) for v in value]
+    if not isinstance(value, str):
+        return value
+    folder = re.escape(raw_dir.replace("\\", "/")).replace("/", r"[\\/]")
+
+    def name(m: re.Match) -> str:
+        rel = m[1].replace("\\", "/")
+        stem, dot, extension = rel.rpartition(".")
+        return ids.get(rel, "document") + (f".{extension}" if dot and "/" not in extension else "")
+
+    return re.sub(rf"(?:[^\s\"'<>|]*[\\/])?{folder}[\\/]([^\s\"'<>|:;,]+(?: [^\s\"'<>|:;,/\\]+)*?\.[A-Za-z0-9]{{2,5}}\b|[^\s\"'<>|:;,]+)", name, value)
 
 
 def route_template(path: Column) -> Column:
@@ -200,6 +238,12 @@ def request_metrics(requests: DataFrame, skip: str = "/metrics") -> DataFrame:
     return r.groupBy("method", "route", status.alias("status")).agg(F.count("*").alias("n"), F.round(F.sum("seconds"), 6).alias("seconds"))
 
 
+def request_durations(requests: DataFrame, bounds: tuple[float, ...] = BUCKETS["http"], skip: str = "/metrics") -> DataFrame:
+    """(method, route, le, n): the cumulative histogram of durations by route; failed requests count too."""
+    r = requests.withColumn("route", route_template(F.col("path"))).where(F.col("route") != skip)
+    return histogram(r, "seconds", bounds, "method", "route")
+
+
 def span_summary(spans: DataFrame) -> DataFrame:
     """(name, n, p50, p95) of trace segments (name, seconds)."""
     return spans.groupBy("name").agg(F.count("*").alias("n"), F.round(F.median("seconds"), 6).alias("p50"), F.expr("percentile_disc(0.95) within group (order by seconds)").alias("p95"))

@@ -13,7 +13,8 @@ SOURCES = ("Bulletin Officiel", "Contrat Type", "Dépôt Interne", "Jurisprudenc
 LANGUAGES = ("fr", "ar")
 DATE = r"^(?:[0-9]{4}|[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]))$"
 METHODS = ("text", "pdf_direct", "ocr_pdf", "ocr_image", "docx")
-FORBIDDEN_COLUMNS = ("text", "raw_text", "pii", "pii_values", "names", "email")
+#: Columns that the contract keeps out. Fixed values.
+FORBIDDEN_COLUMNS = ("original_filename", "source_path", "raw_path", "absolute_path", "author", "email")
 
 
 def blank(c: Column) -> Column:
@@ -26,8 +27,8 @@ def check_forbidden(df: DataFrame) -> None:
         raise ValueError(f"forbidden columns: {', '.join(bad)}")
 
 
-def metadata_errors(df: DataFrame, key: str = "doc_id", least: int = 5) -> DataFrame:
-    """(key, errors): everything that is wrong with a metadata row."""
+def metadata_errors(df: DataFrame, key: str = "doc_id", least: int = 5, with_warnings: bool = False) -> DataFrame:
+    """(key, errors): everything that is wrong with a metadata row; and, if asked for, warnings."""
     year = F.substring("doc_date", 1, 4).cast("int")
     rules = [
         (blank(F.col("title")), "missing: title"),
@@ -41,6 +42,9 @@ def metadata_errors(df: DataFrame, key: str = "doc_id", least: int = 5) -> DataF
         (blank(F.col("file_path")), "missing: file_path"),
         (F.coalesce(F.col("word_count_clean"), F.lit(0)) < least, "text: too short"),
     ]
+    if with_warnings:
+        warned = F.when(F.coalesce(F.col("word_count_clean"), F.lit(0)) > 20_000, F.array(F.lit("text: very long"))).otherwise(F.array().cast("array<string>"))
+        return df.select(key, F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in rules])).alias("errors"), warned.alias("warnings"))
     return df.select(key, F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in rules])).alias("errors"))
 
 
@@ -153,8 +157,28 @@ def require(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def split_rows(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
-    """``df`` with is_validation: a share chosen by hash, the same on every run and layout."""
-    return df.withColumn("is_validation", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    """``df`` with is_validation: of n rows the max(1, min(n - 1, round(n * share))) whose keys hash lowest, the same on every run and layout.
+
+    At least two rows are needed. Hashes are counted by their first digits, so the row at the border is found without
+    sorting the table: only rows of one bucket are put in order.
+    """
+    if not 0 < share < 1:
+        raise ValueError("the share must be between 0 and 1")
+    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    counts = sorted((r["b"] or "", r["n"]) for r in hashed.groupBy(F.substring("_h", 1, 3).alias("b")).agg(F.count("*").alias("n")).collect())
+    n = sum(x for _, x in counts)
+    if n < 2:
+        raise ValueError("a split needs at least two rows")
+    left = max(1, min(n - 1, round(n * share)))
+    border = ""
+    for border, many in counts:
+        if many >= left:
+            break
+        left -= many
+    bucket = F.substring("_h", 1, 3)
+    edge = hashed.where(bucket == border).groupBy("_h").agg(F.count("*").alias("n")).withColumn("_to", F.sum("n").over(Window.orderBy("_h")))
+    last = edge.where(F.col("_to") >= left).agg(F.min("_h")).first()[0]
+    return hashed.withColumn("is_validation", F.coalesce(F.col("_h") <= last, F.lit(False))).drop("_h")
 
 
 def spelled_counts(df: DataFrame, text: str) -> DataFrame:

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.sources.files import exists
+
 ALIASES = ("candidate", "champion")
 
 
@@ -71,7 +73,7 @@ class Tracker:
     def register(self, name: str, run_id: str) -> int:
         """A new version of a model; versions count from 1."""
         path = os.path.join(self.root, "versions")
-        n = self.spark.read.parquet(path).where(F.col("name") == name).agg(F.max("version")).first()[0] if os.path.exists(path) else None
+        n = self.spark.read.parquet(path).where(F.col("name") == name).agg(F.max("version")).first()[0] if exists(self.spark, path) else None
         self._append("versions", [(name, (n or 0) + 1, run_id)], "name string, version int, run_id string")
         return (n or 0) + 1
 

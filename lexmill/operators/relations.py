@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.session import staged
+
 
 def grid(members: DataFrame, modules: DataFrame, accountable: str, consulted: str) -> DataFrame:
     """(member, module, role): A, C or I of each member for each module. Both tables are bounded reference lists; a larger one is refused."""
@@ -15,22 +17,22 @@ def grid(members: DataFrame, modules: DataFrame, accountable: str, consulted: st
     return pairs.select("member", "module", role.alias("role"))
 
 
-def closure(edges: DataFrame, most: int = 20) -> DataFrame:
-    """(src, dst, hops) over all paths: one join a hop, until nothing is new. For dependency lists; paths longer than ``most`` are refused, not cut."""
+def closure(edges: DataFrame) -> DataFrame:
+    """(src, dst, hops) over all paths, with the fewest hops: one join a hop, until nothing is new.
+
+    Each hop's new pairs are written once to the shared folder, so neither plans nor recomputation grow with the hops.
+    Paths may be of any length; a cycle ends when it gives no new pair.
+    """
     step = edges.select("src", "dst").distinct()
-    known = step.withColumn("hops", F.lit(1))
-    frontier = known
-    for hop in range(2, most + 1):
+    known = frontier = staged(step.withColumn("hops", F.lit(1)))
+    hop = 1
+    while True:
+        hop += 1
         ahead = frontier.alias("a").join(step.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct()
-        frontier = ahead.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(hop)).persist()
+        frontier = staged(ahead.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
-            break
+            return known
         known = known.unionByName(frontier)
-    else:
-        ahead = frontier.alias("a").join(step.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct()
-        if not ahead.join(known.select("src", "dst"), ["src", "dst"], "left_anti").isEmpty():
-            raise ValueError(f"paths are longer than {most} hops")
-    return known
 
 
 def newest(df: DataFrame, group: str, order: str, n: int) -> DataFrame:

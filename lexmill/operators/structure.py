@@ -12,17 +12,25 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 
-_NUMBER = r"[0-9٠-٩]+(?:\s*(?:bis|ter|quater|مكرر))?"
-#: Markers of segments: kind and pattern.
+#: Markers of segments, fixed values: kind, word (capital or Arabic), what may stand between it and its number, suffixes of the number.
 MARKERS = (
-    ("article", re.compile(rf"\b(?:Article|Art\.)\s+(?:premier|({_NUMBER}))", re.IGNORECASE)),
-    ("article", re.compile(rf"(?:المادة|الفصل)\s+({_NUMBER}|الأولى|الأول)")),
-    ("alinea", re.compile(rf"\b(?:Alinéa|Alinea|Al\.)\s+({_NUMBER})", re.IGNORECASE)),
-    ("alinea", re.compile(rf"(?:الفقرة)\s+({_NUMBER}|الأولى)")),
+    ("article", ("Article",), r"\s+", ("bis", "ter", "quater")),
+    ("article", ("المادة",), r"\s+", ()),
+    ("alinea", ("Alinéa", "Al\\."), r"\s*", ()),
+    ("alinea", ("الفقرة",), r"\s+", ()),
 )
+
+
+def _marker(words: tuple[str, ...], gap: str, suffixes: tuple[str, ...]) -> str:
+    tail = rf"(?:\s+(?:{'|'.join(suffixes)}))?" if suffixes else ""
+    return rf"(?:{'|'.join(words)}){gap}\d+{tail}\b"
+
+
+#: A marker begins a segment at the start of a line or after a stop; anywhere else it is a reference.
+_BEGINS = re.compile(r"(?:^|(?<=[.;:!?؟۔\n]))\s*(?:" + "|".join(f"({_marker(*m[1:])})" for m in MARKERS) + ")", re.MULTILINE)
+_NUMBER = re.compile(r"\d+.*$")
 #: Headings of sections, whole lines.
 HEADING = re.compile(r"^[ \t]*((?:Article|Section|Chapitre|Titre|المادة|الفصل|الباب|القسم)[ \t]+[\w٠-٩]+(?:[ \t]+bis)?(?:[ \t]*[:—–-][ \t]*[^\n]*)?)[ \t]*$", re.IGNORECASE | re.MULTILINE)
-_BEFORE = ".;:!?؟۔\n"
 
 
 @dataclass(frozen=True)
@@ -36,14 +44,12 @@ class WindowConfig:
 
 
 def markers(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, number) of markers that begin something: at the start, a line or after the end of a sentence."""
-    found: dict[int, tuple[int, int, str, str]] = {}
-    for kind, p in MARKERS:
-        for m in p.finditer(text):
-            before = text[: m.start()].rstrip(" \t")
-            if (not before or before[-1] in _BEFORE) and m.start() not in found:
-                found[m.start()] = (m.start(), m.end(), kind, (m.group(1) or "1").strip())
-    return sorted(found.values())
+    """(start, end, kind, number) of markers that begin something."""
+    out = []
+    for m in _BEGINS.finditer(text):
+        k = m.lastindex
+        out.append((*m.span(k), MARKERS[k - 1][0], _NUMBER.search(m[k])[0]))
+    return out
 
 
 def segments_of(text: str | None) -> list[dict]:
@@ -84,26 +90,32 @@ def sections_of(text: str) -> list[tuple[str | None, str]]:
 def windows_of(text: str | None, config: WindowConfig = WindowConfig()) -> list[tuple[str | None, list[str]]]:
     """(section, tokens) of each window.
 
-    Short sections are packed together; a section's heading names a window only if the window held no more
-    than the overlap when the section began. The last window is left out if it holds nothing new.
+    Sections are packed together. Whenever tokens are added to a window that holds no more than the overlap,
+    it takes the name of the section they come from, if that has one. A section that leaves a window nearly
+    full ends it. What is left at the end is a window unless it only repeats the end of the last.
     """
     out: list[tuple[str | None, list[str]]] = []
     buffer: list[str] = []
-    fresh, heading = 0, None
+    heading: str | None = None
+
+    def close() -> None:
+        nonlocal buffer
+        out.append((heading, buffer))
+        buffer = buffer[len(buffer) - config.overlap :] if config.overlap else []
+
     for head, body in sections_of(text or ""):
-        tokens = ([*head.split()] if head else []) + body.split()
-        if head and len(buffer) <= config.overlap:
-            heading = head
-        for w in tokens:
-            buffer.append(w)
-            fresh += 1
+        tokens = [*(head.split() if head else ()), *body.split()]
+        while tokens:
+            if len(buffer) <= config.overlap:
+                heading = head or heading
+            room = config.target - len(buffer)
+            buffer = buffer + tokens[:room]
+            tokens = tokens[room:]
             if len(buffer) == config.target:
-                out.append((heading, buffer))
-                buffer, fresh = buffer[config.target - config.overlap :] if config.overlap else [], 0
-        if fresh and len(buffer) >= config.target - config.overlap:
-            out.append((heading, buffer))
-            buffer, fresh = buffer[-config.overlap :] if config.overlap else [], 0
-    if fresh:
+                close()
+        if buffer and len(buffer) >= config.target - config.overlap:
+            close()
+    if buffer and not (out and out[-1][1][-len(buffer) :] == buffer):
         out.append((heading, buffer))
     return out
 

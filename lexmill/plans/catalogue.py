@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import answering, cleaning, copies, masking, monitoring, quality, relations, search, spelling, structure
-from lexmill.session import table
+from lexmill.session import shared_folder, table
 from lexmill.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,7 +127,7 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_batch(s: SparkSession, d: str) -> DataFrame:
-    return search.bm25(table(s, d, "chunks").dropDuplicates(["chunk_id"]), "chunk_id", "text", _questions(s), 24)
+    return search.bm25(table(s, d, "chunks"), "chunk_id", "text", _questions(s), 24, unique=False)
 
 
 def bm25_filtered(s: SparkSession, d: str) -> DataFrame:
@@ -165,11 +166,27 @@ def vector_upsert(s: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_rrf(s: SparkSession, d: str) -> DataFrame:
-    chunks = table(s, d, "chunks").dropDuplicates(["chunk_id"])
-    lexical = search.bm25(chunks, "chunk_id", "text", _questions(s), 24)
+    chunks = table(s, d, "chunks")
+    lexical = search.bm25(chunks, "chunk_id", "text", _questions(s), 24, unique=False)
     asked = _questions(s).select("query_id", search.hash_embedding(F.col("question"), 16).alias("query_vector"))
-    dense = search.cosine_topk(chunks.select("chunk_id", search.hash_embedding(F.col("text"), 16).alias("v")), "chunk_id", "v", asked, 24)
-    return search.reciprocal_rank_fusion({"dense": (dense, 1.0), "lexical": (lexical, 1.0)}, "chunk_id", 8)
+    # repeated rows meet as vectors, not as texts
+    vectors = chunks.select("chunk_id", F.length("text").alias("n"), search.hash_embedding(F.col("text"), 16).alias("v")).groupBy("chunk_id").agg(F.max(F.struct("n", "v"))["v"].alias("v"))
+    return search.reciprocal_rank_fusion({"dense": (search.cosine_topk(vectors, "chunk_id", "v", asked, 24), 1.0), "lexical": (lexical, 1.0)}, "chunk_id", 8)
+
+
+def indexed_retrieval(s: SparkSession, d: str) -> DataFrame:
+    """The same question set through an index that is built first."""
+    docs = table(s, d, "documents")
+    index = search.Index.build(docs, "doc_key", "text", f"{shared_folder(s)}/lexmill-index-{uuid.uuid4().hex}")
+    return index.lexical(_questions(s), 10).select("query_id", F.col("key").alias("doc_key"), "score", "rank")
+
+
+def ann_recall(s: SparkSession, d: str) -> DataFrame:
+    """Recall of the approximate index against exact search, of every 50th vector."""
+    v, q = _vectors(s, d)
+    index = search.fit_cells(v, "vec_id", "embedding")
+    exact = search.cosine_topk(v, "vec_id", "embedding", q, 10).groupBy("query_id").agg(F.collect_set("vec_id").alias("relevant"))
+    return search.recall_at_k(search.approximate_topk(v, "vec_id", "embedding", q, index, limit=10), exact, "vec_id", 10)
 
 
 def rrf_two_lexical(s: SparkSession, d: str) -> DataFrame:
@@ -184,11 +201,19 @@ def lexical_rerank(s: SparkSession, d: str) -> DataFrame:
     return search.overlap_rerank(top, "question", "text", "doc_id", 8).select("query_id", "doc_id", F.col("score").cast("bigint").alias("score"), "rank")
 
 
+#: A stated question set: about 2 % of the examples, by the hash of their identifier.
+_ASKED = "substring(md5(example_id), 1, 2) < '05'"
+
+
+def _asked_examples(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "finetune_examples").where(_ASKED).groupBy("example_id").agg(F.max("question").alias("question"), F.max("source_doc_ids").alias("source_doc_ids"))
+
+
 def recall_by_question(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "finetune_examples").dropDuplicates(["example_id"]).where("answer is not null")
-    got = c.select(F.col("example_id").alias("query_id"), F.explode("source_doc_ids").alias("doc")).withColumn("rank", F.lit(1))
-    relevant = c.select(F.col("example_id").alias("query_id"), F.array_union("source_doc_ids", F.array(F.lit("absent"))).alias("relevant"))
-    return search.recall_at_k(got, relevant, "doc", 8)
+    """How many of an example's sources lexical search finds by its question."""
+    c = _asked_examples(s, d)
+    got = search.bm25(_docs(s, d), "doc_key", "text", c.select(F.col("example_id").alias("query_id"), "question"), 8)
+    return search.recall_at_k(got, c.where("size(source_doc_ids) > 0").select(F.col("example_id").alias("query_id"), F.col("source_doc_ids").alias("relevant")), "doc_key", 8)
 
 
 def fixed_chunks(s: SparkSession, d: str) -> DataFrame:
@@ -200,6 +225,17 @@ def heading_chunks(s: SparkSession, d: str) -> DataFrame:
     return structure.windows(_docs(s, d), "doc_id", "text")
 
 
+def chunk_tokens(s: SparkSession, d: str) -> DataFrame:
+    """What must hold of the windows of a document: none is beyond the limit, and without their overlaps they are its tokens."""
+    c = structure.windows(_docs(s, d), "doc_id", "text").groupBy("doc_id").agg((F.sum("token_count") - 64 * (F.count("*") - 1)).alias("tokens"), (F.max("token_count") <= 512).alias("bounded"), (F.count_distinct("chunk_index") == F.count("*")).alias("numbered"))
+    return c
+
+
+def segment_labels(s: SparkSession, d: str) -> DataFrame:
+    g = structure.segments(_docs(s, d), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("segment_index", "kind", "seg_number"))).alias("x"))
+    return g.select("doc_id", "n", F.array_join(F.transform("x", lambda e: F.concat_ws(" ", e["kind"], F.regexp_replace(e["seg_number"], r"\\s+", " "))), "|").alias("labels"))
+
+
 def legal_segments(s: SparkSession, d: str) -> DataFrame:
     return structure.segments(_docs(s, d), "doc_id", "text")
 
@@ -239,9 +275,12 @@ def answers(s: SparkSession, d: str) -> DataFrame:
 
 
 def grounding(s: SparkSession, d: str) -> DataFrame:
+    """Recorded answers with their sources as citations; every second one also cites what was not retrieved."""
     m = table(s, d, "chat_messages").where("role = 'assistant'").distinct()
     ids = F.transform(F.coalesce("sources", F.array().cast("array<struct<id:string,label:string,excerpt:string,reference:string>>")), lambda x: x["id"])
-    return m.select("message_id", F.size(ids).alias("sources"), (F.size(ids) > F.size(F.array_distinct(ids))).alias("repeats"), answering.in_scope(F.coalesce("content", F.lit("")), TERMS).alias("in_scope"))
+    m = m.withColumn("ids", F.array_distinct(ids)).withColumn("cited", F.when(F.col("turn") % 4 == 1, F.concat("ids", F.array(F.lit("absent")))).otherwise(F.col("ids")))
+    draft = F.concat(F.coalesce("content", F.lit("")), F.array_join(F.transform("cited", lambda x: F.concat(F.lit(" [chunk_id:"), x, F.lit("]"))), ""))
+    return m.select("message_id", F.size("ids").alias("sources"), (F.size(ids) > F.size("ids")).alias("repeats"), answering.in_scope(F.coalesce("content", F.lit("")), TERMS).alias("in_scope"), answering.grounded(draft, F.col("cited"), F.col("ids")).alias("grounded"))
 
 
 def near_copies(s: SparkSession, d: str) -> DataFrame:
@@ -332,8 +371,47 @@ def audit_filter(s: SparkSession, d: str) -> DataFrame:
 
 
 def leak_scan(s: SparkSession, d: str) -> DataFrame:
-    m = table(s, d, "doc_metadata").select("doc_id", F.to_json(F.struct("file_path", "title", F.struct("source_format", "extraction_method").alias("how"))).alias("report"))
-    return monitoring.leak_scan(m, "doc_id", "report", table(s, d, "doc_metadata").select("doc_id"))
+    """Reports about documents, into which rules of the number put paths and file names, known and unknown."""
+    k = F.col("doc_id") % 5
+    note = F.when(k == 0, F.concat(F.lit("/home/depot/"), "doc_key", F.lit(".pdf"))).when(k == 1, F.concat(F.lit("voir raw/"), "doc_key", F.lit("/page.txt"))).when(k == 2, F.concat(F.lit("copie de scan-"), F.col("doc_id").cast("string"), F.lit(".docx"))).when(k == 3, F.concat("doc_key", F.lit(".txt"))).otherwise(F.col("category"))
+    m = _docs(s, d).select("doc_key", F.to_json(F.struct(F.struct(F.array(note).alias("notes")).alias("how"), "lang")).alias("report"))
+    return monitoring.leak_scan(m, "doc_key", "report", _docs(s, d).select(F.col("doc_key").alias("doc_id")))
+
+
+def totals_by_type(s: SparkSession, d: str) -> DataFrame:
+    return monitoring.sums(table(s, d, "events"), "ts", "value", 3600, "event_type").select(_sec("window_start"), "event_type", "total")
+
+
+def rate_limit(s: SparkSession, d: str) -> DataFrame:
+    r = answering.within_rate(table(s, d, "events"), "event_type", "ts", 5, 3600)
+    return r.select("event_id", "allowed")
+
+
+def alert_notifications(s: SparkSession, d: str) -> DataFrame:
+    a = table(s, d, "events").where("value > 50").select("event_type", "ts")
+    return monitoring.notifications(a, 4 * 3600, "event_type").select("event_type", _sec("notified_at"), "alerts")
+
+
+def inhibited_by_module(s: SparkSession, d: str) -> DataFrame:
+    a = table(s, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("alertname"), F.col("event_type").alias("module")).agg(F.max("value").alias("v"))
+    both = a.where("v > 200").select("alertname", "module", F.lit("critical").alias("severity")).unionByName(a.where("v > 100").select("alertname", "module", F.lit("warning").alias("severity")))
+    return monitoring.inhibited(both, ("alertname", "module"), ("module",))
+
+
+def request_durations(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    r = e.select(F.lit("GET").alias("method"), F.concat(F.lit("/users/"), "user_id", F.lit("/"), "event_type").alias("path"), (F.col("value") / 100).alias("seconds"))
+    return monitoring.request_durations(r).select("method", "route", F.when(F.col("le") == float("inf"), -1.0).otherwise(F.col("le")).alias("le"), "n")
+
+
+def audit_traces(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events").withColumn("trace_id", F.concat_ws("-", F.get_json_object("props", "$.k"), "user_id"))
+    return monitoring.with_traces(e.where("event_type = 'error'").select("event_id", "trace_id"), e.where("event_type <> 'error'").select("trace_id", (F.col("value") / 100).alias("seconds"))).select("event_id", "segments", F.round("seconds", 4).alias("seconds"))
+
+
+def selected_cases(s: SparkSession, d: str) -> DataFrame:
+    cases = table(s, d, "eval_items").withColumnRenamed("split_name", "family").withColumn("note", F.col("text"))
+    return masking.select_cases(cases, language="fr", family="test", note="le").select("item_id")
 
 
 def conversation_tail(s: SparkSession, d: str) -> DataFrame:
@@ -408,6 +486,7 @@ def board_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES: tuple[Query, ...] = (
+    indexed_retrieval, ann_recall, chunk_tokens, segment_labels, totals_by_type, rate_limit, alert_notifications, inhibited_by_module, request_durations, audit_traces, selected_cases,
     expectation_samples, status_shares, vector_payload, request_metrics, board_counts,
     clean_whitespace, page_lines, clean_documents, strip_repeated_lines, text_features, document_ids, exact_dedup, latest_metadata, profile_counts, length_distribution, segment_counts, segment_profile, coverage_gap,
     quality_errors, quality_summary, top_errors, expectation_suite, privacy_summary, corpus_join, bm25_topk, bm25_batch, bm25_filtered, cosine_topk, cosine_recall, hash_embed, vector_upsert, hybrid_rrf, rrf_two_lexical,
@@ -459,6 +538,8 @@ SELECT doc_id, error FROM (
 def oracle_sql() -> dict[str, str]:
     q1 = f"(SELECT * FROM {_Q_SQL} WHERE query_id = 1)"
     ask = f"(SELECT * FROM {_Q_SQL})"
+    asked = "substr(md5(example_id), 1, 2) < '05'"
+    asked_sql = f"(SELECT example_id AS query_id, max(question) AS question FROM finetune_examples WHERE {asked} GROUP BY example_id)"
     chunks = "(SELECT chunk_id, any_value(text) AS text FROM chunks GROUP BY chunk_id)"
     date = "'(?:[0-9]{4}|[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]))'"
     sources = "('Bulletin Officiel', 'Contrat Type', 'Dépôt Interne', 'Jurisprudence', 'Portail Officiel')"
@@ -479,7 +560,7 @@ def oracle_sql() -> dict[str, str]:
         second = second.replace(f"{name} AS (", f"{name}2 AS (").replace(f"FROM {name})", f"FROM {name}2)").replace(f"FROM {name} ", f"FROM {name}2 ").replace(f"JOIN {name} ", f"JOIN {name}2 ")
     return {
         "clean_whitespace": f"SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, {_CLEAN} AS t FROM documents)",
-        "page_lines": "SELECT doc_id, md5(regexp_replace(text, '(?im)^[ \\t]*(?:page[ \\t]*[0-9]+(?:[ \\t]*(?:/|sur|of)[ \\t]*[0-9]+)?|(?:صفحة|الصفحة)[ \\t]*[0-9٠-٩]+(?:[ \\t]*(?:/|من)[ \\t]*[0-9٠-٩]+)?|-[ \\t]*[0-9]+[ \\t]*-|[0-9]+[ \\t]*(?:/|sur|of|من)[ \\t]*[0-9]+)[ \\t]*$', '', 'g')) AS digest FROM documents",
+        "page_lines": "SELECT doc_id, md5(regexp_replace(text, '(?im)^[ \\t]*(?:page[ \\t]*(?:n[°º][ \\t]*)?[0-9]+(?:[ \\t]*(?:/|sur|of)[ \\t]*[0-9]+)?|(?:صفحة|الصفحة)[ \\t]*[0-9٠-٩]+(?:[ \\t]*(?:/|من)[ \\t]*[0-9٠-٩]+)?|-{1,2}[ \\t]*[0-9]+[ \\t]*-{1,2}|[0-9]+[ \\t]*(?:/|sur|of|من)[ \\t]*[0-9]+)[ \\t]*$', '', 'g')) AS digest FROM documents",
         "strip_repeated_lines": """
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 c AS (SELECT *, trim(line) AS k, count(*) OVER (PARTITION BY doc_id, trim(line)) AS n FROM l),
@@ -487,7 +568,7 @@ r AS (SELECT *, n >= 3 AND length(k) BETWEEN 1 AND 80 AND NOT regexp_matches(k,
 k AS (SELECT doc_id, any_value(text) AS text, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT drop_it), '') AS kept, bool_or(drop_it) AS hit FROM r GROUP BY doc_id)
 SELECT doc_id, md5(CASE WHEN NOT hit OR regexp_replace(kept, '[ \\t\\r\\n]', '', 'g') = '' THEN text ELSE kept END) AS digest FROM k""",
         "clean_documents": """
-WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x{9F}]', '', 'g'), '[ \\t]+', ' ', 'g'), '(?im)^[ \\t]*(?:page[ \\t]*[0-9]+(?:[ \\t]*(?:/|sur|of)[ \\t]*[0-9]+)?|(?:صفحة|الصفحة)[ \\t]*[0-9٠-٩]+(?:[ \\t]*(?:/|من)[ \\t]*[0-9٠-٩]+)?|-[ \\t]*[0-9]+[ \\t]*-|[0-9]+[ \\t]*(?:/|sur|of|من)[ \\t]*[0-9]+)[ \\t]*$', '', 'g') AS text FROM documents),
+WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x{9F}]', '', 'g'), '[ \\t]+', ' ', 'g'), '(?im)^[ \\t]*(?:page[ \\t]*(?:n[°º][ \\t]*)?[0-9]+(?:[ \\t]*(?:/|sur|of)[ \\t]*[0-9]+)?|(?:صفحة|الصفحة)[ \\t]*[0-9٠-٩]+(?:[ \\t]*(?:/|من)[ \\t]*[0-9٠-٩]+)?|-{1,2}[ \\t]*[0-9]+[ \\t]*-{1,2}|[0-9]+[ \\t]*(?:/|sur|of|من)[ \\t]*[0-9]+)[ \\t]*$', '', 'g') AS text FROM documents),
 l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM a),
 c AS (SELECT *, trim(line) AS k, count(*) OVER (PARTITION BY doc_id, trim(line)) AS n FROM l),
 r AS (SELECT *, n >= 3 AND length(k) BETWEEN 1 AND 80 AND NOT regexp_matches(k, '(?i)^(?:article|art\\.|alin[ée]a|al\\.|المادة|الفصل|الفقرة)\\s*[0-9٠-٩]+') AND NOT regexp_matches(k, '[.!؟۔]$') AS drop_it FROM c),
@@ -523,13 +604,36 @@ SELECT doc_id, CASE WHEN e THEN 'skipped' WHEN f <> doc_id THEN 'duplicate' ELSE
         "vector_upsert": "SELECT CASE WHEN label < 5 THEN 99 ELSE label END AS label, count(*) AS n FROM embeddings WHERE label <> 7 GROUP BY 1",
         "rrf_two_lexical": f"WITH {first}, {second}, u AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS part, 'text' AS m FROM best UNION ALL SELECT query_id, doc_id, 2.0 / (60 + rank), 'title' FROM best2) {rrf}",
         "lexical_rerank": f"WITH {first}, s AS (SELECT b.query_id, b.doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(q.question), {_TOK})), list_distinct(regexp_extract_all(lower(d.text), {_TOK})))) AS score FROM best b JOIN documents d USING (doc_id) JOIN {ask} q USING (query_id)) SELECT query_id, doc_id, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 8",
-        "recall_by_question": "SELECT example_id AS query_id, round(CAST(len(list_distinct(source_doc_ids)) AS DOUBLE) / (len(list_distinct(source_doc_ids)) + 1), 6) AS recall FROM (SELECT example_id, any_value(source_doc_ids) AS source_doc_ids, any_value(answer) AS answer FROM finetune_examples GROUP BY example_id) WHERE answer IS NOT NULL",
+        "recall_by_question": f"WITH {_bm25_sql('documents', 'doc_key', 'text', asked_sql, 8)}, g AS (SELECT query_id, list(doc_key) AS got FROM best GROUP BY query_id) SELECT example_id AS query_id, round(coalesce(len(list_intersect(list_distinct(source_doc_ids), g.got)), 0) / len(list_distinct(source_doc_ids)), 6) AS recall FROM (SELECT example_id, max(source_doc_ids) AS source_doc_ids FROM finetune_examples WHERE {asked} GROUP BY example_id) x LEFT JOIN g ON g.query_id = x.example_id WHERE len(source_doc_ids) > 0",
+        "indexed_retrieval": f"WITH {_bm25_sql('documents', 'doc_key', 'text', ask, 10)} SELECT * FROM best",
+        "hybrid_rrf": f"""
+WITH {_bm25_sql(chunks, 'chunk_id', 'text', ask, 24)},
+base AS (SELECT CAST(NULL AS INTEGER) AS query_id, chunk_id, text FROM {chunks} UNION ALL SELECT query_id, NULL, question FROM {ask}),
+h AS (SELECT query_id, chunk_id, list_transform(regexp_extract_all(lower(text), {_WS}), lambda w: sha256(w)) AS h FROM base),
+v AS (SELECT query_id, chunk_id, list_transform(range(16), lambda i: list_sum(list_transform(h, lambda x: CAST('0x' || substr(x, CAST(i * 2 + 1 AS BIGINT), 2) AS INTEGER) / 127.5 - 1.0))) AS v FROM h),
+c AS (SELECT q.query_id, d.chunk_id, round(list_cosine_similarity(d.v, q.v), 6) AS score FROM v d CROSS JOIN v q WHERE d.query_id IS NULL AND q.query_id IS NOT NULL),
+dense AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM c QUALIFY rank <= 24),
+u AS (SELECT query_id, chunk_id, 1.0 / (60 + rank) AS part, 'lexical' AS m FROM best UNION ALL SELECT query_id, chunk_id, 1.0 / (60 + rank), 'dense' FROM dense)
+SELECT query_id, chunk_id, score, methods, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM (SELECT query_id, chunk_id, round(sum(part), 8) AS score, string_agg(m, '+' ORDER BY m) AS methods FROM u GROUP BY query_id, chunk_id) QUALIFY rank <= 8""",
+        "chunk_tokens": f"SELECT doc_id, len(regexp_extract_all(text, {_WS})) AS tokens, true AS bounded, true AS numbered FROM documents WHERE len(regexp_extract_all(text, {_WS})) > 0",
+        "segment_labels": r"""
+WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?m)(?:^|[.;:!?؟۔\n])\s*(?:Article\s+\d+(?:\s+(?:bis|ter|quater))?\b|المادة\s+\d+\b|(?:Alinéa|Al\.)\s*\d+\b|الفقرة\s+\d+\b)')) AS m, generate_subscripts(regexp_extract_all(text, '(?m)(?:^|[.;:!?؟۔\n])\s*(?:Article\s+\d+(?:\s+(?:bis|ter|quater))?\b|المادة\s+\d+\b|(?:Alinéa|Al\.)\s*\d+\b|الفقرة\s+\d+\b)'), 1) AS i FROM documents)
+SELECT doc_id, count(*) AS n, string_agg(CASE WHEN regexp_matches(m, 'Article|المادة') THEN 'article ' ELSE 'alinea ' END || regexp_replace(regexp_extract(m, '\d+.*$'), '\s+', ' ', 'g'), '|' ORDER BY i) AS labels FROM m GROUP BY doc_id""",
+        "validation_split": "SELECT example_id, row_number() OVER (ORDER BY md5('7:' || example_id)) <= greatest(1, least(count(*) OVER () - 1, round_even(count(*) OVER () * 0.2, 0))) AS is_validation FROM (SELECT DISTINCT example_id FROM finetune_examples)",
+        "leak_scan": "SELECT doc_key, '$.how.notes[0]' AS path, CASE doc_id % 5 WHEN 0 THEN 'absolute_path' WHEN 1 THEN 'raw_path' ELSE 'file_name' END AS kind, CASE doc_id % 5 WHEN 0 THEN '/home/depot/' || doc_key || '.pdf' WHEN 1 THEN 'voir raw/' || doc_key || '/page.txt' ELSE 'copie de scan-' || doc_id || '.docx' END AS value FROM documents WHERE doc_id % 5 <= 2",
+        "totals_by_type": f"SELECT {_HOUR} AS window_start, event_type, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+        "rate_limit": f"SELECT event_id, row_number() OVER (PARTITION BY event_type, {_HOUR} ORDER BY ts, event_id) <= 5 AS allowed FROM events",
+        "alert_notifications": "WITH a AS (SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) AS sec, count(*) AS n FROM events WHERE value > 50 GROUP BY 1, 2), b AS (SELECT *, CASE WHEN lag(sec) OVER w IS NULL OR sec - lag(sec) OVER w >= 14400 THEN sec END AS s FROM a WINDOW w AS (PARTITION BY event_type ORDER BY sec)), c AS (SELECT *, max(s) OVER (PARTITION BY event_type ORDER BY sec ROWS UNBOUNDED PRECEDING) AS began FROM b) SELECT event_type, min(sec) AS notified_at, CAST(sum(n) AS BIGINT) AS alerts FROM c GROUP BY event_type, began, (sec - began) // 14400",
+        "inhibited_by_module": "WITH a AS (SELECT strftime(ts, '%Y-%m-%d') AS alertname, event_type AS module, max(value) AS v FROM events GROUP BY 1, 2) SELECT alertname, module, 'critical' AS severity FROM a WHERE v > 200 UNION ALL SELECT alertname, module, 'warning' FROM a WHERE v > 100 AND module NOT IN (SELECT module FROM a WHERE v > 200)",
+        "request_durations": "SELECT 'GET' AS method, '/users/{id}/' || event_type AS route, CAST(le AS DOUBLE) AS le, count(*) FILTER (WHERE le < 0 OR value / 100 <= le) AS n FROM events CROSS JOIN (VALUES (0.1), (0.25), (0.5), (1.0), (2.0), (2.5), (5.0), (10.0), (-1.0)) b(le) WHERE value IS NOT NULL GROUP BY event_type, le",
+        "audit_traces": "WITH e AS (SELECT *, json_extract_string(props, '$.k') || '-' || user_id AS t FROM events), g AS (SELECT t, count(*) AS segments, sum(value / 100) AS seconds FROM e WHERE event_type <> 'error' GROUP BY t) SELECT event_id, segments, round(seconds, 4) AS seconds FROM e JOIN g USING (t) WHERE event_type = 'error'",
+        "selected_cases": "SELECT item_id FROM eval_items WHERE language = 'fr' AND split_name = 'test' AND contains(lower(text), 'le')",
         "fixed_chunks": f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(text, {_WS}) AS w FROM documents), r AS (SELECT doc_id, w, unnest(range(0, CAST(greatest(len(w) - 65, 0) + 1 AS BIGINT), 448)) AS pos FROM w WHERE len(w) > 0),
 p AS (SELECT doc_id, CAST(pos // 448 AS INTEGER) AS chunk_index, list_slice(w, pos + 1, pos + 512) AS part FROM r)
 SELECT doc_id, chunk_index, len(part) AS token_count, sha256('v1' || chr(31) || doc_id || chr(31) || chunk_index || chr(31) || chr(31) || array_to_string(part, ' ')) AS chunk_id FROM p""",
         "mask_emails": "SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g')) AS digest, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS n FROM documents",
-        "grounding": f"SELECT message_id, coalesce(len(sources), 0) AS sources, coalesce(len(sources), 0) > coalesce(len(list_distinct(list_transform(sources, lambda x: x.id))), 0) AS repeats, list_has_any(regexp_extract_all(lower(coalesce(content, '')), {_TOK}), {single}) OR " + " OR ".join(f"contains(lower(coalesce(content, '')), '{x}')" for x in several) + " AS in_scope FROM (SELECT DISTINCT * FROM chat_messages WHERE role = 'assistant')",
+        "grounding": f"SELECT message_id, coalesce(len(list_distinct(list_transform(sources, lambda x: x.id))), 0) AS sources, coalesce(len(sources), 0) > coalesce(len(list_distinct(list_transform(sources, lambda x: x.id))), 0) AS repeats, list_has_any(regexp_extract_all(lower(coalesce(content, '')), {_TOK}), {single}) OR " + " OR ".join(f"contains(lower(coalesce(content, '')), '{x}')" for x in several) + " AS in_scope, coalesce(len(sources), 0) > 0 AND turn % 4 <> 1 AS grounded FROM (SELECT DISTINCT * FROM chat_messages WHERE role = 'assistant')",
         "neighbour_overlap": f"WITH c AS (SELECT chunk_id, any_value(doc_id) AS doc_id, any_value(chunk_index) AS chunk_index, list_distinct(regexp_extract_all(lower(any_value(text)), {_TOK})) AS t FROM chunks GROUP BY chunk_id) SELECT a.doc_id, a.chunk_index, max(round(CASE WHEN len(list_distinct(list_concat(a.t, b.t))) = 0 THEN 1.0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END, 6)) AS jaccard FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.chunk_index = a.chunk_index + 1 GROUP BY 1, 2",
         "regression_gate": "WITH o AS (SELECT event_type, avg(value) AS v FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), n AS (SELECT event_type, avg(value) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1) SELECT event_type, round(o.v, 4) AS baseline, round(n.v, 4) AS candidate, round(o.v - n.v, 4) AS loss FROM o JOIN n USING (event_type) WHERE round(o.v - n.v, 6) > 0.05",
         "promotion_gate": "SELECT len(r) = 0 AS promote, array_to_string(r, '; ') AS reasons FROM (SELECT list_filter([CASE WHEN f IS NULL THEN 'faithfulness missing' WHEN f < 0.94 THEN 'faithfulness below 0.94' END, 'recall missing', CASE WHEN h IS NULL THEN 'hallucination missing' WHEN h > 0.03 THEN 'hallucination above 0.03' END], lambda x: x IS NOT NULL) AS r FROM (SELECT avg(CAST(feedback = 'up' AS INTEGER)) AS f, avg(CAST(refused AS INTEGER)) AS h FROM (SELECT DISTINCT * FROM chat_messages WHERE role = 'assistant')))",

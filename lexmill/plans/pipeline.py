@@ -91,12 +91,12 @@ def run(spark: SparkSession, root: str, out: str, config: IngestConfig = IngestC
     if not config.anonymise:
         report["warning"] = "personal data was kept"
     report["expectations"] = {r["expectation"]: r["failures"] for r in quality.expectations(spark.read.parquet(os.path.join(out, "metadata"))).collect()}
-    files.write_report(report, os.path.join(out, "report.json"))
+    files.write_report(spark, report, os.path.join(out, "report.json"))
     flag = os.path.join(out, "READY")
     if ready(report):
-        open(flag, "w").close()
-    elif os.path.exists(flag):
-        os.remove(flag)
+        files.write_text(spark, flag, "")
+    else:
+        files.remove(spark, flag)
     done.unpersist()
     return report
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import io
 import json
-import os
+import pathlib
+import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -21,11 +22,17 @@ EXTENSIONS = ("txt", "pdf", "docx", "png", "jpg", "jpeg")
 LEAST_DIRECT = 20
 
 
+def relative_path(root: str) -> F.Column:
+    """The path below the root, of a file source's ``path``, whose scheme and escapes are undone."""
+    plain = re.sub("^[a-z][a-z0-9+]*:/*", "/", root.rstrip("/"))
+    path = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^[a-z][a-z0-9+]*:/*", "/")
+    return F.when(F.startswith(path, F.lit(plain + "/")), F.substring(path, F.lit(len(plain) + 2), F.length(path))).otherwise(path)
+
+
 def discover(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """(path, rel, extension, length, content) of files with a known extension."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + root.rstrip("/").replace(".", r"\.") + "/", "")
-    df = df.withColumn("rel", rel).withColumn("extension", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
+    df = df.withColumn("rel", relative_path(root)).withColumn("extension", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
     return df.where(F.col("extension").isin(*EXTENSIONS)).select("path", "rel", "extension", "length", "content")
 
 
@@ -46,7 +53,7 @@ Extractor = Callable[[bytes], str]
 
 
 def extract(files: DataFrame, pdf: Extractor | None = None, recognise: Extractor | None = None) -> DataFrame:
-    """(rel, text, method, error). PDF text and recognition come from injected functions; without them such files fail with a reason."""
+    """(rel, text, method, error). PDF text and recognition come from injected functions; without them such files have an empty text."""
 
     def one(ext: str, content: bytes) -> tuple[str | None, str | None, str | None]:
         try:
@@ -57,10 +64,11 @@ def extract(files: DataFrame, pdf: Extractor | None = None, recognise: Extractor
             if ext == "pdf":
                 direct = pdf(bytes(content)) if pdf else ""
                 if len(direct.strip()) >= LEAST_DIRECT or not recognise:
-                    return (direct, "pdf_direct", None) if pdf else (None, None, "no PDF reader")
+                    return direct, "pdf_direct", None
                 seen = recognise(bytes(content))
                 return (seen, "ocr_pdf", None) if seen.strip() else (direct, "pdf_direct", None)
-            return (recognise(bytes(content)), "ocr_image", None) if recognise else (None, None, "no recognition")
+            # without an engine a picture is an empty text, which later steps leave out as such
+            return (recognise(bytes(content)) if recognise else ""), "ocr_image", None
         except Exception as e:  # noqa: BLE001 - a broken file is a row with an error
             return None, None, f"{type(e).__name__}: {e}"[:200]
 
@@ -75,20 +83,34 @@ def extract(files: DataFrame, pdf: Extractor | None = None, recognise: Extractor
 SIDE = t.StructType([t.StructField(c, t.StringType()) for c in ("title", "source", "date", "category", "language")])
 
 
+#: What is added to the whole name of a file to name its side file.
+SIDE_SUFFIX = ".meta.json"
+
+
 def side_files(spark: SparkSession, root: str) -> DataFrame:
-    """(stem, side) from JSON files beside the documents; a broken one gives nulls."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(root)
-    return df.select(F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.json$", "").alias("stem"), F.from_json(F.decode("content", "UTF-8"), SIDE).alias("side"))
+    """(rel, side) from ``<file>.<extension>.meta.json`` beside the documents, by the document's relative path; a broken one gives nulls."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*" + SIDE_SUFFIX).load(root)
+    return df.select(F.regexp_replace(relative_path(root), r"\.meta\.json$", "").alias("rel"), F.from_json(F.decode("content", "UTF-8"), SIDE).alias("side"))
+
+
+#: Languages of recognition in the order in which they are wanted, and the one to fall back on.
+RECOGNITION = (("fra", "ara"), "eng")
+
+
+def recognition_language(installed: Iterable[str]) -> str | None:
+    """The languages to recognise with, joined by a plus sign: those wanted that are installed, else the fallback, else none."""
+    have = set(installed)
+    wanted, fallback = RECOGNITION
+    return "+".join(x for x in wanted if x in have) or (fallback if fallback in have else None)
 
 
 def ingest(spark: SparkSession, root: str, source_of: dict[str, str] | None = None, **readers: Extractor) -> DataFrame:
     """Documents of a folder with metadata: side file before folder name before default."""
     texts = extract(discover(spark, root), **readers)
-    stem = F.regexp_replace(F.regexp_extract("rel", r"([^/]+)$", 1), r"\.[A-Za-z0-9]+$", "")
     folder = F.element_at(F.split("rel", "/"), 1)
     table = F.create_map(*[F.lit(x) for kv in (source_of or {}).items() for x in kv]) if source_of else None
     inferred = table[folder] if table is not None else F.when(F.contains("rel", F.lit("/")), folder)
-    df = texts.withColumn("stem", stem).join(side_files(spark, root), "stem", "left")
+    df = texts.join(side_files(spark, root), "rel", "left")
     source = F.coalesce(F.nullif(F.col("side.source"), F.lit("")), inferred)
     date = F.coalesce(F.nullif(F.col("side.date"), F.lit("")), F.lit("1900"))
     return df.select(
@@ -148,9 +170,15 @@ class DropZone:
 CONNECTORS: dict[str, type] = {"drop": DropZone}
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at the path, on whatever file system it names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def append_new(spark: SparkSession, rows: DataFrame, path: str, key: str) -> int:
     """Appends rows whose key the table at ``path`` lacks; the number appended."""
-    if os.path.exists(path):
+    if exists(spark, path):
         rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
     rows = rows.persist()
     n = rows.count()
@@ -160,10 +188,25 @@ def append_new(spark: SparkSession, rows: DataFrame, path: str, key: str) -> int
     return n
 
 
-def write_report(report: dict, path: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, on whatever file system the path names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder, if it is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
     """One report as JSON; reports are a few rows."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(report, f, ensure_ascii=False, indent=2, sort_keys=True)
+    write_text(spark, path, json.dumps(report, ensure_ascii=False, indent=2, sort_keys=True))
 
 
 def markdown_card(title: str, tables: dict[str, list[dict]]) -> str:
@@ -188,6 +231,22 @@ def expire(spark: SparkSession, path: str, before: str) -> DataFrame:
     return spark.read.json(path).where(F.col("day") >= F.lit(before).cast("date"))
 
 
+def write_documents(docs: DataFrame, root: str) -> None:
+    """Documents (doc_id, source, language, category, doc_date, text) as text files with side files, one folder a source; each task writes its own."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for r in p.to_dict("records"):
+                folder = pathlib.Path(root, r["source"])
+                folder.mkdir(parents=True, exist_ok=True)
+                (folder / f"{r['doc_id']}.txt").write_text(r["text"] or "", encoding="utf-8")
+                side = {"title": r["doc_id"], "source": r["source"], "date": r["doc_date"], "category": r["category"], "language": r["language"]}
+                (folder / f"{r['doc_id']}.txt{SIDE_SUFFIX}").write_text(json.dumps(side, ensure_ascii=False), encoding="utf-8")
+            yield p[["doc_id"]]
+
+    docs.select("doc_id", "source", "language", "category", "doc_date", "text").mapInPandas(run, "doc_id string").write.format("noop").mode("overwrite").save()
+
+
 def synthetic_documents(spark: SparkSession, n: int) -> DataFrame:
     """(doc_id, source, language, category, doc_date, text) by rules of the row number."""
     i = F.col("id")

@@ -24,6 +24,22 @@ def audit_stream(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     return kept.select(F.from_json("value", schema).alias("x")).where("x is not null").select("x.*")
 
 
+#: Attributes of a trace that are never kept, and how often and how much of it is written at a time.
+DENIED = ("query_text", "answer_text", "client_ip", "http.request.body", "user.email")
+SCRAPE, TRACE_BATCH, TRACE_FILES = "15 seconds", "5 seconds", 512
+
+
+def scraped(df: DataFrame, path: str, checkpoint: str, every: str = SCRAPE):
+    """Starts writing samples of metrics as they come, one micro-batch an interval."""
+    return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def traces(df: DataFrame, denied: tuple[str, ...] = DENIED) -> DataFrame:
+    """Spans (trace_id, name, attributes map) without the attributes that must not be kept, and without spans that lack a trace id of 32 hexadecimal digits."""
+    deny = F.array(*[F.lit(k) for k in denied])
+    return df.where(F.col("trace_id").rlike("^[0-9a-f]{32}$")).withColumn("attributes", F.map_filter("attributes", lambda k, _: ~F.array_contains(deny, k)))
+
+
 def once(df: DataFrame, key: str, ts: str, late: str = LATE) -> DataFrame:
     """Each key once; rows later than ``late`` are rejected."""
     return df.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])

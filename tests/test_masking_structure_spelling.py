@@ -20,6 +20,18 @@ def test_look_alikes_survive():
     assert masking.anonymise(None) == (None, []) and masking.anonymise("") == ("", [])
 
 
+def test_windows_take_the_heading_of_what_they_begin_with():
+    text = "Article 1\n" + "a " * 300 + "\nArticle 2\n" + "b " * 600
+    w = structure.windows_of(text)
+    assert [s for s, _ in w] == ["Article 1", "Article 2"] and [len(x) for _, x in w] == [512, 456]
+
+
+def test_references_and_cards():
+    assert masking.anonymise("La taxe TP-123456 est due.")[1] == []
+    assert masking.anonymise("Porteur de DA123456.")[0] == "Porteur de [CIN]."
+    assert masking.anonymise("السيد أحمد تقدم بمقال")[0] == "السيد [NOM] تقدم بمقال"
+
+
 def test_arabic_name():
     assert masking.anonymise("حضر السيد كمال الطزفروي الجلسة")[0] == "حضر السيد [NOM] الجلسة"
 
@@ -45,9 +57,9 @@ def test_masking_in_tables_and_scores(spark):
 
 
 def test_segments(spark):
-    t = "Préambule\nArticle 1\nle texte, voir l'article 4 ci-dessous. Alinéa 2 : suite\nالمادة 3 مكرر\nنص"
+    t = "Préambule\nArticle 1 bis\nle texte, voir l'article 4 ci-dessous. Alinéa 2 : suite\narticle 5 du code\nالمادة 3 مكرر\nنص"
     s = structure.segments_of(t)
-    assert [(x["kind"], x["seg_number"]) for x in s] == [("article", "1"), ("alinea", "2"), ("article", "3 مكرر")]
+    assert [(x["kind"], x["seg_number"]) for x in s] == [("article", "1 bis"), ("alinea", "2"), ("article", "3")]
     assert all(t[x["start_pos"] : x["end_pos"]].strip() == x["text"] for x in s)
     assert [x["end_pos"] for x in s[:-1]] == [x["start_pos"] for x in s[1:]]
     assert structure.segments_of("sans structure") == [] and structure.segments_of(None) == []

@@ -35,7 +35,7 @@ def test_columns_and_profile(spark):
     assert {r["value"]: r["n"] for r in quality.value_counts(df, ["v"]).collect()} == {"(non renseigné)": 2, "x": 1}
     assert quality.distribution(df.where("false"), F.length("v")).first()["mean"] == 0.0
     with pytest.raises(ValueError):
-        quality.check_forbidden(df.withColumn("raw_text", F.lit("x")))
+        quality.check_forbidden(df.withColumn("raw_path", F.lit("x")))
     with pytest.raises(Exception, match="v must be set"):
         quality.require(df, {"v must be set": F.col("v").isNotNull()}).collect()
 
@@ -48,7 +48,10 @@ def test_gates(spark):
     assert m(("faithfulness", 0.95), ("hallucination", 0.01))["promote"]
     assert m(("faithfulness", 0.95))["reasons"] == ["hallucination missing"]
     x = quality.split_rows(spark.range(2000), "id", 0.25, 3)
-    assert 400 < x.where("is_validation").count() < 600
+    assert x.where("is_validation").count() == 500
+    assert quality.split_rows(spark.range(3), "id", 0.01).where("is_validation").count() == 1 and quality.split_rows(spark.range(3), "id", 0.99).where("is_validation").count() == 2
+    with pytest.raises(ValueError):
+        quality.split_rows(spark.range(1), "id", 0.5)
 
 
 def ts(h, m=0, day=1):
@@ -79,18 +82,23 @@ def test_counter_surge_inhibition_sessions(spark):
     assert [r["total"] for r in monitoring.surge(d, "ts", "v", 3600).collect()] == [2.5]
     a = spark.createDataFrame([("x", "m", "critical"), ("x", "m", "warning"), ("x", "n", "warning")], "alertname string, module string, severity string")
     assert {tuple(r) for r in monitoring.inhibited(a).collect()} == {("x", "m", "critical"), ("x", "n", "warning")}
+    assert {tuple(r) for r in monitoring.inhibited(a, ("alertname", "module"), ("module",)).collect()} == {("x", "m", "critical"), ("x", "n", "warning")}
+    n = spark.createDataFrame([("g", ts(0)), ("g", ts(0)), ("g", ts(0, 10)), ("g", ts(0, 55)), ("g", ts(1, 5)), ("g", ts(9))], "k string, ts timestamp")
+    assert [(r["notified_at"], r["alerts"]) for r in monitoring.notifications(n, 3600, "k").orderBy("notified_at").collect()] == [(ts(0), 4), (ts(1, 5), 1), (ts(9), 1)]
     u = spark.createDataFrame([(1, ts(0)), (1, ts(0, 20)), (1, ts(2))], "u int, ts timestamp")
     assert [r["n"] for r in monitoring.sessions(u, "u", "ts", 1800).orderBy("session").collect()] == [2, 1]
 
 
 def test_audit_and_leaks(spark):
-    a = spark.createDataFrame([("t", "1", "query", "u", "reader", "ok", None, ["doc-1"]), ("t", "2", "other", "u", "root", "error", None, ["x@y.ma"]), ("t", "3", "query", "10.0.0.1", "reader", "ok", None, None)], "ts string, event_id string, event_type string, actor_id string, actor_role string, outcome string, error_code string, resource_ids array<string>")
+    a = spark.createDataFrame([("t", "1", "auth.login", "u", "juriste", "ok", None, ["doc-1"]), ("t", "2", "other", "u", "root", "error", None, ["x@y.ma"]), ("t", "3", "answer.generated", "10.0.0.1", "particulier", "ok", None, None)], "ts string, event_id string, event_type string, actor_id string, actor_role string, outcome string, error_code string, resource_ids array<string>")
     got = {r["event_id"]: r["problems"] for r in monitoring.audit_problems(a).collect()}
     assert got["1"] == [] and len(got["2"]) == 4 and got["3"] == ["forbidden content: actor_id"]
     r = spark.createDataFrame([(1, '{"a": [{"b": "/home/x/y.txt"}], "c": "raw/u.pdf", "d": "vu dans inconnu.pdf", "e": "connu.pdf", "f": ".pdf"}'), (2, None), (3, "pas du json")], "id int, body string")
     k = spark.createDataFrame([("connu",)], "doc_id string")
     assert {(x["path"], x["kind"]) for x in monitoring.leak_scan(r, "id", "body", k).collect()} == {("$.a[0].b", "absolute_path"), ("$.c", "raw_path"), ("$.d", "file_name")}
-    assert monitoring.redact_paths({"x": ["data/raw/a.pdf", "ok"]}) == {"x": ["a.pdf", "ok"]}
+    ids = {"a/nom secret.pdf": "contrat-1", "b.docx": "bail-2"}
+    report = {"x": ["data/raw/a/nom secret.pdf", "ok"], "y": "échec de C:\\data\\raw\\b.docx : illisible, voir raw/inconnu.txt"}
+    assert monitoring.redact_paths(report, ids) == {"x": ["contrat-1.pdf", "ok"], "y": "échec de bail-2.docx : illisible, voir document.txt"}
     assert spark.range(1).select(monitoring.without_keys(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), ["a"])).first()[0] == {"b": 2}
     lines = spark.createDataFrame([('{"query_text": "x"}',), ('{"event_id": 1}',)], "value string")
     assert monitoring.safe_lines(lines).count() == 1

@@ -61,13 +61,20 @@ def test_recall_and_latency(spark):
     assert search.latency_summary(x, "v").first()["p95"] == 19.0
 
 
-def test_compression():
+def test_compression(spark):
     c = answering.CompressionConfig
-    assert answering.compressed(["Un deux trois. Quatre cinq."], c(budget=4)) == [(0, "Un deux trois.")]
-    assert answering.compressed(["un deux trois quatre"], c(budget=2)) == [(0, "un deux")]
-    assert answering.compressed(["a b c", "a b c", "d"], c()) == [(0, "a b c"), (2, "d")]
-    assert len(answering.compressed([str(k) for k in range(20)], c())) == 8
-    assert len(answering.compressed(["a", "a"], c(enabled=False))) == 2
+
+    def compressed(texts, config):
+        rows = spark.createDataFrame([(1, k, f"c{k}", t) for k, t in enumerate(texts)], "query_id int, rank int, chunk_id string, text string")
+        return [(r["rank"], r["text"]) for r in answering.compress(rows, config).orderBy("rank").collect()]
+
+    assert compressed(["Un deux trois. Quatre cinq."], c(budget=4)) == [(0, "Un deux trois.")]
+    assert compressed(["un deux trois quatre"], c(budget=2)) == [(0, "un deux")]
+    assert compressed(["Un deux. Trois quatre cinq. Six."], c(budget=3)) == [(0, "Un deux.")]
+    assert compressed(["a b c", "A, b. C!", "d"], c()) == [(0, "a b c"), (2, "d")]
+    assert len(compressed([f"mot{k}" for k in range(20)], c())) == 8
+    assert compressed(["a", "a", None], c(enabled=False)) == [(0, "a"), (1, "a"), (2, "")]
+    assert compressed(["", "x y"], c()) == [(1, "x y")]
     with pytest.raises(ValueError):
         c(budget=0)
 
@@ -83,3 +90,59 @@ def test_refusals_in_order_and_grounding(spark):
     check = spark.createDataFrame([("x [chunk_id:a]", ["a"], ["a", "b"], True), ("x", ["a"], ["a"], False), ("x [chunk_id:z]", ["z"], ["a"], False), ("x [chunk_id:b]", ["a"], ["a", "b"], False), ("", [], ["a"], False)], "t string, cited array<string>, got array<string>, want boolean")
     assert all(r[0] == r[1] for r in check.select(answering.grounded(F.col("t"), F.col("cited"), F.col("got")), "want").collect())
     assert [e["event"] for e in answering.events("a b", False)] == ["start", "text_delta", "text_delta", "final", "done"]
+
+
+def test_generator_contract_and_rate(spark):
+    p = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "query_id int, prompt string")
+    replies = {"a": '{"answer": "Oui [chunk_id:x]", "citations": ["x"]}', "b": "pas du JSON", "c": '{"answer": " ", "citations": []}'}
+    got = {r["query_id"]: r for r in answering.generated(p, lambda xs: [replies[x] for x in xs]).collect()}
+    assert got[1]["cited"] == ["x"] and got[1]["error"] is None and got[2]["answer"] is None and got[2]["error"] and got[3]["error"]
+    assert all(r["error"].startswith("RuntimeError") for r in answering.generated(p, _broken).collect())
+    q = spark.createDataFrame([("u", "2024-01-01 00:00:0%d" % k) for k in range(7)] + [("u", "2024-01-01 00:01:01")], "k string, t string").selectExpr("k", "cast(t as timestamp) as t")
+    assert answering.within_rate(q, "k", "t", 5, 60).where("allowed").count() == 6
+
+
+def _broken(_):
+    raise RuntimeError("no model")
+
+
+def test_adapters(spark):
+    d = spark.createDataFrame([("a", "un deux"), ("b", None)], "id string, t string")
+    assert {r["id"]: r["embedding"] for r in search.embedded(d, "id", "t", lambda xs: [[len(x), 1] for x in xs], 2).collect()} == {"a": [7.0, 1.0], "b": [0.0, 1.0]}
+    with pytest.raises(Exception, match="one vector of 3"):
+        search.embedded(d, "id", "t", lambda xs: [[1, 2] for _ in xs], 3).collect()
+    c = spark.createDataFrame([(1, "q", "a", "xx", 1), (1, "q", "b", "x", 2)], "query_id int, question string, id string, text string, rank int")
+    assert [r["id"] for r in search.pairwise_rerank(c, "question", "text", "id", lambda ps: [-len(t) for _, t in ps], 2).orderBy("rank").collect()] == ["b", "a"]
+
+
+def test_approximate_search_finds_most(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, [rng.gauss(k % 7, 1) if j == k % 7 else rng.gauss(0, 1) for j in range(16)]) for k in range(600)] + [(9999, None)]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    q = v.where("id % 50 = 0").selectExpr("id as query_id", "v as query_vector")
+    exact = search.cosine_topk(v, "id", "v", q, 10).groupBy("query_id").agg(F.collect_set("id").alias("relevant"))
+    found = search.recall_at_k(search.approximate_topk(v, "id", "v", q, search.fit_cells(v, "id", "v", 8), 5, 10), exact, "id", 10)
+    assert found.agg(F.avg("recall")).first()[0] >= 0.9
+    assert search.cosine_topk(v, "id", "v", q.limit(0), 3).count() == 0
+
+
+def test_index_equals_search_without_one(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "le bail commercial"), ("b", "le titre foncier et le bail"), ("c", None), ("d", "autre texte"), ("a", "le bail")], "id string, t string")
+    q = spark.createDataFrame([(1, "bail foncier"), (2, "rien du tout")], "query_id int, question string")
+    index = search.Index.build(docs, "id", "t", str(tmp_path / "index"))
+    want = [tuple(r) for r in search.bm25(docs, "id", "t", q, 5, unique=False).orderBy("query_id", "rank").collect()]
+    assert [tuple(r) for r in index.lexical(q, 5).orderBy("query_id", "rank").select("query_id", "key", "score", "rank").collect()] == want and want
+    assert index.retrieve(q, 0).count() == 8
+
+
+def test_fingerprint_of_long_keys(spark):
+    import hashlib
+    import hmac
+
+    from lexmill.functions import text as T
+
+    for key in ("court", "k" * 64, "clé très longue " * 10):
+        got = spark.createDataFrame([("message", key)], "m string, k string").select(T.keyed_fingerprint(F.col("m"), F.col("k"))).first()[0]
+        assert got == hmac.new(key.encode(), b"message", hashlib.sha256).hexdigest()[:32]

@@ -14,9 +14,10 @@ def folder(tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a-b").mkdir()
     (tmp_path / "a" / "un.txt").write_text("Texte un", encoding="utf-8")
-    (tmp_path / "a" / "un.json").write_text(json.dumps({"title": "Titre", "date": "2011"}), encoding="utf-8")
+    (tmp_path / "a" / "un.txt.meta.json").write_text(json.dumps({"title": "Titre", "date": "2011"}), encoding="utf-8")
     (tmp_path / "a-b" / "deux.TXT").write_text("النص", encoding="utf-8")
-    (tmp_path / "a-b" / "deux.json").write_text("{broken", encoding="utf-8")
+    (tmp_path / "a-b" / "deux.TXT.meta.json").write_text("{broken", encoding="utf-8")
+    (tmp_path / "a-b" / "un.txt").write_text("autre texte", encoding="utf-8")
     (tmp_path / "bad.txt").write_bytes(b"\xff\xfe\xff")
     (tmp_path / "skip.csv").write_text("x")
     with zipfile.ZipFile(tmp_path / "doc.docx", "w") as z:
@@ -27,14 +28,18 @@ def folder(tmp_path):
 
 def test_discovery_and_extraction(spark, folder):
     d = files.discover(spark, folder)
-    assert [r["rel"] for r in files.in_path_order(d.select("rel")).collect()] == ["a/un.txt", "a-b/deux.TXT", "bad.txt", "doc.docx", "scan.pdf"]
+    assert [r["rel"] for r in files.in_path_order(d.select("rel")).collect()] == ["a/un.txt", "a-b/deux.TXT", "a-b/un.txt", "bad.txt", "doc.docx", "scan.pdf"]
     got = {r["rel"]: r for r in files.extract(d, pdf=lambda b: "court", recognise=lambda b: "texte reconnu").collect()}
     assert got["doc.docx"]["text"] == "Un\nDeux" and got["scan.pdf"]["method"] == "ocr_pdf" and got["bad.txt"]["error"].startswith("UnicodeDecodeError")
-    assert {r["rel"]: r["error"] for r in files.extract(d).collect()}["scan.pdf"] == "no PDF reader"
+    assert {r["rel"]: (r["text"], r["error"]) for r in files.extract(d).collect()}["scan.pdf"] == ("", None)
+    assert files.recognition_language(["ara", "fra", "eng"]) == "fra+ara" and files.recognition_language(["eng"]) == "eng" and files.recognition_language([]) is None
 
 
 def test_ingest(spark, folder):
-    got = {r["file_path"]: r for r in files.ingest(spark, folder, {"a": "Jurisprudence"}).collect()}
+    rows = files.ingest(spark, folder, {"a": "Jurisprudence"}).collect()
+    got = {r["file_path"]: r for r in rows}
+    # a side file belongs to one path, not to every file of that name
+    assert len(rows) == len(got) == 6 and got["a-b/un.txt"]["title"] != "Titre"
     a, b = got["a/un.txt"], got["a-b/deux.TXT"]
     assert (a["title"], a["doc_date"], a["source"], a["language"], a["error"]) == ("Titre", "2011", "Jurisprudence", "fr", None)
     assert a["doc_id"].startswith("jurisprudence-") and b["language"] == "ar" and b["error"] == "no source"
