@@ -200,10 +200,10 @@ WHERE token_count IS NULL OR token_count <> coalesce(length(list_filter(string_s
 """
 
 _LANGUAGE = "CASE WHEN regexp_matches(lower(trim({0})), '^(fr|ar|en|es)($|[-_])') THEN substr(lower(trim({0})), 1, 2) ELSE 'other' END"
-_COUNT = "coalesce(length(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')), 0)"
+SQL_COUNT = "coalesce(length(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')), 0)"
 SQL_EXACT = f"""
 WITH c AS (SELECT chunk_id, text, max(struct_pack(source := source, language := {_LANGUAGE.format("language")}, category := category)) AS x FROM chunks GROUP BY chunk_id, text),
 d AS (SELECT source, {_LANGUAGE.format("lang")} AS language, category, text FROM documents),
-u AS (SELECT x.source AS source, x.language AS language, x.category AS category, 1 AS c, {_COUNT} AS n, 0 AS d, 0 AS m FROM c UNION ALL SELECT source, language, category, 0, 0, 1, {_COUNT} FROM d)
+u AS (SELECT x.source AS source, x.language AS language, x.category AS category, 1 AS c, {SQL_COUNT} AS n, 0 AS d, 0 AS m FROM c UNION ALL SELECT source, language, category, 0, 0, 1, {SQL_COUNT} FROM d)
 SELECT source, language, category, CAST(sum(c) AS BIGINT) AS chunks, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(d) AS BIGINT) AS documents, CAST(sum(m) AS BIGINT) AS document_tokens FROM u GROUP BY source, language, category
 """

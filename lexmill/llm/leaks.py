@@ -260,3 +260,13 @@ def _hashes(word: str) -> list[int]:
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): documents that hold a passage of the item."""
     return leaked_spans(documents, items).select("doc_id", "item_id").distinct()
+
+
+#: Brute force: every window of both sides, joined.
+SQL_FOUND = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+a AS (SELECT doc_id, array_to_string(w[k : k + 14], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) - 13 AS BIGINT))) AS k FROM d WHERE len(w) >= 15)),
+b AS (SELECT item_id, array_to_string(w[k : k + 14], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, CAST(len(w) - 13 AS BIGINT))) AS k FROM i WHERE len(w) >= 15))
+SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g)
+"""

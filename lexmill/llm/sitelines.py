@@ -187,3 +187,10 @@ SELECT DISTINCT l.doc_id, CAST(l.line_no AS BIGINT) AS line_no
 FROM long l JOIN hit h ON l.source = h.source AND l.k = h.k JOIN n ON n.source = l.source
 WHERE h.m >= 5 AND h.m >= 0.08 * n.n
 """
+
+SQL_CLEANED = f"""
+WITH f AS ({SQL_FOUND}),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE doc_id IS NOT NULL),
+k AS (SELECT l.doc_id, count(f.line_no) AS n, coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE f.line_no IS NULL), '') AS text FROM l LEFT JOIN f ON f.doc_id = l.doc_id AND f.line_no = l.line_no GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE k.text END AS text, CAST(coalesce(k.n, 0) AS INTEGER) AS lines_removed FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -401,12 +402,51 @@ def longer_copies(documents: DataFrame, ends: DataFrame | None = None, whole_too
     members = spread.join(shared, ["level", "key"], "left_semi")
     texts = members.join(_own(documents).where("text is not null").select("doc_id", "text"), "doc_id")
     one = texts.groupBy("level", "key", "text").agg(F.min("doc_id").alias("longer_id"))
-    order = Window.partitionBy("level", "key").orderBy("text")
-    after = one.select("level", "key", "text", F.lead("text").over(order).alias("next"), F.lead("longer_id").over(order).alias("next_id")).where("startswith(next, text)")
-    found = texts.join(after.select("level", "key", "text", F.col("next_id").alias("longer_id")), ["level", "key", "text"])
+    after = _before_longer(one)
+    found = texts.join(after.select("level", "key", "text", "longer_id"), ["level", "key", "text"])
     return found.join(asked, ["doc_id", "level", "key"], "left_semi").groupBy("doc_id").agg(F.min("longer_id").alias("longer_id"))
 
 
+def _before_longer(texts: DataFrame) -> DataFrame:
+    """(level, key, text, longer_id): texts (level, key, text, longer_id) that begin the next one in order, whose longer_id is given.
+
+    Among distinct texts in order, a strict prefix of any begins the one right after it. The order is by ranges
+    over all groups, so a prefix that very many texts share is spread over tasks like any other; the first and
+    last text of each range, which is all that the ranges need to know of one another, are compared afterwards.
+    """
+    many = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = ["level", "key", "text", "longer_id"]
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, edge = TaskContext.get().partitionId(), None, True
+
+        def rows(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=[*kept, "part", "edge"])
+
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in kept), strict=True):
+                if edge:
+                    out.append((*row, part, 0))
+                    edge = False
+                elif last[:2] == row[:2] and row[2].startswith(last[2]):
+                    out.append((*last[:3], row[3], part, 1))
+                last = row
+            if out:
+                yield rows(out)
+        if last:
+            yield rows([(*last, part, 2)])
+
+    ordered = texts.select(F.col("level").cast("int").alias("level"), *kept[1:]).repartitionByRange(many, "level", "key", "text").sortWithinPartitions("level", "key", "text")
+    found = staged(ordered.mapInArrow(walk, "level int, key bigint, text string, longer_id bigint, part int, edge int"))
+    ends = found.where("edge <> 1")
+    # two rows for each range
+    w = Window.orderBy("part", "edge")
+    lead = {f"n_{c}": F.lead(c).over(w) for c in ("level", "key", "text", "longer_id", "edge")}
+    across = ends.withColumns(lead).where("edge = 2 AND n_edge = 0 AND level = n_level AND key = n_key AND startswith(n_text, text)").select("level", "key", "text", F.col("n_longer_id").alias("longer_id"))
+    return found.where("edge = 1").select(*kept).unionByName(across)
+
+
 def truncated(documents: DataFrame) -> DataFrame:
     """(doc_id, source, ending, longer_id): every record, its ending, and a longer copy of an open or cut one."""
     ends = endings(documents)
