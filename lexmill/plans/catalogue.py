@@ -521,7 +521,7 @@ best AS (SELECT query_id, {key}, score, CAST(row_number() OVER (PARTITION BY que
 _FORBIDDEN_SQL = r"regexp_matches(props, '[\w.+-]+@[\w-]+\.[\w.-]+|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')"
 _HOUR = "CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT)"
 _BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0)
-_HIST = "SELECT event_type, le, count(*) FILTER (WHERE le < 0 OR value <= le) AS n FROM events CROSS JOIN (VALUES " + ", ".join(f"({b})" for b in (*_BOUNDS, -1.0)) + ") b(le) WHERE value IS NOT NULL GROUP BY event_type, le"
+_HIST = "SELECT event_type, CAST(le AS DOUBLE) AS le, count(*) FILTER (WHERE le < 0 OR value <= le) AS n FROM events CROSS JOIN (VALUES " + ", ".join(f"({b})" for b in (*_BOUNDS, -1.0)) + ") b(le) WHERE value IS NOT NULL GROUP BY event_type, le"
 _ERRORS = r"""
 SELECT doc_id, error FROM (
  SELECT doc_id, unnest(list_filter([
