@@ -23,6 +23,8 @@ CAPACITY = 1024
 SHARD_ITEMS = 10_000
 #: The smallest items of a shard come last, by falling size, to fill what is left open.
 LAST = 500
+#: Items above this share of a container come first, by falling size.
+LARGE = 0.4
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
@@ -78,8 +80,9 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokens: Callable[[str],
         rows = [(d, k, k * capacity, s, p) for d, n, p in zip(pdf["doc_id"], pdf["n"], pdf["part"], strict=True) for k, s in enumerate(pieces_of_size(int(n), capacity))]
         out = pd.DataFrame(rows, columns=["doc_id", "piece_no", "first_token", "tokens", "part"])
         real = out[out["tokens"] > 0].sort_values("tokens", ascending=False, kind="stable")
-        # an even mix of sizes keeps all gaps in supply, which is what the rule needs
-        real = pd.concat([real.iloc[:-LAST].sample(frac=1.0, random_state=8), real.iloc[-LAST:]])
+        # large items first, as they fit into few gaps; an even mix of the others keeps all gaps in supply, which is what the rule needs
+        big, small = real[real["tokens"] > LARGE * capacity], real[real["tokens"] <= LARGE * capacity]
+        real = pd.concat([big, small.iloc[:-LAST].sample(frac=1.0, random_state=8), small.iloc[-LAST:]])
         place = pd.Series(sum_of_squares(real["tokens"].to_numpy(np.int64), capacity), index=real.index)
         out["container"] = [None if pd.isna(c) else f"{p}-{int(c)}" for p, c in zip(out["part"], place.reindex(out.index), strict=True)]
         return out[["doc_id", "piece_no", "first_token", "tokens", "container"]]
