@@ -25,6 +25,9 @@ from lexmill.session import staged
 #: Lengths of the prefixes that are hashed, ascending.
 LEVELS = (32, 64, 128, 256, 512, 1024, 2048, 4096, 8192)
 
+#: Buckets of identifiers by which texts are told that nothing is asked about.
+BUCKETS = 1 << 18
+
 WHOLE, OPEN, CUT = "whole", "open", "cut"
 
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -399,8 +402,12 @@ def longer_copies(documents: DataFrame, ends: DataFrame | None = None, whole_too
     # only hashes are spread over the levels; texts follow for records that share a prefix with one asked about
     spread = base.select("doc_id", F.posexplode("keys").alias("level", "key")).withColumn("level", F.col("level") + 1).join(asked.select("level", "key").distinct(), ["level", "key"], "left_semi")
     shared = spread.groupBy("level", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("level", "key")
-    members = spread.join(shared, ["level", "key"], "left_semi")
-    texts = members.join(_own(documents).where("text is not null").select("doc_id", "text"), "doc_id")
+    members = staged(spread.join(shared, ["level", "key"], "left_semi"))
+    # only texts whose identifier falls into a bucket of a member are moved; there are at most BUCKETS of these
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+    wanted = members.select(bucket.alias("bucket")).distinct()
+    few = _own(documents).where("text is not null").select("doc_id", "text", bucket.alias("bucket")).join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket")
+    texts = members.join(few, "doc_id")
     one = texts.groupBy("level", "key", "text").agg(F.min("doc_id").alias("longer_id"))
     after = _before_longer(one)
     found = texts.join(after.select("level", "key", "text", "longer_id"), ["level", "key", "text"])
