@@ -44,7 +44,9 @@ def classify_copies(docs: DataFrame, key: str, text: str, order: str, failed: Co
     """
     bad = F.lit(False) if failed is None else F.coalesce(failed, F.lit(False))
     empty = F.coalesce(T.trim_all(F.col(text)) == "", F.lit(True))
-    slim = docs.select(F.col(key).alias("k"), F.col(order).alias("o"), F.sha2(F.col(text), 256).alias("h"), empty.alias("empty"), bad.alias("bad"))
+    # rows without text get a hash of their own, so that they don't meet in one task
+    own = F.when(empty, F.concat(F.lit("-"), F.coalesce(F.col(key).cast("string"), F.lit("")))).otherwise(F.sha2(F.col(text), 256))
+    slim = docs.select(F.col(key).alias("k"), F.col(order).alias("o"), own.alias("h"), empty.alias("empty"), bad.alias("bad"))
     # a hash that everyone shares is reduced to one row per hash before it meets the documents again
     first = slim.where(~F.col("empty") & ~F.col("bad")).groupBy("h").agg(F.min(F.struct("o", "k")).alias("first"))
     joined = slim.join(first, "h", "left")
