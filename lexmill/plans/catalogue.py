@@ -271,7 +271,7 @@ def answers(s: SparkSession, d: str) -> DataFrame:
     requests = _questions(s).unionByName(s.createDataFrame([(5, " "), (6, "Quel temps fera-t-il demain ?"), (7, "contrat zzzz qqqq")], "query_id int, question string"))
     docs = _docs(s, d).select("doc_id", "text")
     top = search.bm25(docs, "doc_id", "text", _questions(s), 8).join(docs, "doc_id").select("query_id", "rank", F.col("doc_id").cast("string").alias("chunk_id"), "text")
-    return answering.answers(requests, top, TERMS)
+    return answering.answers(requests, top, TERMS).withColumn("cited", F.array_join("cited", ","))
 
 
 def grounding(s: SparkSession, d: str) -> DataFrame:
@@ -605,6 +605,12 @@ SELECT doc_id, CASE WHEN e THEN 'skipped' WHEN f <> doc_id THEN 'duplicate' ELSE
         "rrf_two_lexical": f"WITH {first}, {second}, u AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS part, 'text' AS m FROM best UNION ALL SELECT query_id, doc_id, 2.0 / (60 + rank), 'title' FROM best2) {rrf}",
         "lexical_rerank": f"WITH {first}, s AS (SELECT b.query_id, b.doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(q.question), {_TOK})), list_distinct(regexp_extract_all(lower(d.text), {_TOK})))) AS score FROM best b JOIN documents d USING (doc_id) JOIN {ask} q USING (query_id)) SELECT query_id, doc_id, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 8",
         "recall_by_question": f"WITH {_bm25_sql('documents', 'doc_key', 'text', asked_sql, 8)}, g AS (SELECT query_id, list(doc_key) AS got FROM best GROUP BY query_id) SELECT example_id AS query_id, round(coalesce(len(list_intersect(list_distinct(source_doc_ids), g.got)), 0) / len(list_distinct(source_doc_ids)), 6) AS recall FROM (SELECT example_id, max(source_doc_ids) AS source_doc_ids FROM finetune_examples WHERE {asked} GROUP BY example_id) x LEFT JOIN g ON g.query_id = x.example_id WHERE len(source_doc_ids) > 0",
+        "answers": f"""
+WITH {_bm25_sql('documents', 'doc_id', 'text', ask, 8)}, r AS (SELECT * FROM {ask} UNION ALL SELECT * FROM (VALUES (5, ' '), (6, 'Quel temps fera-t-il demain ?'), (7, 'contrat zzzz qqqq'))),
+x AS (SELECT r.query_id, r.question, b.doc_id, trim(regexp_replace(d.text, '[ \t\r\n]+', ' ', 'g')) AS t FROM r LEFT JOIN (SELECT * FROM best WHERE rank = 1) b ON b.query_id = r.query_id LEFT JOIN documents d ON d.doc_id = b.doc_id),
+y AS (SELECT *, CASE WHEN trim(question) = '' THEN 'empty_question' WHEN NOT (list_has_any(regexp_extract_all(lower(question), {_TOK}), {single}) OR {" OR ".join(f"contains(lower(question), '{v}')" for v in several)}) THEN 'out_of_scope' WHEN doc_id IS NULL THEN 'insufficient_context' END AS reason FROM x)
+SELECT query_id, CASE WHEN reason IS NULL THEN CASE WHEN length(t) > 300 THEN rtrim(substr(t, 1, 299)) || '…' ELSE t END || ' [chunk_id:' || doc_id || ']' ELSE '{answering.REFUSAL}' END || chr(10) || chr(10) || '{answering.DISCLAIMER}' AS answer,
+ CASE WHEN reason IS NULL THEN CAST(doc_id AS VARCHAR) ELSE '' END AS cited, reason IS NOT NULL AS refused, reason AS refusal_reason FROM y""",
         "indexed_retrieval": f"WITH {_bm25_sql('documents', 'doc_key', 'text', ask, 10)} SELECT * FROM best",
         "hybrid_rrf": f"""
 WITH {_bm25_sql(chunks, 'chunk_id', 'text', ask, 24)},
