@@ -77,6 +77,14 @@ def test_windows_lose_nothing(n, parts):
     assert rebuilt == text.split()
 
 
+def test_number_broken_over_lines(spark):
+    t = "Titre.\nArticle 5\nbis : Dépôt.\nArticle 6 \n\n ter - Bail"
+    assert [(x["label"], x["seg_number"]) for x in structure.segments_of(t)] == [("Article 5\nbis", "5\nbis"), ("Article 6 \n\n ter", "6 \n\n ter")]
+    assert [x["start_pos"] for x in structure.segments_of(t)] == [t.index("Article 5"), t.index("Article 6")]
+    df = spark.createDataFrame([(1, t), (2, "Article 7 bis"), (3, None)], "id int, t string")
+    assert {(r["id"], r["seg_number"]) for r in structure.segments(df, "id", "t").collect()} == {(1, "5\nbis"), (1, "6 \n\n ter"), (2, "7 bis")}
+
+
 def test_fixed_windows_agree_with_the_fold(spark):
     texts = [(k, " ".join(f"t{i}" for i in range(n))) for k, n in enumerate((1, 511, 512, 513, 960, 961, 2000))] + [(99, ""), (98, None)]
     got = {}
